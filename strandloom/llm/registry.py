@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from strandloom.llm import byte_bpe, language_id, pii, quality_rules, token_count, toxicity
+from strandloom.llm import byte_bpe, language_id, pii, quality_rules, simhash, token_count, toxicity, warc
 
 QUERIES: dict = {
     "op1_language_id": language_id.op1_language_id,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_token_count": token_count.op3_token_count,
+    "op4_simhash": simhash.op4_simhash,
     "op5_pii": pii.op5_pii,
+    "op6_warc": warc.op6_warc,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_warc": warc.OP6_SQL,
+}
