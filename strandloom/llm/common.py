@@ -96,3 +96,17 @@ def sum_blocks(df: DataFrame, key: str, kind: str = "string") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k], type=batch.schema.field(0).type), pa.array([values.tobytes()], type=pa.binary())], names=[key, "block"])
 
     return df.select(key, "block").repartition(tasks(df.sparkSession), key).mapInArrow(run, f"{key} {kind}, block binary")
+
+
+def filter_slices(df: DataFrame, text_col: str, keep: Callable[..., list[bool]], setup: Callable | None = None) -> DataFrame:
+    """The rows for which ``keep(state, texts)`` is true, with all columns as they are; a null text counts as empty."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = setup() if setup else None
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                yield part.filter(pa.array(keep(state, [t or "" for t in part.column(at).to_pylist()]), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import id_and_text, map_slices, table
+from strandloom.llm.common import filter_slices, id_and_text, map_slices, sum_blocks, table
 
 ORDERS = (3, 4, 5, 6)
 BITS = 20
@@ -34,6 +34,9 @@ FEATURES = 3000
 SAMPLE_ROWS = 24_000
 ROUNDS = 250
 RIDGE = 1e-3
+#: Buckets whose counts travel together; tasks that count the sample.
+CHUNK = 1 << 14
+SAMPLE_TASKS = 12
 
 
 @functools.cache
@@ -75,58 +78,86 @@ class Model:
         return float(1 / (1 + np.exp(-(self.weight[present].sum() + self.bias))))
 
 
-def train(rows: list[tuple[np.ndarray, int]]) -> Model:
-    """From (distinct buckets, label) of each sampled row."""
-    feature = np.zeros(BUCKETS, dtype=np.uint16)
-    labels = np.array([label for _, label in rows], dtype=np.float64)
-    share = float(labels.mean()) if len(rows) else 0.0
-    if share in (0.0, 1.0):
-        return Model(feature, np.zeros(1), -np.inf if share == 0 else np.inf)
-    counts = np.zeros((2, BUCKETS))
-    for found, label in rows:
-        counts[label][found] += 1
-    n = np.array([len(rows) - labels.sum(), labels.sum()])
+def choose(counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each bucket's feature number, each feature's log-count ratio) from the buckets' counts in ``n`` rows of each class."""
     rate = (counts + 0.5) / (n[:, None] + 1)
-    ratio = np.log(rate[1] / rate[0])
     # The likelihood-ratio statistic of presence against class; it favours what is both frequent and telling.
     both = (counts.sum(axis=0) + 0.5) / (n.sum() + 1)
-    gain = sum(n[k] * (rate[k] * np.log(rate[k] / both) + (1 - rate[k]) * np.log(np.maximum(1 - rate[k], 1e-9) / np.maximum(1 - both, 1e-9))) for k in (0, 1))
+    gain = np.zeros(counts.shape[1])
+    for k in (0, 1):
+        gain += n[k] * (rate[k] * np.log(rate[k] / both) + (1 - rate[k]) * np.log(np.maximum(1 - rate[k], 1e-9) / np.maximum(1 - both, 1e-9)))
     gain[counts.sum(axis=0) < 3] = -1
     best = np.argsort(-gain, kind="stable")[:FEATURES]
     best = best[gain[best] > 0]
+    feature = np.zeros(counts.shape[1], dtype=np.uint16)
     feature[best] = np.arange(1, len(best) + 1)
-    scale = np.concatenate(([0.0], ratio[best]))
-    columns = [np.unique(feature[found]) for found, _ in rows]
-    sizes = np.array([len(c) for c in columns])
+    return feature, np.concatenate(([0.0], np.log(rate[1][best] / rate[0][best])))
+
+
+def regress(columns: list[np.ndarray], labels: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights (times ``scale``) and intercept of a logistic regression on the features present in each row."""
+    rows = len(labels)
     flat = np.concatenate(columns).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), sizes)
+    owner = np.repeat(np.arange(rows), [len(c) for c in columns])
+    share = labels.mean()
     weight, bias = np.zeros(len(scale)), float(np.log(share / (1 - share)))
     first, second = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for t in range(1, ROUNDS + 1):
-        margin = np.bincount(owner, (weight * scale)[flat], minlength=len(rows)) + bias
-        error = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels) / len(rows)
+        margin = np.bincount(owner, (weight * scale)[flat], minlength=rows) + bias
+        error = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels) / rows
         slope = np.append(np.bincount(flat, error[owner], minlength=len(scale)) * scale + RIDGE * weight / len(scale), error.sum())
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         step = 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
         weight, bias = weight - step[:-1], bias - float(step[-1])
-    return Model(feature, weight * scale, bias)
+    return weight * scale, bias
+
+
+def distinct_buckets(text: str) -> np.ndarray:
+    found = buckets(text)
+    return np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.uint32)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model of ``labels`` (id, label) over the texts of ``docs``, from at most ``sample_rows`` labelled rows."""
+    """A model of ``labels`` (id, label) over the texts of ``docs``, from at most ``sample_rows`` labelled rows.
+
+    The sampled texts (a bounded lot) are dealt over ``SAMPLE_TASKS`` tasks, which count buckets by class; the driver gets
+    the counts, of a fixed size, and then the chosen features of each sampled row."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
-    joined = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id")
+    joined = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("text", "label").repartition(SAMPLE_TASKS)
+
+    def count(batches):
+        counts, rows = np.zeros((BUCKETS // CHUNK, 2, CHUNK)), np.zeros(2)
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = distinct_buckets(text)
+                counts[found // CHUNK, label, found % CHUNK] += 1
+                rows[label] += 1
+        if rows.any():
+            yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([rows.tobytes()], pa.binary())], names=["chunk", "block"])
+            for k in np.flatnonzero(counts.any(axis=(1, 2))).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([counts[k].tobytes()], pa.binary())], names=["chunk", "block"])
+
+    counts, n = np.zeros((2, BUCKETS), dtype=np.float32), np.zeros(2)
+    for row in sum_blocks(joined.mapInArrow(count, "chunk int, block binary"), "chunk", "int").toLocalIterator():
+        block = np.frombuffer(row.block, dtype="<f8")
+        if row.chunk < 0:
+            n = block
+        else:
+            counts[:, row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = block.reshape(2, CHUNK)
+    if not n.all():
+        return Model(np.zeros(BUCKETS, dtype=np.uint16), np.zeros(1), np.inf if n[1] else -np.inf)
+    feature, scale = choose(counts, n)
+    del counts
+    shared = docs.sparkSession.sparkContext.broadcast(feature)
 
     def work(_, cols):
-        found = []
-        for text in cols["text"]:
-            parts = buckets(text)
-            found.append(np.unique(np.concatenate(parts)).astype("<u4").tobytes() if parts else b"")
-        return {"label": cols["label"], "found": pa.array(found, pa.binary()), "doc_id": [str(d) for d in cols["doc_id"]]}
+        present = [np.unique(np.append(shared.value[distinct_buckets(t)], 0))[1:] for t in cols["text"]]
+        return {"label": cols["label"], "found": pa.array([p.astype("<u2").tobytes() for p in present], pa.binary())}
 
-    rows = map_slices(joined, work, "label int, found binary, doc_id string").toLocalIterator()
-    return train([(np.frombuffer(r.found, dtype="<u4"), r.label) for r in rows])
+    rows = map_slices(joined, work, "label int, found binary").collect()  # at most sample_rows, of FEATURES numbers at most
+    weight, bias = regress([np.frombuffer(r.found, dtype="<u2") for r in rows], np.array([r.label for r in rows], dtype=np.float64), scale)
+    return Model(feature, weight, bias)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,6 +172,12 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return map_slices(source, work, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, score double, predicted int")
 
 
+def without_toxic(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows that are not predicted toxic, with all their columns."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return filter_slices(df, text_col, lambda _, texts: [shared.value.score(t) < 0.5 for t in texts])
+
+
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
     docs = table(spark, sf_dir, "documents")
