@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandloom.llm import byte_bpe, language_id, pii, quality_rules, simhash, substring_dedup, token_count, toxicity, warc
+from strandloom.llm import byte_bpe, decontamination, language_id, pii, quality_rules, simhash, substring_dedup, token_count, toxicity, warc
 
 QUERIES: dict = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,7 @@ QUERIES: dict = {
     "op4_simhash": simhash.op4_simhash,
     "op5_pii": pii.op5_pii,
     "op6_warc": warc.op6_warc,
+    "op7_decontamination": decontamination.op7_decontamination,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_substring_dedup": substring_dedup.op9_substring_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
