@@ -288,7 +288,7 @@ def op6_warc(spark, sf_dir: str) -> DataFrame:
     from strandloom.llm.common import scratch_path, table
 
     path = scratch_path(spark, "warc")
-    write(as_records(table(spark, sf_dir, "pages")), path)
+    write(as_records(table(spark, sf_dir, "pages")), path, compression="gzip")
     back = read(spark, path).where(F.col("record_type").isin("response", "revisit"))
     response = F.col("record_type") == "response"
     return back.select(
