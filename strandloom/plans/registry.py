@@ -1,6 +1,729 @@
-"""Names of the engine's own queries and their SQL twins."""
+"""The engine's queries over the driver's tables, each with its SQL twin where SQL can express it."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from strandloom.functions import human, scores
+from strandloom.functions import sequence as S
+from strandloom.operators import align, cluster, collections_ext, evaluate, intervals, motif, search, slices
+from strandloom.operators import words as W
+from strandloom.plans import pipelines
+from strandloom.plans.sql_views import INFORMATION, is_complex, kmers, ln_choose, most_of_a_base, orient, with_views
+from strandloom.sources import files, views
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+TOP, K, PARTIAL, ROC_GRID, SMALL_K, POPULATION = 20, 10, 8, 200, 6, 25
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name."""
+
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql is not None:
+            ORACLES[function.__name__] = sql
+        return function
+
+    return add
+
+
+def big(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
+
+
+# Sequences and sources
+
+
+@query(with_views(f"SELECT frag_id, CAST(d AS BIGINT) AS direction, {orient('seq')} AS seq FROM (SELECT *, unnest(range(0, 4)) AS d FROM seqs)", "seqs"))
+def orientations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = views.seqs(spark, sf_dir).select("frag_id", F.posexplode(S.orientations("seq")).alias("direction", "seq"))
+    return big(found, "direction")
+
+
+@query(with_views("SELECT CAST(frag_id AS VARCHAR) AS chrom, CAST(len(seq) // 3 AS BIGINT) AS start, CAST(100 AS BIGINT) AS size, substr(seq, len(seq) // 3 + 1, 100) AS seq FROM seqs WHERE len(seq) >= 3", "seqs"))
+def range_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = views.seqs(spark, sf_dir).where(F.length("seq") >= 3).select(F.col("frag_id").cast("string").alias("chrom"), F.expr("div(length(seq), 3)").alias("start"), F.lit(100).cast("bigint").alias("size"))
+    return slices.range_slice(views.genome(spark, sf_dir), wanted)
+
+
+@query(with_views("SELECT CAST(frag_id AS VARCHAR) AS chrom, CAST(len(seq) AS BIGINT) AS n, seq FROM seqs WHERE seq <> ''", "seqs"))
+def fasta_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices.whole(views.genome(spark, sf_dir)).select("chrom", F.length("seq").cast("bigint").alias("n"), "seq")
+
+
+_BRANCHING = """
+SELECT word, CAST(count(*) AS BIGINT) AS cnt FROM (
+  SELECT substr(seq, i, {k}) AS word,
+    CASE WHEN i + {k} <= len(seq) THEN substr(seq, i + {k}, 1) WHEN frag_id = (SELECT max(frag_id) FROM {source}) THEN 'Z' ELSE 'E' END AS after
+  FROM (SELECT *, unnest(range(1, len(seq) - {k} + 2)) AS i FROM {source})
+) GROUP BY word HAVING count(*) >= 2 AND count(DISTINCT after) >= 2
+"""
+
+
+@query(with_views(f"SELECT * FROM ({_BRANCHING.format(k=K, source='seqs')}) WHERE {is_complex('word')} ORDER BY cnt DESC, word LIMIT {TOP}", "seqs"))
+def kmer_groups_k10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent right-branching ten-symbol words."""
+    found = W.branching(views.seqs(spark, sf_dir), range(K, K + 1))
+    return found.where(S.is_complex("word")).orderBy(F.col("cnt").desc(), "word").limit(TOP)
+
+
+@query("SELECT p_partkey AS line_no, p_name AS file_name, p_brand AS brand, p_type AS type, CAST(p_size AS VARCHAR) AS size FROM part")
+def manifest_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = files.parse_manifest(views.manifest(spark, sf_dir))
+    return parsed.select("line_no", "file_name", *[F.try_element_at("attrs", F.lit(k)).alias(k) for k in ("brand", "type", "size")])
+
+
+@query("SELECT p_partkey AS line_no, p_name AS file_name FROM part WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#2' ORDER BY p_partkey LIMIT 5")
+def manifest_filter_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = files.parse_manifest(views.manifest(spark, sf_dir))
+    return files.matching_files(parsed, {"type": "ECONOMY", "brand": "Brand#2"}, 5).select("line_no", "file_name")
+
+
+@query(with_views("SELECT event_id, chrom, CAST(cell_id AS BIGINT) AS cell_id, start_pos, end_pos, round(value1, 6) AS value1, value2 FROM peaks WHERE chrom = 'chr1'", "peaks"))
+def peak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = big(views.peaks(spark, sf_dir).where("chrom = 'chr1'"), "cell_id")
+    return found.select("event_id", "chrom", "cell_id", "start_pos", "end_pos", F.round("value1", 6).alias("value1"), "value2")
+
+
+@query("SELECT event_id, CASE WHEN value > 0.9 * most THEN 'Present' WHEN value < 0.1 * most THEN 'NotPresent' ELSE 'Unknown' END AS status FROM events, (SELECT max(value) AS most FROM events)")
+def classify_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.classify(views.peaks(spark, sf_dir)).select("event_id", "status")
+
+
+@query(
+    with_views(
+        "SELECT chrom, CAST(r AS BIGINT) AS rank, CAST((start_pos + end_pos) // 2 AS BIGINT) AS mid, CAST(round_even(value1, 0) AS BIGINT) AS value FROM "
+        "(SELECT chrom, start_pos, end_pos, value1, row_number() OVER (PARTITION BY chrom, start_pos, end_pos ORDER BY value1 DESC) - 1 AS r FROM peaks) WHERE r < 3 AND start_pos >= 0 AND end_pos <= 100000",
+        "peaks",
+    )
+)
+def peak_bars_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    same = views.peaks(spark, sf_dir).groupBy("chrom", "start_pos", "end_pos").agg(F.collect_list("value1").alias("values1"))
+    return intervals.bars(same, 3, 0, 100_000)
+
+
+# Intervals
+
+_PAIRS = (
+    "SELECT a.event_id AS a_event, b.event_id AS b_event, a.start_pos AS a0, a.end_pos AS a1, b.start_pos AS b0, b.end_pos AS b1 FROM peaks a JOIN peaks b "
+    "ON a.chrom = b.chrom AND a.cell_id = 0 AND b.cell_id = 1 AND a.start_pos <= b.end_pos AND b.start_pos <= a.end_pos"
+)
+_STATUS = (
+    "CASE WHEN a0 >= b1 THEN -1 WHEN b0 >= a1 THEN 1 WHEN a0 >= b0 AND a1 <= b1 THEN 0 WHEN b0 >= a0 AND b1 <= a1 THEN 0 "
+    "WHEN least(abs(a0 - b0), abs(b1 - a1)) < least(a1 - a0, b1 - b0) // 5 THEN 0 WHEN b0 > a0 THEN 1 ELSE -1 END"
+)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peaks = views.peaks(spark, sf_dir).select("event_id", "chrom", "cell_id", "start_pos", "end_pos")
+    return intervals.overlapping(peaks.where("cell_id = 0"), peaks.where("cell_id = 1"))
+
+
+def _status() -> F.Column:
+    return intervals.merge_status(*[F.col(c) for c in ("a_start_pos", "a_end_pos", "b_start_pos", "b_end_pos")]).cast("bigint")
+
+
+@query(with_views(f"SELECT a_event, b_event, CAST({_STATUS} AS BIGINT) AS status FROM ({_PAIRS})", "peaks"))
+def merge_status_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select(F.col("a_event_id").alias("a_event"), F.col("b_event_id").alias("b_event"), _status().alias("status"))
+
+
+@query(
+    with_views(
+        "SELECT a_event, b_event, CAST(round_even((a0 + b0) / 2, 0) AS BIGINT) AS start_pos, CAST(round_even((a1 + b1) / 2, 0) AS BIGINT) AS end_pos, least(a0, b0) AS start_min, greatest(a0, b0) AS start_max, "
+        f"least(a1, b1) AS end_min, greatest(a1, b1) AS end_max FROM ({_PAIRS}) WHERE {_STATUS} = 0",
+        "peaks",
+    )
+)
+def merge_pair_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mean = lambda a, b: F.rint((F.col(a) + F.col(b)) / 2).cast("bigint")
+    return _pairs(spark, sf_dir).where(_status() == 0).select(
+        F.col("a_event_id").alias("a_event"), F.col("b_event_id").alias("b_event"), mean("a_start_pos", "b_start_pos").alias("start_pos"), mean("a_end_pos", "b_end_pos").alias("end_pos"),
+        F.least("a_start_pos", "b_start_pos").alias("start_min"), F.greatest("a_start_pos", "b_start_pos").alias("start_max"),
+        F.least("a_end_pos", "b_end_pos").alias("end_min"), F.greatest("a_end_pos", "b_end_pos").alias("end_max"),
+    )
+
+
+def clumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Peaks that begin in the same 500 positions as one, a stand-in for merged peaks that SQL can restate."""
+    return (
+        views.peaks(spark, sf_dir).groupBy("chrom", F.expr("div(start_pos, 500)").alias("bin"))
+        .agg(F.min("start_pos").alias("start_min"), F.max("end_pos").alias("end_max"), F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), F.collect_list("cell_id").alias("cell_ids"), F.collect_list("value1").alias("values1"))
+    )
+
+
+@query(with_views("SELECT chrom, start_min AS start, end_max - start_min AS size FROM clumps WHERE cells >= 2 AND mean >= 200 AND end_pos - start_pos >= 100", "clumps"))
+def peak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.peak_regions(clumps(spark, sf_dir))
+
+
+@query(
+    with_views(
+        "SELECT * FROM (SELECT chrom, coalesce(lag(end_max) OVER (PARTITION BY chrom ORDER BY start_pos, end_pos), 0) AS gap_start, start_min AS gap_end FROM clumps) WHERE gap_end > gap_start", "clumps"
+    )
+)
+def gap_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.gaps(clumps(spark, sf_dir))
+
+
+@query()
+def merged_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.merged_peaks(views.peaks(spark, sf_dir), 5)
+
+
+@query()
+def noise_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intervals.regions(intervals.merged_peaks(views.peaks(spark, sf_dir), 5))
+
+
+# Words
+
+_GROUPS = " UNION ALL ".join(_BRANCHING.format(k=k, source="pos_seqs") for k in (10, 11, 12))
+
+
+@query(
+    with_views(
+        "SELECT word, cnt FROM (SELECT *, lead(word) OVER w AS nw, lead(cnt) OVER w AS nc FROM "
+        f"(SELECT * FROM ({_GROUPS}) WHERE {is_complex('word')}) WINDOW w AS (PARTITION BY substr(word, 1, 10) ORDER BY translate(word, 'ATGC', '0123') || '~')) "
+        "WHERE NOT coalesce(len(nw) < len(word) AND starts_with(word, nw) AND nc > cnt, false)",
+        "pos_seqs",
+    )
+)
+def element_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.element_groups(views.pos_seqs(spark, sf_dir), 10, 12)
+
+
+@query(with_views(f"SELECT k.word, frag_id, CAST(pos AS BIGINT) AS pos FROM ({kmers('neg_seqs', K, 'frag_id, ')}) k JOIN words USING (word)", "neg_seqs", "words"))
+def substring_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return big(W.cites(views.neg_seqs(spark, sf_dir), views.words(spark, sf_dir), K), "pos")
+
+
+@query(
+    with_views(
+        f"SELECT p.pattern, t.frag_id, t.pos AS text_pos, p.pos AS pattern_pos, CAST({PARTIAL} + (substr(p.pattern, p.pos + 1, 9) = substr(t.seq, t.pos + 1, 9) AND len(p.pattern) - p.pos >= 9)::INT "
+        "+ (substr(p.pattern, p.pos + 1, 10) = substr(t.seq, t.pos + 1, 10) AND len(p.pattern) - p.pos >= 10)::INT AS BIGINT) AS length "
+        f"FROM ({kmers('neg_seqs', PARTIAL, 'frag_id, seq, ')}) t JOIN (SELECT seq AS pattern, word, pos FROM ({kmers('(SELECT word AS seq FROM words)', PARTIAL, 'seq, ')})) p USING (word)",
+        "neg_seqs", "words",
+    )
+)
+def partial_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.partial_cites(views.neg_seqs(spark, sf_dir), views.words(spark, sf_dir), PARTIAL)
+
+
+@query(with_views(f"SELECT word, cnt FROM ({_BRANCHING.format(k=K, source='neg_seqs')}) WHERE word NOT IN (SELECT word FROM word_counts)", "neg_seqs", "word_counts"))
+def drop_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.drop_cross(W.branching(views.neg_seqs(spark, sf_dir), range(K, K + 1)), views.pos_seqs(spark, sf_dir), range(K, K + 1))
+
+
+@query(with_views(f"SELECT w.word, w.cnt, CAST(coalesce(n.cnt, 0) AS BIGINT) AS other_cnt FROM words w LEFT JOIN (SELECT word, count(*) AS cnt FROM ({kmers('neg_seqs', K)}) GROUP BY word) n USING (word)", "neg_seqs", "words"))
+def cross_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.cross_test(views.words(spark, sf_dir), views.neg_seqs(spark, sf_dir), K)
+
+
+@query(with_views("SELECT CAST(count(*) AS BIGINT) AS fragments, CAST(sum(len(seq)) + count(*) AS BIGINT) AS text_size, CAST(count(*) - 1 AS BIGINT) AS inner_ends FROM pos_seqs", "pos_seqs"))
+def fragment_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.text_size(views.pos_seqs(spark, sf_dir))
+
+
+@query(
+    with_views(
+        "SELECT frag_id, known, CAST(min(p) - 1 AS BIGINT) AS start, CAST(count(*) AS BIGINT) AS length FROM (SELECT *, p - row_number() OVER (PARTITION BY frag_id, known ORDER BY p) AS run FROM "
+        "(SELECT frag_id, p, contains('AT', substr(seq, p, 1)) AS known FROM (SELECT *, unnest(range(1, len(seq) + 1)) AS p FROM pos_seqs))) GROUP BY frag_id, known, run",
+        "pos_seqs",
+    )
+)
+def run_length_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slices.runs(views.pos_seqs(spark, sf_dir), "AT")
+
+
+# Collections and text for people
+
+
+@query("SELECT event_type, min(value) AS min, round(avg(value), 6) AS mean, max(value) AS max FROM events GROUP BY event_type")
+def min_mean_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = views.table(spark, sf_dir, "events").groupBy("event_type").agg(*collections_ext.min_mean_max("value"))
+    return made.withColumn("mean", F.round("mean", 6))
+
+
+@query(
+    "SELECT event_type, 'min: ' || regexp_replace(printf('%.2f', round_even(min(value), 2)), '\\.?0+$', '') || ', avg: ' || regexp_replace(printf('%.2f', round_even(avg(value), 2)), '\\.?0+$', '') "
+    "|| ', max: ' || regexp_replace(printf('%.2f', round_even(max(value), 2)), '\\.?0+$', '') AS text FROM events GROUP BY event_type"
+)
+def min_mean_max_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "events").groupBy("event_type").agg(collections_ext.min_mean_max_text("value").alias("text"))
+
+
+@query()
+def first_where_max_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = views.table(spark, sf_dir, "events").groupBy("user_id")
+    return made.agg(collections_ext.first_where_max("event_id", "value", "event_id").alias("most"), collections_ext.first_where_min("event_id", "value", "event_id").alias("least"))
+
+
+ORACLES["first_where_max_min"] = (
+    "SELECT user_id, min(event_id) FILTER (WHERE value = mx) AS most, min(event_id) FILTER (WHERE value = mn) AS least FROM "
+    "(SELECT *, max(value) OVER (PARTITION BY user_id) AS mx, min(value) OVER (PARTITION BY user_id) AS mn FROM events) GROUP BY user_id"
+)
+
+
+@query(
+    "SELECT user_id, CAST(min(r) FILTER (WHERE value = mx) AS BIGINT) AS most, CAST(min(r) FILTER (WHERE value = mn) AS BIGINT) AS least FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r, "
+    "max(value) OVER (PARTITION BY user_id) AS mx, min(value) OVER (PARTITION BY user_id) AS mn FROM events) GROUP BY user_id"
+)
+def first_index_where_max_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = views.table(spark, sf_dir, "events").withColumn("r", (F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1).cast("bigint"))
+    return placed.groupBy("user_id").agg(collections_ext.first_where_max("r", "value", "r").alias("most"), collections_ext.first_where_min("r", "value", "r").alias("least"))
+
+
+@query("SELECT o_custkey, round(product(1 + o_totalprice / 1e6), 6) AS product FROM orders GROUP BY o_custkey")
+def product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "orders").withColumn("v", 1 + F.col("o_totalprice") / 1e6)
+    return rows.groupBy("o_custkey").agg(F.round(collections_ext.product("v"), 6).alias("product"))
+
+
+def _packs_sql(pack: str) -> str:
+    return (
+        f"SELECT user_id, CAST({pack} AS BIGINT) AS pack, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS items FROM "
+        f"(SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS r FROM events) GROUP BY user_id, {pack}"
+    )
+
+
+@query(_packs_sql("r // 4"))
+def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = collections_ext.packs(views.table(spark, sf_dir, "events"), 4, "user_id", "event_id", "event_id")
+    return made.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
+
+
+@query(_packs_sql("(r // 7 * 2 + CASE WHEN r % 7 >= 4 THEN 1 ELSE 0 END)"))
+def packs_even_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = collections_ext.packs_even_odd(views.table(spark, sf_dir, "events"), 4, 3, "user_id", "event_id", "event_id")
+    return made.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
+
+
+@query(
+    "SELECT CAST(r AS BIGINT) AS place, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_type) AS items FROM "
+    "(SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS r FROM events WHERE event_id < 2000) GROUP BY r"
+)
+def zip_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "events").where("event_id < 2000")
+    made = collections_ext.zip_groups(rows, "event_type", "event_id", "event_id", 5)
+    return made.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
+
+
+@query("SELECT value > 50 AS side, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value IS NOT NULL GROUP BY value > 50")
+def split_denull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = collections_ext.without_nulls(views.table(spark, sf_dir, "events"), "value")
+    sides = collections_ext.split_by(kept, F.col("value") > 50)
+    made = sides[0].withColumn("side", F.lit(True)).unionByName(sides[1].withColumn("side", F.lit(False)))
+    return made.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
+def static_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey"))
+    return collections_ext.lookup(rows, views.table(spark, sf_dir, "nation"), "n_nationkey", "n_name").select("c_custkey", "n_name")
+
+
+_SIZE = "CAST(floor(o_totalprice * o_totalprice * (o_orderkey % 1000 + 1)) AS BIGINT) * (CASE WHEN o_orderkey % 3 = 0 THEN 1024 ELSE 1 END)"
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.floor(F.col("o_totalprice") * F.col("o_totalprice") * (F.col("o_orderkey") % 1000 + 1)).cast("bigint") * F.when(F.col("o_orderkey") % 3 == 0, 1024).otherwise(1)
+    return views.table(spark, sf_dir, "orders").select("o_orderkey", size.alias("size"))
+
+
+_UNITS = ("", "k", "M", "G", "T", "E")
+
+
+def _human_sql() -> str:
+    cases = " ".join(f"WHEN size < {1 << 10 * (p + 1)} THEN (size >> {10 * p}) || '{u}B'" for p, u in enumerate(_UNITS))
+    strict = " ".join(f"WHEN (size >> {10 * p}) < 1024 OR (size >> {10 * p}) % 1024 <> 0 THEN (size >> {10 * p}) || '{u}B'" for p, u in enumerate(_UNITS[:5]))
+    return f"SELECT o_orderkey, size, CASE {cases} ELSE 'moreB' END AS short, CASE {strict} ELSE (size >> 50) || 'EB' END AS strict FROM (SELECT o_orderkey, {_SIZE} AS size FROM orders)"
+
+
+@query(_human_sql())
+def human_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir).select("o_orderkey", "size", human.human_size(F.col("size")).alias("short"), human.human_size_strict(F.col("size")).alias("strict"))
+
+
+@query(f"SELECT o_orderkey, size AS parsed FROM (SELECT o_orderkey, {_SIZE} AS size FROM orders)")
+def parse_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = _sizes(spark, sf_dir).select("o_orderkey", human.human_size_strict(F.col("size")).alias("text"))
+    return written.select("o_orderkey", human.parsed_size(F.col("text")).alias("parsed"))
+
+
+def _trimmed(value: str, digits: int) -> str:
+    return f"regexp_replace(printf('%.{digits}f', round_even({value}, {digits})), '\\.?0+$', '')"
+
+
+@query(
+    "SELECT event_id, CASE WHEN ms < 1000 THEN ms || 'msec' "
+    + " ".join(f"WHEN ms < {limit} THEN {_trimmed(f'ms / {step}', digits)} || '{unit}'" for limit, step, digits, unit in ((60_000, 1000, 2, "sec"), (3_600_000, 60_000, 1, "min"), (86_400_000, 3_600_000, 1, "hrs")))
+    + f" ELSE {_trimmed('ms / 86400000', 1)} || 'days' END AS took FROM (SELECT event_id, event_id * 7919 * (1 + event_id % 50) % 600000000 AS ms FROM events)"
+)
+def human_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    msec = F.col("event_id") * 7919 * (1 + F.col("event_id") % 50) % 600_000_000
+    return views.table(spark, sf_dir, "events").select("event_id", human.human_time(msec).alias("took"))
+
+
+def _speed_sql() -> str:
+    text = lambda v, u: f"printf('%.2f', round_even({v}, 2)) || '{u}B/s'"
+    cases = " ".join(f"WHEN rate < {1024.0 ** (p + 1)} THEN {text(f'rate / {1024.0**p}', u)}" for p, u in ((0, ""), (1, "k"), (2, "M"), (3, "G")))
+    return f"SELECT o_orderkey, CASE WHEN rate < 0.1 THEN {text('rate * 1024.0', 'm')} {cases} ELSE {text(f'rate / {1024.0**4}', 'T')} END AS speed FROM (SELECT o_orderkey, CAST(size AS DOUBLE) / (1 + o_orderkey % 97) AS rate FROM (SELECT o_orderkey, {_SIZE} AS size FROM orders))"
+
+
+@query(_speed_sql())
+def human_speed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sizes(spark, sf_dir).select("o_orderkey", human.human_speed(F.col("size"), 1 + F.col("o_orderkey") % 97).alias("speed"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%H_%M_%S_%g') AS clock FROM events")
+def date_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.table(spark, sf_dir, "events").select("event_id", human.date_name(F.col("ts"), "-").alias("day"), human.time_name(F.col("ts"), "_").alias("clock"))
+
+
+# Alignment
+
+_ALIGNED = "CAST(i AS BIGINT) AS id1, CAST(j AS BIGINT) AS id2, CAST(weight AS BIGINT) AS weight, mask, CAST(direction AS BIGINT) AS direction"
+
+
+@query(with_views(f"SELECT {_ALIGNED}, CAST(shift1 AS BIGINT) AS shift1, CAST(shift2 AS BIGINT) AS shift2 FROM aligned WHERE i > j", "aligned"))
+def pairwise_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.all_pairs(views.words(spark, sf_dir))
+
+
+@query()
+def weight_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.weight_matrix(views.words(spark, sf_dir))
+
+
+ORACLES["weight_matrix"] = with_views(
+    "SELECT i, j, CAST(weight AS BIGINT) AS weight FROM aligned WHERE i > j UNION ALL SELECT j, i, CAST(weight AS BIGINT) FROM aligned WHERE i > j UNION ALL SELECT id, id, CAST(0 AS BIGINT) FROM words", "aligned"
+)
+
+
+def _one_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.multiple(views.words(spark, sf_dir).withColumn("cluster", F.lit(0)))
+
+
+@query(with_views("SELECT CAST(id AS BIGINT) AS id, cnt, CAST(direction AS BIGINT) AS direction, CAST(shift AS BIGINT) AS shift, row FROM multi_rows", "multi_rows"))
+def multi_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return big(_one_cluster(spark, sf_dir).drop("cluster"), "id")
+
+
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE substr(row, k, 1) = '{b.upper()}') AS {b}" for b in "atgc")
+_BEST = (
+    "CASE " + " ".join(f"WHEN {b} >= t0 // 2 THEN '{b.upper()}'" for b in "atgc") + " " + " ".join(f"WHEN {b} >= t0 // 3 THEN '{b}'" for b in "atgc") + " ELSE ' ' END"
+)
+
+
+@query(
+    with_views(
+        f"SELECT string_agg(CASE WHEN t0 > n // 3 THEN {_BEST} ELSE ' ' END, '' ORDER BY k) AS mask FROM (SELECT *, a + t + g + c AS t0 FROM "
+        f"(SELECT k, {_COUNTS}, count(*) AS n FROM multi_rows, (SELECT unnest(range(1, (SELECT max(len(row)) FROM multi_rows) + 1)) AS k) GROUP BY k))",
+        "multi_rows",
+    )
+)
+def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.consensus(_one_cluster(spark, sf_dir)).select("mask")
+
+
+@query(with_views("SELECT CAST(id + 1 AS BIGINT) AS id, word AS label, cnt AS size FROM words", "words"))
+def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.graph_nodes(views.words(spark, sf_dir))
+
+
+@query(with_views("SELECT i + 1 AS source, j + 1 AS target, mask AS label, CAST(weight - 4 AS BIGINT) AS weight, 'Undirected' AS type, CAST(direction AS BIGINT) AS direction FROM aligned WHERE i > j AND weight >= 5", "aligned"))
+def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.graph_edges(align.all_pairs(views.words(spark, sf_dir)))
+
+
+@query(
+    with_views(
+        "SELECT id, cnt AS grp_size, CAST(len(word) AS BIGINT) AS chain_len, word AS original, translate(word, 'ATGC', 'TACG') AS inversed, reverse(word) AS reversed, reverse(translate(word, 'ATGC', 'TACG')) AS revinversed FROM words",
+        "words",
+    )
+)
+def element_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.element_log(views.words(spark, sf_dir))
+
+
+# Clusters
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = views.words(spark, sf_dir)
+    return cluster.graph(words, align.all_pairs(words))
+
+
+@query(
+    with_views(
+        "SELECT round((w - k / (2 * m)) / (2 * m), 9) AS q FROM (SELECT sum(w) AS w FROM both_ways WHERE i % 4 = j % 4), "
+        "(SELECT sum(k * k) AS k FROM (SELECT sum(w)::DOUBLE AS k FROM both_ways GROUP BY i % 4)), (SELECT sum(w)::DOUBLE AS m FROM edges)",
+        "both_ways",
+    )
+)
+def modularity_q(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assigned = views.words(spark, sf_dir).select(F.col("id").cast("bigint").alias("id"), (F.col("id") % 4).alias("cluster"))
+    return cluster.modularity(_edges(spark, sf_dir), assigned).select(F.round("q", 9).alias("q"))
+
+
+@query(
+    with_views(
+        "SELECT i, j, round(w / (2 * m) - 2 * (kj / (2 * m)) * (ki / (2 * m)), 9) AS gain FROM edges JOIN (SELECT i, sum(w) AS ki FROM both_ways WHERE i <> j GROUP BY i) USING (i) "
+        "JOIN (SELECT i AS j, sum(w) AS kj FROM both_ways WHERE i <> j GROUP BY i) USING (j), (SELECT sum(w)::DOUBLE AS m FROM edges) WHERE i > j",
+        "both_ways",
+    )
+)
+def merge_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.merge_gains(_edges(spark, sf_dir)).withColumn("gain", F.round("gain", 9))
+
+
+@query()
+def modularity_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster.clusters(_edges(spark, sf_dir))
+
+
+@query(with_views("SELECT CAST(id % 4 AS BIGINT) AS cluster, CAST(count(*) AS BIGINT) AS words, CAST(sum(cnt) AS BIGINT) AS total FROM words GROUP BY id % 4 HAVING sum(cnt) > 16", "words"))
+def cluster_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = views.words(spark, sf_dir)
+    return cluster.totals(words, words.select("id", (F.col("id") % 4).cast("bigint").alias("cluster")), 16)
+
+
+# Motifs
+
+
+def _ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = F.when(F.col("id") % 6 < 2, F.substring("word", 1, 9)).otherwise(F.col("word"))
+    return views.words(spark, sf_dir).select((F.col("id") % 2).cast("bigint").alias("cluster"), "id", "cnt", row.alias("row"))
+
+
+def _motifs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motif.extract(align.columns(_ragged(spark, sf_dir), "cnt"))
+
+
+_PFM = "CAST(motif_id AS BIGINT) AS motif_id, CAST(pos AS BIGINT) AS pos, " + ", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("a", "t", "g", "c", "norm", "cnt"))
+
+
+@query(with_views(f"SELECT {_PFM} FROM pfm", "pfm"))
+def pfm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _motifs(spark, sf_dir)
+
+
+_MASK = (
+    "CASE " + " ".join(f"WHEN {b} > cnt // 2 THEN '{b.upper()}'" for b in "atgc") + " " + " ".join(f"WHEN {b} > cnt / 2.5 THEN '{b}'" for b in "atgc") + " " + " ".join(f"WHEN {b} > cnt // 3 THEN '{b}'" for b in "atgc") + " ELSE '?' END"
+)
+
+
+@query(with_views(f"SELECT CAST(motif_id AS BIGINT) AS motif_id, CAST(max(cnt) AS BIGINT) AS cnt, string_agg({_MASK}, '' ORDER BY pos) AS mask, round(sum(ln(greatest(a, t, g, c))), 6) AS ln_best FROM pfm GROUP BY motif_id", "pfm"))
+def pfm_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motif.packed(_motifs(spark, sf_dir)).select("motif_id", "cnt", "mask", F.round(-F.log("norm_score"), 6).alias("ln_best"))
+
+
+def _factor(mode: str) -> tuple[str, str]:
+    if mode == "eps":
+        return "CASE WHEN v = 0 THEN 1 ELSE v END", "top"
+    if mode == "strict":
+        return "v", "top"
+    power = "CAST(norm AS DOUBLE) / CAST(cnt AS DOUBLE)"
+    return f"pow(CASE WHEN v <= 0 THEN 0.1 ELSE v END, {power})", f"pow(top, {power})"
+
+
+def _scored_sql(mode: str) -> str:
+    v, top = _factor(mode)
+    return with_views(
+        f"SELECT CAST(motif_id AS BIGINT) AS motif_id, word, round(product(({v})::DOUBLE / ({top})::DOUBLE), 9) AS score FROM (SELECT word, unnest(range(0, 10)) AS k FROM words) w "
+        "JOIN pfm_long p ON p.pos = k AND p.base = substr(word, k + 1, 1) GROUP BY motif_id, word",
+        "words", "pfm_long",
+    )
+
+
+def _scored(mode: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = motif.scores_at(views.words(spark, sf_dir).select("word"), _motifs(spark, sf_dir), mode)
+        return made.withColumn("score", F.round("score", 9))
+
+    return run
+
+
+for _mode in motif.MODES:
+    QUERIES[f"score_{_mode}"], ORACLES[f"score_{_mode}"] = _scored(_mode), _scored_sql(_mode)
+
+_AT = (
+    "SELECT motif_id, frag_id, d, s, product({v}::DOUBLE / {top}::DOUBLE) AS score FROM (SELECT *, unnest(range(0, 10)) AS k FROM (SELECT *, unnest(range(0, len(seq) - 10)) AS s FROM "
+    f"(SELECT frag_id, d, {orient('seq')} AS seq FROM (SELECT *, unnest(range(0, 4)) AS d FROM neg_seqs)))) w JOIN pfm_long p ON p.pos = k AND p.base = substr(w.seq, s + k + 1, 1) GROUP BY motif_id, frag_id, d, s"
+)
+_EPS = _AT.format(v=f"({_factor('eps')[0]})", top="(top)")
+
+
+@query(
+    with_views(
+        f"SELECT f.frag_id, m.motif_id, round(coalesce(max(score), 0), 6) AS score FROM neg_seqs f CROSS JOIN (SELECT DISTINCT motif_id FROM pfm) m LEFT JOIN ({_EPS}) s ON s.frag_id = f.frag_id AND s.motif_id = m.motif_id GROUP BY f.frag_id, m.motif_id",
+        "neg_seqs", "pfm_long",
+    )
+)
+def max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motif.max_scores(views.neg_seqs(spark, sf_dir), _motifs(spark, sf_dir), "eps").withColumn("score", F.round("score", 6))
+
+
+@query(
+    with_views(
+        f"SELECT f.frag_id, round(coalesce(max(score), 0), 6) AS score FROM neg_seqs f LEFT JOIN (SELECT frag_id, d, s, (sum(CASE WHEN motif_id = 0 THEN score ELSE -score END) + 1) / 2 AS score FROM ({_EPS}) GROUP BY frag_id, d, s) x USING (frag_id) GROUP BY f.frag_id",
+        "neg_seqs", "pfm_long",
+    )
+)
+def diff_motif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    motifs = _motifs(spark, sf_dir)
+    return motif.diff_scores(views.neg_seqs(spark, sf_dir), motifs.where("motif_id = 0"), motifs.where("motif_id = 1"), "eps").withColumn("score", F.round("score", 6))
+
+
+@query()
+def strict_motif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motif.strict_scores(views.words(spark, sf_dir).select("word"), "ATGCATTGCA").withColumn("score", F.round("score", 9))
+
+
+ORACLES["strict_motif"] = with_views(
+    "SELECT word, round(max(n) / 10, 9) AS score FROM (SELECT w.word, p.d, sum((substr(w.word, k, 1) = substr(p.form, k, 1))::INT) AS n FROM words w, "
+    f"(SELECT d, {orient('pat')} AS form FROM (SELECT 'ATGCATTGCA' AS pat, unnest(range(0, 4)) AS d)) p, range(1, 11) t(k) GROUP BY w.word, p.d) GROUP BY word",
+    "words",
+)
+
+
+@query(
+    with_views(
+        "SELECT CAST(motif_id AS BIGINT) AS motif_id, word, round(max(score), 9) AS score FROM (SELECT motif_id, word, d, product(v::DOUBLE / norm::DOUBLE) AS score FROM "
+        f"(SELECT word, d, form, unnest(range(0, 10)) AS k FROM (SELECT word, d, {orient('word')} AS form FROM (SELECT word, unnest(range(0, 4)) AS d FROM words))) x JOIN pfm_long p ON p.pos = k AND p.base = substr(form, k + 1, 1) "
+        "GROUP BY motif_id, word, d) GROUP BY motif_id, word",
+        "words", "pfm_long",
+    )
+)
+def prob_motif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motif.probability_scores(views.words(spark, sf_dir).select("word"), _motifs(spark, sf_dir)).withColumn("score", F.round("score", 9))
+
+
+_FIRST = "CASE WHEN a = most THEN 0 WHEN t = most THEN 1 WHEN g = most THEN 2 ELSE 3 END"
+_BEFORE = "CASE first WHEN 1 THEN a WHEN 2 THEN greatest(a, t) WHEN 3 THEN greatest(a, t, g) END"
+
+
+@query(
+    with_views(
+        "SELECT CAST(motif_id AS BIGINT) AS motif_id, string_agg(CASE WHEN norm = 0 OR most = 0 THEN '*' WHEN coalesce(before, 0) = 0 OR most * 2 > norm OR most > before * 2 THEN substr('ATGC', first + 1, 1) "
+        f"WHEN most * 3 > norm THEN substr('atgc', first + 1, 1) ELSE '?' END, '' ORDER BY pos) AS text FROM (SELECT *, {_BEFORE} AS before FROM (SELECT *, {_FIRST} AS first FROM (SELECT *, greatest(a, t, g, c) AS most FROM pfm))) GROUP BY motif_id",
+        "pfm",
+    )
+)
+def prob_motif_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motif.probability_text(_motifs(spark, sf_dir))
+
+
+@query()
+def motif_cross_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return motif.cross_test(_one_cluster(spark, sf_dir), _motifs(spark, sf_dir))
+
+
+# Evaluation
+
+
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a simple kind: the share of each base in the positive and the negative fragments."""
+    sides = views.pos_seqs(spark, sf_dir).withColumn("side", F.lit("peak")).unionByName(views.neg_seqs(spark, sf_dir).withColumn("side", F.lit("noise"))).where("seq <> ''")
+    each = F.explode(F.array(*[F.struct(F.lit(b).alias("motif_id"), (S.base_count("seq", b) / F.length("seq")).alias("score")) for b in S.SYMBOLS]))
+    return sides.select("side", each.alias("s")).select("s.motif_id", "side", "s.score")
+
+
+@query(with_views("SELECT motif_id, i, thr, round(x, 6) AS x, round(y, 6) AS y FROM curve", "curve"))
+def roc_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.roc(_shares(spark, sf_dir), ROC_GRID).withColumns({c: F.round(c, 6) for c in ("x", "y")})
+
+
+@query(with_views("SELECT motif_id, round(auc, 6) AS auc FROM areas", "areas"))
+def auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluate.auc(evaluate.roc(_shares(spark, sf_dir), ROC_GRID)).withColumn("auc", F.round("auc", 6))
+
+
+@query(
+    with_views(
+        "(SELECT motif_id, round(auc, 6) AS auc, 'top' AS kind FROM areas ORDER BY auc DESC, motif_id LIMIT 2) UNION ALL (SELECT motif_id, round(auc, 6) AS auc, 'bottom' AS kind FROM areas ORDER BY auc, motif_id LIMIT 2)", "areas"
+    )
+)
+def top_bottom_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    areas = evaluate.auc(evaluate.roc(_shares(spark, sf_dir), ROC_GRID))
+    return evaluate.top_and_bottom(areas.withColumn("auc", F.round("auc", 6)))
+
+
+_TABLE = "(SELECT l_orderkey % 300 AS p, l_partkey % 200 AS n, 300 + l_linenumber AS total_p, 200 + l_linenumber * 10 AS total_n FROM lineitem)"
+_ARGS = ("p", "n", "total_p", "total_n")
+
+
+def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = views.table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") % 300).alias("p"), (F.col("l_partkey") % 200).alias("n"), (300 + F.col("l_linenumber")).alias("total_p"), (200 + F.col("l_linenumber") * 10).alias("total_n")
+    )
+    return big(found, *_ARGS).distinct()
+
+
+@query(f"SELECT DISTINCT p, n, CAST(total_p AS BIGINT) AS total_p, CAST(total_n AS BIGINT) AS total_n, round(CASE WHEN p * total_n < total_p * n THEN 0.0 ELSE {ln_choose('(total_p + total_n)', '(p + n)')} - {ln_choose('total_p', 'p')} - {ln_choose('total_n', 'n')} END, 6) + 0.0 AS inf FROM {_TABLE}")
+def fisher_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir).withColumn("inf", F.round(scores.fisher_information(*[F.col(c) for c in _ARGS]), 6) + 0.0)
+
+
+@query(
+    f"SELECT DISTINCT p, n, CAST(total_p AS BIGINT) AS total_p, CAST(total_n AS BIGINT) AS total_n, round({INFORMATION}, 6) + 0.0 AS inf, round((p + n) / (total_p + total_n), 9) AS delta, "
+    "(p = total_p AND n = 0) AS very_good, ((p = 0 AND n = 0) OR (p = total_p AND n = total_n)) AS trivial, "
+    "((p = total_p AND n = 0) OR (NOT ((p = 0 AND n = 0) OR (p = total_p AND n = total_n)) AND n / (p + n) < 0.5)) AS interesting "
+    f"FROM {_TABLE}"
+)
+def score_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    args = [F.col(c) for c in _ARGS]
+    return _table(spark, sf_dir).withColumns(
+        {
+            "inf": F.round(scores.informativity(*args), 6) + 0.0, "delta": F.round(scores.coverage(*args), 9), "very_good": scores.is_very_good(*args),
+            "trivial": scores.is_trivial(*args), "interesting": scores.is_interesting(*args),
+        }
+    )
+
+
+# Genetic search
+
+
+def _fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pos, neg = views.pos_seqs(spark, sf_dir), views.neg_seqs(spark, sf_dir)
+    counts = W.counted(pos, SMALL_K)
+    return search.fitness(counts.select("word"), counts, W.counted(neg, SMALL_K), search.totals(pos), search.totals(neg))
+
+
+@query(with_views("SELECT word, p, n, CAST(total_p AS BIGINT) AS total_p, CAST(total_n AS BIGINT) AS total_n, round(inf, 5) + 0.0 AS inf FROM fit WHERE p <= total_p AND n <= total_n", "fit"))
+def ga_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fitness(spark, sf_dir).where("p <= total_p AND n <= total_n").withColumn("inf", F.round("inf", 5) + 0.0)
+
+
+@query(with_views(f"SELECT word, ({most_of_a_base('word')} > 2 * len(word) // 3 OR translate(word, 'GC', '') = '' OR translate(word, 'AT', '') = '') AS failed FROM pos_six", "pos_six"))
+def ga_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W.counted(views.pos_seqs(spark, sf_dir), SMALL_K).select("word", search.degenerate(F.col("word")).alias("failed"))
+
+
+@query(
+    with_views(
+        f"SELECT word, round(inf, 5) + 0.0 AS inf FROM fit WHERE p <= total_p AND n <= total_n ORDER BY round(inf, 5) DESC, translate(word, 'ATGC', '0123') DESC LIMIT {POPULATION}", "fit"
+    )
+)
+def ga_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.select(ga_fitness(spark, sf_dir), POPULATION).select("word", "inf")
+
+
+@query()
+def ga_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(views.pos_seqs(spark, sf_dir), views.neg_seqs(spark, sf_dir), generations=3, pop_size=POPULATION, length=9)
+
+
+@query()
+def main_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.motif_discovery(views.pos_seqs(spark, sf_dir), views.neg_seqs(spark, sf_dir))
+
+
+@query()
+def ga_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.word_search(views.pos_seqs(spark, sf_dir), views.neg_seqs(spark, sf_dir))
