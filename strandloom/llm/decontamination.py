@@ -7,14 +7,16 @@
    orthogonalisation of a BINS x (RANK + extra) block. It is fitted on the passages of at most about
    ``fit_docs`` documents, chosen by a hash of the id, and of the benchmark.
 3. Every document is searched whole. Windows of several lengths, each sliding by half its length,
-   are projected as differences of running sums of their words' vectors; those whose cosine with a
-   benchmark item of about that length reaches ``COSINE`` are candidates.
-4. A candidate is checked on the words around it: the longest common subsequence with the item, and
-   how many of the item's answer words (its rarest) occur. It is a leak if the subsequence holds
-   ``LCS_ALONE`` of the item, or ``LCS_WITH_ANSWER`` and the region holds ``ANSWER_SHARE`` of the answer words.
+   are projected as sums of their words' vectors; those whose cosine with a benchmark item of about that
+   length reaches ``COSINE`` are candidates.
+4. A candidate is checked on the words around it, in stretches a quarter longer than the item: the
+   longest common subsequence with the item, and how many of the item's answer words (its rarest) occur. It is a leak if the subsequence holds
+   ``LCS_ALONE`` of the item, or ``LCS_WITH_ANSWER`` and the region holds ``ANSWER_SHARE`` of the answer
+   words; in either case two answer words at least (all, of an item with fewer).
 
-The benchmark is the stated query set; it is taken in blocks of ``ITEM_BLOCK`` items, each small enough to
-send to every task, so its size has no bound. Nothing else grows with the corpus but the passes.
+Words are compared by 64-bit hashes, computed for many texts at once. The benchmark is the stated query
+set; it is taken in blocks of ``ITEM_BLOCK`` items, each small enough to send to every task, so its size
+has no bound. Nothing else grows with the corpus but the passes.
 
 Edge cases: null or empty texts and items hold and match nothing; items of equal text each match;
 rows with equal ids are reported once a row, their best window each; ties of windows go to the
@@ -23,7 +25,7 @@ earliest; an empty table, or an empty benchmark, gives an empty result; other co
 
 from __future__ import annotations
 
-import zlib
+import functools
 
 import numpy as np
 import pyarrow as pa
@@ -32,50 +34,72 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import cut, filter_slices, id_and_text, sum_blocks, table
 
-BINS = 1 << 15
+BIN_BITS = 14
+BINS = 1 << BIN_BITS
 RANK, EXTRA, ROUNDS = 48, 12, 3
 SEED = 11
 PASSAGE = 48
 FIT_DOCS, FIT_TASKS = 8000, 12
 ITEM_BLOCK = 20_000
-COSINE = 0.42
-LCS_ALONE, LCS_WITH_ANSWER, ANSWER_WORDS, ANSWER_SHARE = 0.8, 0.5, 5, 0.8
-#: Window lengths grow by this factor from the least.
-LADDER, LEAST_WINDOW = 1.5, 8
-#: Words projected at once.
-BLOCK_WORDS = 100_000
-#: Words whose bin a worker remembers.
-MEMO_WORDS = 500_000
+COSINE = 0.35
+LCS_ALONE, LCS_WITH_ANSWER, ANSWER_WORDS, ANSWER_SHARE, LEAST_ANSWER = 0.8, 0.5, 5, 0.8, 2
+#: Window lengths grow by this factor from the least; windows begin and end at multiples of the grain.
+LADDER, LEAST_WINDOW, GRAIN = 1.5, 8, 4
+#: Texts that are hashed at once, words that are projected at once.
+TEXTS, BLOCK_WORDS = 64, 60_000
+FLAG_BITS = 20
 
 _TABLE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
+_LONGEST = 1024  # places of a word's bytes that have a factor of their own
 
 
-def tokens(text: str) -> list[bytes]:
-    return text.lower().encode().translate(_TABLE).split()
+@functools.cache
+def _factors() -> tuple[np.ndarray, np.ndarray]:
+    rnd = np.random.default_rng(SEED)
+    return rnd.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1), rnd.integers(1, 1 << 63, _LONGEST, dtype=np.uint64) | np.uint64(1)
 
 
-class Bins(dict):
-    """The hashed bin of each word, remembered."""
+def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of the texts' words, words of each text)."""
+    parts = [t.lower().encode() for t in texts]
+    data = np.frombuffer((b" ".join(parts) + b" ").translate(_TABLE), dtype=np.uint8)
+    inside = data != 32
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    begin, size = edge[::2], edge[1::2] - edge[::2]
+    if not len(begin):
+        return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
+    first = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(first, size)
+    by_byte, by_place = _factors()
+    h = np.add.reduceat(by_byte[data[inside]] * by_place[place & (_LONGEST - 1)], first)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+    return h, np.bincount(np.searchsorted(starts, begin, side="right") - 1, minlength=len(texts))
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        found = self[word] = (zlib.crc32(word) * 0x9E3779B1 & 0xFFFFFFFF) >> 17
-        return found
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.int32, count=len(words))
+def bin_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - BIN_BITS)).astype(np.int32)
+
+
+def in_slices(batches, size: int = TEXTS):
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            yield batch.slice(at, size)
 
 
 def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """(documents that hold each bin's words, documents), over all rows."""
 
     def count(batches):
-        bins, total = Bins(), np.zeros(BINS + 1)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total[np.unique(bins.of(tokens(text)))] += 1
-                total[BINS] += 1
+        total = np.zeros(BINS + 1)
+        for part in in_slices(batches):
+            hashes, sizes = hashed(part.column(0).to_pylist())
+            seen = np.zeros((len(sizes), BINS), dtype=bool)
+            seen[np.repeat(np.arange(len(sizes)), sizes), bin_of(hashes)] = True
+            total[:BINS] += seen.sum(axis=0, dtype=np.int32)
+            total[BINS] += len(sizes)
         if total[BINS]:
             yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "block"])
 
@@ -100,27 +124,28 @@ def fit(sample: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
         sent = sample.sparkSession.sparkContext.broadcast(weight * block)  # of a fixed size
 
         def run(batches):
-            bins, total, any_row = Bins(), np.zeros((BINS, width)), False
-            for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    ids = bins.of(tokens(text))
-                    if not len(ids):
+            total, any_row = np.zeros((BINS, width)), False
+            for part in in_slices(batches):
+                hashes, sizes = hashed(part.column(0).to_pylist())
+                every, at = bin_of(hashes), 0
+                for n in sizes.tolist():
+                    ids = every[at : at + n]
+                    at += n
+                    if not n:
                         continue
-                    at = passages(ids)
-                    rows = np.add.reduceat(sent.value[ids], at, axis=0)
-                    owner = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ids))))
-                    # A passage of length one in TF-IDF space, so that long and rare ones weigh the same.
-                    pair = owner.astype(np.int64) * BINS + ids
-                    cell, tf = np.unique(pair, return_counts=True)
-                    norm = np.bincount(cell // BINS, (tf * idf[cell % BINS]) ** 2, minlength=len(at))
-                    rows = rows / np.maximum(norm, 1e-9)[:, None]
-                    np.add.at(total, ids, rows[owner])
+                    begin = passages(ids)
+                    rows = np.add.reduceat(sent.value[ids], begin, axis=0)
+                    owner = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
+                    # A passage has length one in TF-IDF space, so that long and rare ones weigh the same.
+                    cell, tf = np.unique(owner.astype(np.int64) * BINS + ids, return_counts=True)
+                    norm = np.bincount(cell // BINS, (tf * idf[cell % BINS]) ** 2, minlength=len(begin))
+                    np.add.at(total, ids, (rows / np.maximum(norm, 1e-9)[:, None])[owner])
                     any_row = True
             if any_row:
                 yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "block"])
 
         found = sum_blocks(sample.select("text").mapInArrow(run, "part int, block binary"), "part", "int").collect()
-        sent.unpersist()
+        sent.destroy()
         return (np.frombuffer(found[0].block, dtype="<f8").reshape(BINS, width) if found else np.zeros((BINS, width))) * weight
 
     made = product(basis)
@@ -133,16 +158,17 @@ def fit(sample: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
 
 
 class Item:
-    def __init__(self, item_id: int, words: list[bytes], ids: np.ndarray, idf: np.ndarray):
-        self.item_id, self.words, self.ids = item_id, words, ids
-        self.places: dict[bytes, int] = {}
-        for k, w in enumerate(words):
+    def __init__(self, item_id: int, words: np.ndarray, idf: np.ndarray):
+        self.item_id, self.words = item_id, words
+        self.places: dict[int, int] = {}
+        for k, w in enumerate(words.tolist()):
             self.places[w] = self.places.get(w, 0) | 1 << k
-        rarest = sorted(set(words), key=lambda w: (-idf[ids[words.index(w)]], w))
+        rarest = sorted(self.places, key=lambda w: (-idf[w >> (64 - BIN_BITS)], w))
         self.answer = frozenset(rarest[:ANSWER_WORDS])
+        self.least_answer = min(LEAST_ANSWER, len(self.answer))
 
 
-def common_subsequence(item: Item, words: list[bytes]) -> int:
+def common_subsequence(item: Item, words: list[int]) -> int:
     """Length of the longest common subsequence, by bit-parallel rows."""
     n = len(item.words)
     full = row = (1 << n) - 1
@@ -157,21 +183,24 @@ def common_subsequence(item: Item, words: list[bytes]) -> int:
 def window_of(n_words: int) -> int:
     length = LEAST_WINDOW
     while length < n_words:
-        length = int(length * LADDER)
+        length = -(-int(length * LADDER) // GRAIN) * GRAIN
     return length
 
 
 class Searcher:
     def __init__(self, items: list[tuple[int, str]], projection: np.ndarray, idf: np.ndarray):
-        self.bins, self.projection = Bins(), projection
+        self.projection = projection
         self.levels: dict[int, tuple[list[Item], np.ndarray]] = {}
         grouped: dict[int, list[Item]] = {}
+        self.flag = np.zeros(1 << FLAG_BITS, dtype=np.int32)
         for item_id, text in items:
-            words = tokens(text)
-            if words:
-                grouped.setdefault(window_of(len(words)), []).append(Item(item_id, words, self.bins.of(words), idf))
+            words, _ = hashed([text])
+            if len(words):
+                item = Item(item_id, words, idf)
+                grouped.setdefault(window_of(len(words)), []).append(item)
+                self.flag[[w & ((1 << FLAG_BITS) - 1) for w in item.answer]] = 1
         for length, group in sorted(grouped.items()):
-            vectors = np.stack([projection[i.ids].sum(axis=0) for i in group])
+            vectors = np.stack([projection[bin_of(i.words)].sum(axis=0) for i in group])
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
             self.levels[length] = (group, np.ascontiguousarray(vectors.T))
         self.reach = max(self.levels, default=0)
@@ -179,64 +208,76 @@ class Searcher:
     def search(self, texts: list[str]) -> list[tuple[int, int, float, float, float, int]]:
         """(number of the text, item, cosine, share of the item in the subsequence, share of answer words, first word)."""
         found: dict[tuple[int, int], tuple] = {}
-        words_of, lengths = [], []
-        for text in texts:
-            words_of.append(tokens(text))
-            lengths.append(len(words_of[-1]))
-        part: list[tuple[int, int, int]] = []
-        held = 0
-        for k, n in enumerate(lengths):
-            at = 0
-            while at < n and self.levels:
-                stop = min(n, at + BLOCK_WORDS)
-                part.append((k, at, stop))
-                held += stop - at
-                if held >= BLOCK_WORDS:
-                    self._block(part, words_of, found)
-                    part, held = [], 0
-                at = n if stop == n else stop - self.reach
-        if part:
-            self._block(part, words_of, found)
+        if self.levels:
+            hashes, sizes = hashed(texts)
+            first = np.cumsum(sizes) - sizes
+            part: list[tuple[int, int, int]] = []  # text, from, to
+            held = 0
+            for k, n in enumerate(sizes.tolist()):
+                at = 0
+                while at < n:
+                    stop = min(n, at + BLOCK_WORDS)
+                    part.append((k, at, stop))
+                    held += stop - at
+                    if held >= BLOCK_WORDS:
+                        self._block(part, hashes, first, sizes, found)
+                        part, held = [], 0
+                    at = n if stop == n else stop - 2 * self.reach if 2 * self.reach < BLOCK_WORDS // 2 else stop - BLOCK_WORDS // 2
+            if part:
+                self._block(part, hashes, first, sizes, found)
         return [(k, item, *rest) for (k, item), rest in sorted(found.items())]
 
-    def _block(self, part, words_of, found) -> None:
-        ids = np.concatenate([self.bins.of(words_of[k][a:b]) for k, a, b in part])
-        sums = np.zeros((len(ids) + 1, self.projection.shape[1]), dtype=np.float32)
-        np.cumsum(self.projection[ids], axis=0, out=sums[1:])
-        sizes = np.array([b - a for _, a, b in part])
-        first = np.cumsum(sizes) - sizes
+    def _block(self, part, hashes, first, sizes, found) -> None:
+        words = np.concatenate([hashes[first[k] + a : first[k] + b] for k, a, b in part])
+        size = np.array([b - a for _, a, b in part])
+        begin = np.cumsum(size) - size
+        # Sums of the vectors of GRAIN words each, none across two texts, then running sums of those.
+        grains = -(-size // GRAIN)
+        low = np.cumsum(grains) - grains
+        at = np.repeat(begin, grains) + GRAIN * (np.arange(grains.sum()) - np.repeat(low, grains))
+        sums = np.zeros((len(at) + 1, self.projection.shape[1]), dtype=np.float32)
+        np.cumsum(np.add.reduceat(self.projection[bin_of(words)], at, axis=0), axis=0, out=sums[1:])
+        flags = np.zeros(len(words) + 1, dtype=np.int32)
+        np.cumsum(self.flag[(words & np.uint64((1 << FLAG_BITS) - 1)).astype(np.int32)], out=flags[1:])
         for length, (group, vectors) in self.levels.items():
-            step = max(1, length // 2)
+            long = length // GRAIN
+            step = max(1, long // 2)
             # Windows of each piece: one a step, the last one ending with the piece.
-            counts = np.maximum(0, -(-(sizes - length) // step)) + 1
+            counts = np.maximum(0, -(-(grains - long) // step)) + 1
             owner = np.repeat(np.arange(len(part)), counts)
             nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = first[owner] + np.minimum(nth * step, np.maximum(sizes[owner] - length, 0))
-            stop = np.minimum(start + length, first[owner] + sizes[owner])
-            for at in range(0, len(start), 8192):
-                s, e = start[at : at + 8192], stop[at : at + 8192]
-                window = sums[e] - sums[s]
+            start = low[owner] + np.minimum(nth * step, np.maximum(grains[owner] - long, 0))
+            stop = np.minimum(start + long, low[owner] + grains[owner])
+            # The region of a candidate: half a window more to both sides.
+            left = np.maximum((start - low[owner]) * GRAIN - length // 2, 0)
+            right = np.minimum((stop - low[owner]) * GRAIN + length // 2, size[owner])
+            hits = flags[begin[owner] + right] - flags[begin[owner] + left]
+            least = min(i.least_answer for i in group)
+            for b in range(0, len(start), 8192):
+                window = sums[stop[b : b + 8192]] - sums[start[b : b + 8192]]
                 norm = np.sqrt(np.einsum("ij,ij->i", window, window))
                 cosines = window @ vectors
-                row, col = np.nonzero(cosines >= (COSINE * norm)[:, None])
+                candidate = cosines >= (COSINE * norm)[:, None]
+                candidate &= (hits[b : b + 8192] >= least)[:, None]
+                row, col = np.nonzero(candidate)
                 for r, c in zip(row.tolist(), col.tolist(), strict=True):
-                    piece = int(owner[at + r])
-                    k, a, b = part[piece]
-                    begin = a + int(s[r] - first[piece])
-                    self._check(k, group[c], words_of[k], begin, begin + int(e[r] - s[r]), length, float(cosines[r, c] / max(norm[r], 1e-12)), found)
-
-    def _check(self, k, item, words, begin, end, length, cosine, found) -> None:
-        begin, end = max(0, begin - length // 2), min(len(words), end + length // 2)
-        region = words[begin:end]
-        if len(item.answer.intersection(region)) < ANSWER_SHARE * len(item.answer) * 0.5:
+                    k, a, _ = part[owner[b + r]]
+                    self._check(k, group[c], hashes[first[k] : first[k] + sizes[k]], a + int(left[b + r]), a + int(right[b + r]), float(cosines[r, c] / max(norm[r], 1e-12)), found)
+
+    def _check(self, k, item, words, begin, end, cosine, found) -> None:
+        region = words[begin:end].tolist()
+        n = len(item.words)
+        if len(item.answer.intersection(region)) < item.least_answer or common_subsequence(item, region) < LCS_WITH_ANSWER * n:
             return
-        share = common_subsequence(item, region) / len(item.words)
-        answer = len(item.answer.intersection(region)) / len(item.answer)
-        if share >= LCS_ALONE or share >= LCS_WITH_ANSWER and answer >= ANSWER_SHARE:
-            made = (cosine, share, answer, begin)
-            key = (k, item.item_id)
-            if key not in found or (share, cosine, -begin) > (found[key][1], found[key][0], -found[key][3]):
-                found[key] = made
+        # The subsequence and the answer words must stand within hardly more words than the item has.
+        room = n + n // 4 + 2
+        for at in range(0, max(1, len(region) - room + n // 8 + 1), n // 8 + 1):
+            near = region[at : at + room]
+            share, answer = common_subsequence(item, near) / n, len(item.answer.intersection(near)) / len(item.answer)
+            if answer * len(item.answer) >= item.least_answer and (share >= LCS_ALONE or share >= LCS_WITH_ANSWER and answer >= ANSWER_SHARE):
+                key = (k, item.item_id)
+                if key not in found or (share, cosine, -begin - at) > (found[key][1], found[key][0], -found[key][3]):
+                    found[key] = (cosine, share, answer, begin + at)
 
 
 def index(corpus: DataFrame, items: DataFrame, n_items: int, fit_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -289,17 +330,14 @@ def _clean(searcher: Searcher, texts: list[str]) -> list[bool]:
 def _searching(state):
     def run(batches):
         searcher = Searcher(*state.value)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                ids = rows.column(0)
-                found = searcher.search(rows.column(1).to_pylist())
-                if found:
-                    number, item, cosine, share, answer, first = zip(*found, strict=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [ids.take(pa.array(number)), pa.array(item, pa.int64()), pa.array(cosine), pa.array(share), pa.array(answer), pa.array(first, pa.int32())],
-                        names=["doc_id", "item_id", "cosine", "lcs", "answer", "first_word"],
-                    )
+        for rows in in_slices(batches, 4 * TEXTS):
+            found = searcher.search(rows.column(1).to_pylist())
+            if found:
+                number, item, cosine, share, answer, first = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column(0).take(pa.array(number)), pa.array(item, pa.int64()), pa.array(cosine), pa.array(share), pa.array(answer), pa.array(first, pa.int32())],
+                    names=["doc_id", "item_id", "cosine", "lcs", "answer", "first_word"],
+                )
 
     return run
 
