@@ -124,3 +124,39 @@ def judge(df: DataFrame, rules=RULES, id_col: str = "doc_id", text_col: str = "t
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _rules_sql(rules=RULES) -> str:
+    kept = []
+    for measure, least, most in rules:
+        kept += [f"{measure} >= {least}"] if least is not None else []
+        kept += [f"{measure} <= {most}"] if most is not None else []
+    return " AND ".join(kept)
+
+
+OP8_SQL = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t FROM documents
+), s AS (
+  SELECT doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '[\x20\x09-\x0D]', '', 'g') <> '') AS lines FROM d
+), x AS (
+  SELECT doc_id, i, array_to_string(words[i:i+4], ' ') AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM s)
+), r AS (
+  SELECT doc_id, sum(least(5, i - before)) AS n FROM (
+    SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i - 5) AS before FROM (
+      SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM x) WHERE c > 1) GROUP BY doc_id
+), m AS (
+  SELECT s.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) AS BIGINT) AS n_lines,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
+    len(list_filter(words, lambda w: list_contains(['{"', '".join(dict.fromkeys(STOP_WORDS))}'], lower(w)))) AS n_stop_words
+  FROM s LEFT JOIN r USING (doc_id)
+), q AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(word_chars, 0), 0) AS symbol_ratio,
+    coalesce(n_stop_words / nullif(n_words, 0), 0) AS stop_word_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio,
+    coalesce(n_repeat_words / nullif(n_words, 0), 0) AS repeat_word_ratio FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_rules_sql()} AS kept FROM q
+"""

@@ -19,5 +19,6 @@ QUERIES: dict = {
 
 ORACLES: dict[str, str] = {
     "op6_warc": warc.OP6_SQL,
+    "op8_quality_rules": quality_rules.OP8_SQL,
     "op9_substring_dedup": substring_dedup.OP9_SQL,
 }

@@ -36,8 +36,8 @@ from strandloom.llm.components import components
 
 SEED = 42
 TILE_BYTES = 128 << 10
-#: Rows compared at once within a pair of tiles.
-BLOCK = 512
+#: Rows compared at once within a pair of tiles: by population counts, by sizes.
+LEAF, BLOCK = 128, 512
 #: Links held in a task before they are contracted to a forest.
 HELD_LINKS = 1 << 20
 _LANES = np.uint64(0x0101010101010101)
@@ -106,9 +106,30 @@ def fingerprints(df: DataFrame, shingle: int = 4, words: int = 1, distinct: bool
 
 
 def parts(fp: np.ndarray) -> np.ndarray:
-    """Population counts that bound a distance: of bytes for one word, of words for several."""
+    """Population counts that bound a distance: of 16-bit parts for one word, of words for several."""
     one = fp.shape[1] == 1
-    return np.bitwise_count(fp.view(np.uint8) if one else fp).astype(np.int16)
+    return np.bitwise_count(fp.view(np.uint16) if one else fp).astype(np.int16)
+
+
+def leaves(part: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of the rows, where its blocks begin): blocks of at most about ``leaf`` rows with close counts.
+
+    The rows are halved again and again along the part whose counts spread widest, at a change of its count."""
+    blocks, todo = [], [np.arange(len(part))]
+    while todo:
+        rows = todo.pop()
+        spread = part[rows].max(axis=0) - part[rows].min(axis=0)
+        wide = int(np.argmax(spread))
+        if len(rows) <= leaf or spread[wide] == 0:
+            blocks += [rows[at : at + 4 * leaf] for at in range(0, len(rows), 4 * leaf)]
+            continue
+        count = part[rows, wide]
+        order = np.argsort(count, kind="stable")
+        middle = count[order[len(rows) // 2]]
+        low, high = np.searchsorted(count[order], [middle, middle + 1])
+        at = low if low and len(rows) // 2 - low <= high - len(rows) // 2 or high == len(rows) else high
+        todo += [rows[order[at:]], rows[order[:at]]]
+    return np.concatenate(blocks), np.cumsum([0, *map(len, blocks[:-1])])
 
 
 def apart(low_a, high_a, low_b, high_b) -> np.ndarray:
@@ -117,11 +138,21 @@ def apart(low_a, high_a, low_b, high_b) -> np.ndarray:
     return np.maximum(gap, 0).sum(axis=2)
 
 
-def boxes(values: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    at = np.arange(0, len(values), block)
+def boxes(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the greatest values of the blocks that begin at ``at``."""
     return np.minimum.reduceat(values, at, axis=0), np.maximum.reduceat(values, at, axis=0)
 
 
+def close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of words that differ in ``radius`` bits at most. For small radii the halves are compared first."""
+    if radius > 8:
+        return np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= radius)
+    half = np.bitwise_count(left.astype(np.uint32)[:, None] ^ right.astype(np.uint32)[None, :]) <= radius
+    u, v = np.divmod(np.flatnonzero(half), len(right))
+    keep = np.bitwise_count(left[u] ^ right[v]) <= radius
+    return u[keep], v[keep]
+
+
 def contracted(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Each node's least connected node."""
     label = np.arange(n)
@@ -139,22 +170,21 @@ def contracted(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             label = jumped
 
 
-def linked(a: np.ndarray, size_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, radius: int, least_ratio: float, first_radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between rows of a and of b: (node, root) over a's rows, then b's."""
+def linked(a: np.ndarray, size_a: np.ndarray, at_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, radius: int, least_ratio: float, first_radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between rows of a and of b: (node, root) over a's rows, then b's. Blocks begin at ``at_a``, ``at_b``."""
     fp = a if same else np.concatenate((a, b))
     base = 0 if same else len(a)
-    (low_a, high_a), (low_b, high_b) = boxes(parts(a), BLOCK), boxes(parts(b), BLOCK)
+    (low_a, high_a), (low_b, high_b) = boxes(parts(a), at_a), boxes(parts(b), at_b)
     near = apart(low_a, high_a, low_b, high_b) <= radius
-    (least_a, most_a), (least_b, most_b) = boxes(size_a, BLOCK), boxes(size_b, BLOCK)
+    (least_a, most_a), (least_b, most_b) = boxes(size_a, at_a), boxes(size_b, at_b)
     near &= (most_a[:, None] >= least_ratio * least_b[None, :]) & (most_b[None, :] >= least_ratio * least_a[:, None])
     if same:
         near = np.triu(near)
+    end_a, end_b = np.append(at_a[1:], len(a)), np.append(at_b[1:], len(b))
     held_u, held_v, held = [], [], 0
     for i, j in np.argwhere(near).tolist():
-        left, right = a[i * BLOCK : (i + 1) * BLOCK], b[j * BLOCK : (j + 1) * BLOCK]
-        first = np.bitwise_count(left[:, 0][:, None] ^ right[:, 0][None, :])
-        u, v = np.nonzero(first <= first_radius)
-        u, v = u + i * BLOCK, v + j * BLOCK
+        u, v = close(a[at_a[i] : end_a[i], 0], b[at_b[j] : end_b[j], 0], first_radius)
+        u, v = u + at_a[i], v + at_b[j]
         if same:
             keep = u < v
             u, v = u[keep], v[keep]
@@ -210,7 +240,9 @@ def links(nodes: DataFrame, words: int, radius: int, least_ratio: float = 0.0, f
             part = parts(values)
             sizes, bands, ids = (rows[c].to_numpy() for c in ("size", "band", "node"))
             lows, highs = part.min(axis=0).tolist(), part.max(axis=0).tolist()
-            row = [int(ids[0]), int(bands.min()), int(bands.max()), int(sizes.min()), int(sizes.max()), lows, highs, values.tobytes(), sizes.astype(np.int32).tobytes(), ids.astype(np.int64).tobytes()]
+            order, begins = (np.arange(len(ids)), np.arange(0, len(ids), BLOCK)) if least_ratio else leaves(part, LEAF)
+            blobs = [values[order], sizes[order].astype(np.int32), ids[order].astype(np.int64), begins.astype(np.int32)]
+            row = [int(ids[0]), int(bands.min()), int(bands.max()), int(sizes.min()), int(sizes.max()), lows, highs, *(x.tobytes() for x in blobs)]
             return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, kinds, strict=True)], names=names)
 
         def ready(final: bool):
@@ -227,10 +259,10 @@ def links(nodes: DataFrame, words: int, radius: int, least_ratio: float = 0.0, f
             yield from ready(False)
         yield from ready(True)
 
-    names = ["tile", "band_low", "band_high", "size_low", "size_high", "lows", "highs", "fps", "sizes", "ids"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
-    tiles = cut(spread.select("node", "fp", "size", "band").mapInArrow(cut_tiles, "tile long, band_low int, band_high int, size_low int, size_high int, lows array<int>, highs array<int>, fps binary, sizes binary, ids binary"))
-    about = tiles.drop("fps", "sizes", "ids")
+    names = ["tile", "band_low", "band_high", "size_low", "size_high", "lows", "highs", "fps", "sizes", "ids", "begins"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 4]
+    tiles = cut(spread.select("node", "fp", "size", "band").mapInArrow(cut_tiles, "tile long, band_low int, band_high int, size_low int, size_high int, lows array<int>, highs array<int>, fps binary, sizes binary, ids binary, begins binary"))
+    about = tiles.drop("fps", "sizes", "ids", "begins")
     at = lambda low, high: F.explode(F.sequence(low, high))
     one = about.select(*[F.col(c).alias(f"a_{c}") for c in about.columns], at(F.col("band_low") - reach, F.col("band_high") + reach).alias("band"))
     two = about.select(*[F.col(c).alias(f"b_{c}") for c in about.columns], at(F.col("band_low"), F.col("band_high")).alias("band"))
@@ -239,7 +271,7 @@ def links(nodes: DataFrame, words: int, radius: int, least_ratio: float = 0.0, f
     )
     sizes = (F.col("a_size_high") >= least_ratio * F.col("b_size_low")) & (F.col("b_size_high") >= least_ratio * F.col("a_size_low"))
     pairs = one.join(two, "band").where((F.col("a_tile") <= F.col("b_tile")) & sizes & (gap <= radius)).select("a_tile", "b_tile").distinct()
-    side = lambda s: tiles.select(*[F.col(c).alias(f"{s}_{c}") for c in ("tile", "fps", "sizes", "ids")])
+    side = lambda s: tiles.select(*[F.col(c).alias(f"{s}_{c}") for c in ("tile", "fps", "sizes", "ids", "begins")])
     work = pairs.join(side("a"), "a_tile").join(side("b"), "b_tile").repartition(max(tasks(spark), 1))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,8 +281,9 @@ def links(nodes: DataFrame, words: int, radius: int, least_ratio: float = 0.0, f
                 a, b = (np.frombuffer(row[f"{s}_fps"], dtype=np.uint64).reshape(-1, words) for s in "ab")
                 size_a, size_b = (np.frombuffer(row[f"{s}_sizes"], dtype=np.int32) for s in "ab")
                 ids_a, ids_b = (np.frombuffer(row[f"{s}_ids"], dtype=np.int64) for s in "ab")
+                at_a, at_b = (np.frombuffer(row[f"{s}_begins"], dtype=np.int32) for s in "ab")
                 same = row["a_tile"] == row["b_tile"]
-                u, v = linked(a, size_a, b, size_b, radius, least_ratio, first_radius, same)
+                u, v = linked(a, size_a, at_a, b, size_b, at_b, radius, least_ratio, first_radius, same)
                 ids = ids_a if same else np.concatenate((ids_a, ids_b))
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
@@ -280,6 +313,19 @@ def near_duplicates(
     return every.join(placed, ["fp", "size"] if least_ratio else ["fp"], "left").select("doc_id", "fp", "size", "component_id")
 
 
+#: For similarity 0.8 or more of sets of five-word shingles. Two sets of similarity s differ in about
+#: acos(2s / (1 + s)) / pi of the bits: 77 of 512 at 0.8, with a deviation of 8, and 98 at 0.7.
+SIMILAR = {"shingle": 5, "words": 8, "radius": 94, "first_radius": 22, "least_ratio": 0.8, "distinct": True}
+
+
+def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document, that of the smallest id, of each group of near-duplicates (similarity 0.8 or more of five-word
+    shingles, as 512-bit fingerprints tell it), with all its columns; copies of a row count once, rows without an id stay."""
+    found = near_duplicates(df, **SIMILAR, id_col=id_col, text_col=text_col)
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
+    return df.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti").distinct()
+
+
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")

@@ -69,12 +69,12 @@ def test_dense_group_and_small_blocks(spark, monkeypatch):
     base = rnd.getrandbits(64)
     values = sorted({base ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(64)) for _ in range(900)} | {rnd.getrandbits(64) for _ in range(300)})
     monkeypatch.setattr(simhash, "HELD_LINKS", 500)
-    monkeypatch.setattr(simhash, "BLOCK", 64)
     a = np.array(values, dtype=np.uint64).reshape(-1, 1)
-    order = np.lexsort(simhash.parts(a).T[::-1])
+    order, at = simhash.leaves(simhash.parts(a), 16)
+    assert sorted(order.tolist()) == list(range(len(a))) and len(at) > 20
     a = a[order]
     size = np.ones(len(a), dtype=np.int32)
-    u, v = simhash.linked(a, size, a, size, 4, 0.0, 4, True)
+    u, v = simhash.linked(a, size, at, a, size, at, 4, 0.0, 4, True)
     label = simhash.contracted(len(a), u, v)
     near = np.bitwise_count(a ^ a.T) <= 4
     i, j = np.nonzero(near)
