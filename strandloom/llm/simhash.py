@@ -313,19 +313,6 @@ def near_duplicates(
     return every.join(placed, ["fp", "size"] if least_ratio else ["fp"], "left").select("doc_id", "fp", "size", "component_id")
 
 
-#: For similarity 0.8 or more of sets of five-word shingles. Two sets of similarity s differ in about
-#: acos(2s / (1 + s)) / pi of the bits: 77 of 512 at 0.8, with a deviation of 8, and 98 at 0.7.
-SIMILAR = {"shingle": 5, "words": 8, "radius": 94, "first_radius": 22, "least_ratio": 0.8, "distinct": True}
-
-
-def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document, that of the smallest id, of each group of near-duplicates (similarity 0.8 or more of five-word
-    shingles, as 512-bit fingerprints tell it), with all its columns; copies of a row count once, rows without an id stay."""
-    found = near_duplicates(df, **SIMILAR, id_col=id_col, text_col=text_col)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti").distinct()
-
-
 def op4_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
