@@ -69,3 +69,11 @@ def test_windows_around_anchors():
 
 def test_empty_table(spark):
     assert sd.dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_messages_round_trip():
+    rnd = np.random.default_rng(3)
+    hashes = rnd.integers(0, 2**64, 50, dtype=np.uint64)
+    assert np.array_equal(sd.unpacked(sd.packed(hashes)), hashes & sd._UPPER)
+    for ids in (np.array([7]), np.array([-5, 3, 2**32 - 6]), np.array([-(2**63), 2**63 - 1, 0]), np.array([2**40, 2**40 + 9])):
+        assert sd.unpacked_ids(sd.packed_ids(ids), len(ids)).tolist() == ids.tolist()
