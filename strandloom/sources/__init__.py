@@ -1,0 +1 @@
+"""Files and derived views that operators read."""

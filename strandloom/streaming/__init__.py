@@ -1,0 +1 @@
+"""No streaming operator is part of the feature set; batch operators cover it."""
