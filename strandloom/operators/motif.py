@@ -109,6 +109,12 @@ def max_score(seq: str, scorers: list[Scorer], against: list[Scorer] | None = No
     return best
 
 
+def max_score_between(seq: str, scorer: Scorer, start: int, end: int) -> float:
+    """The greatest score of the straight sequence at starts from ``start`` to below ``end`` (and below the last start), at least 0."""
+    made = scorer.scores(turned(seq)[0])[max(start, 0) : max(end, 0)]
+    return float(made.max()) if len(made) else 0.0
+
+
 def scorers(motifs: DataFrame, mode: str = "degree") -> dict:
     """Scorers by motif id; motifs are few, one a cluster of words."""
     return {r.motif_id: Scorer(r.freq, r.norm, r.cnt, mode) for r in packed(motifs).collect()}

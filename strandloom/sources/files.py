@@ -97,6 +97,14 @@ def matching_files(parsed: DataFrame, wanted: dict[str, str], limit: int | None
     return parsed if limit is None else parsed.orderBy("line_no").limit(limit)
 
 
+def single_file(parsed: DataFrame, wanted: dict[str, str]) -> str:
+    """The one file with all the attributes; none or several are an error."""
+    found = matching_files(parsed, wanted).select("file_name").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"{'no file' if not found else 'several files'} with {wanted}")
+    return found[0].file_name
+
+
 def graph_nodes(words: DataFrame) -> DataFrame:
     return words.select((F.col("id") + 1).cast("bigint").alias("id"), F.col("word").alias("label"), F.col("cnt").cast("bigint").alias("size"))
 

@@ -191,6 +191,8 @@ def test_position_frequencies(spark):
         full = motif.Scorer(packed.freq, packed.norm, packed.cnt, mode)
         for text, want in (("TGCCTGCCTA", 1), ("TGGCTGGCTA", 0.09), ("TGCCTGCCT", 0), ("ATGCCTGCCTAA", 1)):
             assert motif.max_score(text, [full]) == pytest.approx(want)
+    s = motif.Scorer(ragged.freq, ragged.norm, 3, "eps")
+    assert [round(motif.max_score_between("CATGCATGCC", s, a, b), 6) for a, b in ((0, 10), (2, 5), (6, 9), (9, 3))] == [1, *(round(max(s.scores(motif.turned("CATGCATGCC")[0])[a:b]), 6) for a, b in ((2, 5), (6, 9))), 0]
     with pytest.raises(ValueError):
         motif.Scorer([[1, 0, 0, 0]], [1], 1, "other")
 
@@ -281,6 +283,10 @@ def test_peak_and_manifest_files(spark, tmp_path):
     assert [r.attrs["cell"] for r in parsed.where("file_name = 'a.gz'").collect()] == ["X=1"]
     assert [r.file_name for r in files.matching_files(parsed, {"type": "narrowPeak", "view": "Peaks"}, 2).collect()] == ["a.gz", "c.gz"]
     assert files.matching_files(parsed, {"cell": "Y"}).count() == 0
+    assert files.single_file(parsed, {"type": "broadPeak"}) == "b.gz"
+    for wanted in ({"cell": "Y"}, {"type": "narrowPeak"}):
+        with pytest.raises(ValueError):
+            files.single_file(parsed, wanted)
 
 
 def test_sizes_for_people(spark):
