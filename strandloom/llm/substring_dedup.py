@@ -40,6 +40,7 @@ WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 #: Text bytes that a shard holds on the average.
 SHARD_BYTES = 8 << 20
+_UPPER = np.uint64(0xFFFFFFFFFFFF0000)  # the bits of an anchor's hash that travel
 
 
 class Words:
@@ -60,7 +61,7 @@ class Words:
         at = np.sort(np.concatenate([np.arange(c, last, PERIOD) for c in COVER]))
         joined, digest = self.joined, xxhash.xxh3_64_intdigest
         found = [digest(joined[s:e]) for s, e in zip(self.starts[at].tolist(), self.ends[at + ANCHOR - 1].tolist(), strict=True)]
-        return at, np.array(found, dtype=np.uint64)
+        return at, np.array(found, dtype=np.uint64) & _UPPER
 
     def windows(self, at: np.ndarray) -> np.ndarray:
         """128-bit hashes of the windows that start at ``at``, as two words each."""
@@ -108,6 +109,29 @@ def made(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
 
+def packed(hashes: np.ndarray) -> bytes:
+    """The upper 48 bits of anchor hashes; a chance agreement of the rest only makes one more window be compared in full."""
+    return hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    whole = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    whole[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return whole.view(">u8").reshape(-1).astype(np.uint64)
+
+
+def packed_ids(ids: np.ndarray) -> bytes:
+    """The least id, then each id's distance to it, in 4 bytes each where they suffice."""
+    low = ids.min()
+    away = (ids - low).astype(np.uint64)
+    return np.int64(low).tobytes() + (away.astype("<u4") if away.max() < 1 << 32 else away).tobytes()
+
+
+def unpacked_ids(data: bytes, n: int) -> np.ndarray:
+    low = np.frombuffer(data[:8], dtype=np.int64)[0]
+    return np.frombuffer(data[8:], dtype="<u4" if len(data) == 8 + 4 * n else np.uint64).astype(np.int64) + low
+
+
 TO_BUCKET = pa.schema([("bucket", pa.int32()), ("shard", pa.int32()), ("hashes", pa.binary()), ("ids", pa.binary())])
 TO_SHARD = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("hashes", pa.binary())])
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -123,7 +147,7 @@ def shard_anchors(buckets: int):
         found = [Words(text).anchors()[1] for doc, text in in_order(rows) if doc is not None]
         hashes = np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.uint64)
         pieces = np.split(hashes, np.searchsorted(hashes, edges))
-        return made(TO_BUCKET, [(b, shard, p.tobytes(), None) for b, p in enumerate(pieces) if len(p)])
+        return made(TO_BUCKET, [(b, shard, packed(p), None) for b, p in enumerate(pieces) if len(p)])
 
     return run
 
@@ -131,11 +155,11 @@ def shard_anchors(buckets: int):
 def bucket_shares(rows: pa.Table) -> pa.Table:
     """The hashes of two shards or more, to each of their shards."""
     shards = rows["shard"].to_pylist()
-    pieces = [np.frombuffer(h, dtype=np.uint64) for h in rows["hashes"].to_pylist()]
+    pieces = [unpacked(h) for h in rows["hashes"].to_pylist()]
     values, counts = np.unique(np.concatenate(pieces), return_counts=True)
     common = values[counts > 1]
     told = [(s, p[member(p, common)]) for s, p in zip(shards, pieces, strict=True)]
-    return made(TO_SHARD, [(s, SHARED, p.tobytes()) for s, p in told if len(p)])
+    return made(TO_SHARD, [(s, SHARED, packed(p)) for s, p in told if len(p)])
 
 
 def least_ids(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,7 +180,7 @@ def shard_windows(buckets: int):
         if not rows.num_rows:
             return made(TO_BUCKET, [])
         shard = rows["shard"][0].as_py()
-        parts = [np.frombuffer(h, dtype=np.uint64) for h in messages["hashes"].to_pylist()]
+        parts = [unpacked(h) for h in messages["hashes"].to_pylist()]
         elsewhere = np.sort(np.concatenate(parts)) if parts else np.empty(0, dtype=np.uint64)
         docs = [(doc, Words(text)) for doc, text in in_order(rows)]
         anchors = [words.anchors() if doc is not None else None for doc, words in docs]
@@ -186,7 +210,7 @@ def shard_windows(buckets: int):
             cuts = np.searchsorted(hashes[:, 0], edges)
             for b, (h, i) in enumerate(zip(np.split(hashes, cuts), np.split(least, cuts), strict=True)):
                 if len(h):
-                    made_rows.append((b, shard, h.tobytes(), i.tobytes()))
+                    made_rows.append((b, shard, h.tobytes(), packed_ids(i)))
         return made(TO_BUCKET, made_rows)
 
     return run
@@ -198,7 +222,7 @@ def bucket_least(rows: pa.Table) -> pa.Table:
     if ids[0] is None:
         return made(TO_SHARD, [(s, MARKED, h) for s, h in zip(shards, hashes, strict=True)])
     pieces = [np.frombuffer(h, dtype="<u8").reshape(-1, 2) for h in hashes]
-    own = np.concatenate([np.frombuffer(i, dtype=np.int64) for i in ids])
+    own = np.concatenate([unpacked_ids(i, len(p)) for i, p in zip(ids, pieces, strict=True)])
     _, least, number = least_ids(np.concatenate(pieces), own)
     smaller = np.split(least[number] < own, np.cumsum([len(p) for p in pieces])[:-1])
     return made(TO_SHARD, [(s, SMALLER, p[m].tobytes()) for s, p, m in zip(shards, pieces, smaller, strict=True) if m.any()])
