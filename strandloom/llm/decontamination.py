@@ -189,7 +189,7 @@ def window_of(n_words: int) -> int:
 
 class Searcher:
     def __init__(self, items: list[tuple[int, str]], projection: np.ndarray, idf: np.ndarray):
-        self.projection = projection
+        self.projection = np.concatenate([projection, np.zeros((1, projection.shape[1]), dtype=np.float32)])  # the last bin fills up grains
         self.levels: dict[int, tuple[list[Item], np.ndarray]] = {}
         grouped: dict[int, list[Item]] = {}
         self.flag = np.zeros(1 << FLAG_BITS, dtype=np.int32)
@@ -234,9 +234,13 @@ class Searcher:
         # Sums of the vectors of GRAIN words each, none across two texts, then running sums of those.
         grains = -(-size // GRAIN)
         low = np.cumsum(grains) - grains
-        at = np.repeat(begin, grains) + GRAIN * (np.arange(grains.sum()) - np.repeat(low, grains))
-        sums = np.zeros((len(at) + 1, self.projection.shape[1]), dtype=np.float32)
-        np.cumsum(np.add.reduceat(self.projection[bin_of(words)], at, axis=0), axis=0, out=sums[1:])
+        bins = np.full(GRAIN * int(grains.sum()), BINS, dtype=np.int32)
+        bins[np.repeat(GRAIN * low - begin, size) + np.arange(len(words))] = bin_of(words)
+        sums = np.zeros((int(grains.sum()) + 1, self.projection.shape[1]), dtype=np.float32)
+        grain = self.projection[bins[::GRAIN]]
+        for k in range(1, GRAIN):
+            grain += self.projection[bins[k::GRAIN]]
+        np.cumsum(grain, axis=0, out=sums[1:])
         flags = np.zeros(len(words) + 1, dtype=np.int32)
         np.cumsum(self.flag[(words & np.uint64((1 << FLAG_BITS) - 1)).astype(np.int32)], out=flags[1:])
         for length, (group, vectors) in self.levels.items():
