@@ -90,8 +90,10 @@ def turned(seq: str) -> list[np.ndarray]:
 
 
 def max_score(seq: str, scorers: list[Scorer], against: list[Scorer] | None = None, inclusive: bool = False, average: bool = True) -> float:
-    """The greatest score over orientations and starts, at least 0; of a difference of two motif sets, moved to 0..1, if ``against``."""
+    """The greatest score over orientations and starts, at least 0; of a difference of two motif sets, moved to 0..1, if ``against``; 0 without motifs."""
     best = 0.0
+    if not scorers or against == []:
+        return best
     length = max(s.length for s in [*scorers, *(against or [])])
     for codes in turned(seq):
         n = len(codes) - length + inclusive
