@@ -4,8 +4,8 @@ A text's features are the character n-grams of 3 to 6 (lower case; runs of anyth
 one gap) that occur in it, hashed into ``BUCKETS``. On a sample of labelled rows, bounded by
 ``sample_rows``, each bucket's log-count ratio r between the two classes is found, the
 ``FEATURES`` buckets that tell the classes apart best are kept, and a logistic regression with a
-ridge penalty is trained on presence times r. A text's score is that model's probability of
-label 1. The model has a fixed size: one class number a bucket, one weight a feature.
+ridge penalty is trained on the logarithm of an n-gram's density (occurrences in a thousand characters) times r.
+A text's score is that model's probability of label 1. The model has a fixed size: one class number a bucket, one weight a feature.
 
 The sample is the labelled rows with the smallest hashes of their ids, so that it is random,
 the same each time, and no larger on a larger corpus; only its ids are broadcast.
@@ -34,6 +34,8 @@ FEATURES = 3000
 SAMPLE_ROWS = 24_000
 ROUNDS = 250
 RIDGE = 1e-3
+#: Characters that a text counts longer than it is, so that one n-gram in a short text isn't a high density.
+SHORT = 200
 #: Buckets whose counts travel together; tasks that count the sample.
 CHUNK = 1 << 14
 SAMPLE_TASKS = 12
@@ -64,6 +66,15 @@ def buckets(text: str) -> list[np.ndarray]:
     return made
 
 
+def densities(text: str, feature: np.ndarray, features: int) -> np.ndarray:
+    """ln(1 + occurrences in a thousand characters) of each feature; entry 0 stands for all other n-grams and is 0."""
+    counts = np.zeros(features)
+    for found in buckets(text):
+        counts += np.bincount(feature[found], minlength=features)
+    counts[0] = 0
+    return np.log1p(counts * (1000 / (len(text) + SHORT)))
+
+
 class Model:
     """``feature``: each bucket's feature number, 0 for none; ``weight``: each feature's weight times r."""
 
@@ -71,11 +82,7 @@ class Model:
         self.feature, self.weight, self.bias = feature, weight, bias
 
     def score(self, text: str) -> float:
-        present = np.zeros(len(self.weight), dtype=bool)
-        for found in buckets(text):
-            present[self.feature[found]] = True
-        present[0] = False
-        return float(1 / (1 + np.exp(-(self.weight[present].sum() + self.bias))))
+        return float(1 / (1 + np.exp(-(densities(text, self.feature, len(self.weight)) @ self.weight + self.bias))))
 
 
 def choose(counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,18 +101,19 @@ def choose(counts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return feature, np.concatenate(([0.0], np.log(rate[1][best] / rate[0][best])))
 
 
-def regress(columns: list[np.ndarray], labels: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights (times ``scale``) and intercept of a logistic regression on the features present in each row."""
+def regress(columns: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights (times ``scale``) and intercept of a logistic regression; row i has ``values[i]`` in ``columns[i]``, 0 elsewhere."""
     rows = len(labels)
-    flat = np.concatenate(columns).astype(np.int64)
-    owner = np.repeat(np.arange(rows), [len(c) for c in columns])
+    flat = np.concatenate(columns).astype(np.int32)
+    value = np.concatenate(values).astype(np.float32) * scale.astype(np.float32)[flat]
+    owner = np.repeat(np.arange(rows, dtype=np.int32), [len(c) for c in columns])
     share = labels.mean()
     weight, bias = np.zeros(len(scale)), float(np.log(share / (1 - share)))
     first, second = np.zeros(len(scale) + 1), np.zeros(len(scale) + 1)
     for t in range(1, ROUNDS + 1):
-        margin = np.bincount(owner, (weight * scale)[flat], minlength=rows) + bias
+        margin = np.bincount(owner, weight[flat] * value, minlength=rows) + bias
         error = (1 / (1 + np.exp(-np.clip(margin, -500, 500))) - labels) / rows
-        slope = np.append(np.bincount(flat, error[owner], minlength=len(scale)) * scale + RIDGE * weight / len(scale), error.sum())
+        slope = np.append(np.bincount(flat, error[owner] * value, minlength=len(scale)) + RIDGE * weight / len(scale), error.sum())
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope**2
         step = 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
         weight, bias = weight - step[:-1], bias - float(step[-1])
@@ -123,7 +131,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
     The sampled texts (a bounded lot) are dealt over ``SAMPLE_TASKS`` tasks, which count buckets by class; the driver gets
     the counts, of a fixed size, and then the chosen features of each sampled row."""
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label"))
-    sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)
+    # Hashes so small that about one and a half samples pass come first, so that the ordering sees no more than those.
+    key, share = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)), min(1.0, 1.5 * sample_rows / max(1, marked.count()))
+    sample = marked.where(key < int(share * (1 << 40))).orderBy(key, "doc_id", "label").limit(sample_rows)
     joined = id_and_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("text", "label").repartition(SAMPLE_TASKS)
 
     def count(batches):
@@ -152,11 +162,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, id_c
     shared = docs.sparkSession.sparkContext.broadcast(feature)
 
     def work(_, cols):
-        present = [np.unique(np.append(shared.value[distinct_buckets(t)], 0))[1:] for t in cols["text"]]
-        return {"label": cols["label"], "found": pa.array([p.astype("<u2").tobytes() for p in present], pa.binary())}
-
-    rows = map_slices(joined, work, "label int, found binary").collect()  # at most sample_rows, of FEATURES numbers at most
-    weight, bias = regress([np.frombuffer(r.found, dtype="<u2") for r in rows], np.array([r.label for r in rows], dtype=np.float64), scale)
+        every = [densities(t, shared.value, len(scale)) for t in cols["text"]]
+        found = [np.flatnonzero(d) for d in every]
+        return {
+            "label": cols["label"],
+            "found": pa.array([f.astype("<u2").tobytes() for f in found], pa.binary()),
+            "density": pa.array([d[f].astype("<f4").tobytes() for d, f in zip(every, found, strict=True)], pa.binary()),
+        }
+
+    rows = map_slices(joined, work, "label int, found binary, density binary").collect()  # at most sample_rows, of FEATURES numbers at most
+    labels = np.array([r.label for r in rows], dtype=np.float64)
+    weight, bias = regress([np.frombuffer(r.found, dtype="<u2") for r in rows], [np.frombuffer(r.density, dtype="<f4") for r in rows], labels, scale)
     return Model(feature, weight, bias)
 
 
