@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.common import cut, id_and_text, map_slices, table, tasks
-from strandloom.llm.components import components
+from strandloom.llm.components import components, contracted
 
 SEED = 42
 TILE_BYTES = 128 << 10
@@ -40,6 +40,8 @@ TILE_BYTES = 128 << 10
 LEAF, BLOCK = 128, 512
 #: Links held in a task before they are contracted to a forest.
 HELD_LINKS = 1 << 20
+#: Fingerprints that a partition holds on the average.
+NODES = 100_000
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -153,23 +155,6 @@ def close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray,
     return u[keep], v[keep]
 
 
-def contracted(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Each node's least connected node."""
-    label = np.arange(n)
-    while True:
-        a, b = label[u], label[v]
-        live = a != b
-        if not live.any():
-            return label
-        u, v, a, b = u[live], v[live], a[live], b[live]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            jumped = label[label]
-            if np.array_equal(jumped, label):
-                break
-            label = jumped
-
-
 def linked(a: np.ndarray, size_a: np.ndarray, at_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, radius: int, least_ratio: float, first_radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links between rows of a and of b: (node, root) over a's rows, then b's. Blocks begin at ``at_a``, ``at_b``."""
     fp = a if same else np.concatenate((a, b))
@@ -210,8 +195,8 @@ def linked(a: np.ndarray, size_a: np.ndarray, at_a: np.ndarray, b: np.ndarray, s
     return moved, label[moved]
 
 
-def links(nodes: DataFrame, words: int, radius: int, least_ratio: float = 0.0, first_radius: int | None = None, tile_rows: int | None = None) -> DataFrame:
-    """(u, v): a spanning forest of the links among ``nodes`` (node, fp, size), whose fingerprints are distinct.
+def links(nodes: DataFrame, count: int, words: int, radius: int, least_ratio: float = 0.0, first_radius: int | None = None, tile_rows: int | None = None) -> DataFrame:
+    """(u, v): a spanning forest of the links among the ``count`` rows of ``nodes`` (node, fp, size), whose fingerprints are distinct.
 
     Two fingerprints are linked if they differ in ``radius`` bits at most, their first words in ``first_radius`` at most, and
     the smaller size is at least ``least_ratio`` of the larger.
@@ -219,7 +204,6 @@ def links(nodes: DataFrame, words: int, radius: int, least_ratio: float = 0.0, f
     spark = nodes.sparkSession
     tile_rows = tile_rows or TILE_BYTES // (8 * words)
     first_radius = radius if first_radius is None else first_radius
-    count = nodes.count()
     if least_ratio:
         # Bands of sizes: rows whose sizes are within the ratio are at most one band apart.
         band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1))) / -math.log(least_ratio)).cast("int")
@@ -305,10 +289,12 @@ def near_duplicates(
 ) -> DataFrame:
     """(doc_id, fp, size, component_id): component_id is the smallest doc_id that links reach, the own included."""
     every = cut(fingerprints(df, shingle, words, distinct, id_col, text_col))
-    nodes = cut(every.groupBy("fp", "size").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL"))
+    nodes = every.groupBy("fp", "size").agg(F.min("doc_id").alias("node")).where("node IS NOT NULL")
     if not least_ratio:  # one node a fingerprint; without a ratio the size plays no part
         nodes = nodes.groupBy("fp").agg(F.min("node").alias("node"), F.min("size").alias("size"))
-    root = components(links(nodes, words, radius, least_ratio, first_radius, tile_rows).distinct())
+    nodes = cut(nodes.coalesce(max(1, -(-every.count() // NODES))))
+    count = nodes.count()
+    root = components(links(nodes, count, words, radius, least_ratio, first_radius, tile_rows), count)
     placed = nodes.join(root, "node", "left").select("fp", *(["size"] if least_ratio else []), F.coalesce("root", "node").alias("component_id"))
     return every.join(placed, ["fp", "size"] if least_ratio else ["fp"], "left").select("doc_id", "fp", "size", "component_id")
 
@@ -322,8 +308,9 @@ def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One document, that of the smallest id, of each group of near-duplicates (similarity 0.8 or more of five-word
     shingles, as 512-bit fingerprints tell it), with all its columns; copies of a row count once, rows without an id stay."""
     found = near_duplicates(df, **SIMILAR, id_col=id_col, text_col=text_col)
-    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("gone_id"), "left_anti").distinct()
+    name = "_".join(["gone", *df.columns])  # clashes with no column
+    gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
+    return df.join(gone, F.col(id_col) == F.col(name), "left_anti").distinct()
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

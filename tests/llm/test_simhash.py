@@ -7,8 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from strandloom.llm import components as components_module
 from strandloom.llm import simhash
-from strandloom.llm.components import components
 
 
 def plain_fingerprint(text, k):
@@ -102,11 +102,15 @@ def test_empty_table_and_null_ids(spark, docs):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(rows).collect()) == [(-1, -1), (-1, 5), (5, 5)]
 
 
-def test_components_of_chains_stars_and_rings(spark):
+@pytest.mark.parametrize("rows", [5, 40, 1000])
+def test_components_of_chains_stars_and_rings(spark, monkeypatch, rows):
+    monkeypatch.setattr(components_module, "ROWS", rows)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 202), (202, 200), (300, 300)]
     random.Random(1).shuffle(links)
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
+    got = {r.node: r.root for r in components_module.components(spark.createDataFrame(links, "u long, v long"), len(links)).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {201: 200, 202: 200}
+    none = spark.createDataFrame([(4, 4)], "u long, v long")
+    assert components_module.components(none, 1).count() == 0
 
 
 def test_majority_over_many_rows():
