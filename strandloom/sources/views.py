@@ -15,9 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores (a small file of one row group, say) dealt over all cores; any other as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+
+
 def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(frag_id, seq): the nucleotide letters of each document, in upper case."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").alias("frag_id"), F.upper(F.regexp_replace("text", "[^acgtACGT]", "")).alias("seq"))
 
 
