@@ -19,7 +19,12 @@ SLICE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; texts and pages in fewer partitions than there are cores (a small file) are dealt over all cores."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name not in ("documents", "pages") or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)
 
 
 def scratch(spark: SparkSession) -> str:
