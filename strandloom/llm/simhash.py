@@ -108,20 +108,27 @@ def fingerprints(df: DataFrame, shingle: int = 4, words: int = 1, distinct: bool
 
 
 def parts(fp: np.ndarray) -> np.ndarray:
-    """Population counts that bound a distance: of 16-bit parts for one word, of words for several."""
-    one = fp.shape[1] == 1
-    return np.bitwise_count(fp.view(np.uint16) if one else fp).astype(np.int16)
+    """Population counts that bound a distance: of 16-bit parts, then of bytes, for one word; of words for several."""
+    if fp.shape[1] > 1:
+        return np.bitwise_count(fp).astype(np.int16)
+    return np.concatenate([np.bitwise_count(fp.view(np.uint16)), np.bitwise_count(fp.view(np.uint8))], axis=1).astype(np.int16)
+
+
+def groups(words: int) -> list[slice]:
+    """The columns of ``parts`` that make up the whole fingerprint each."""
+    return [slice(0, words)] if words > 1 else [slice(0, 4), slice(4, 12)]
 
 
 def leaves(part: np.ndarray, leaf: int) -> tuple[np.ndarray, np.ndarray]:
     """(an order of the rows, where its blocks begin): blocks of at most about ``leaf`` rows with close counts.
 
-    The rows are halved again and again along the part whose counts spread widest, at a change of its count."""
+    The rows are halved again and again along the part whose counts spread widest, at a change of its count: the first four
+    parts (16 bits each) as long as they spread, then the others (bytes), which tell rows apart in narrow tiles of large inputs."""
     blocks, todo = [], [np.arange(len(part))]
     while todo:
         rows = todo.pop()
         spread = part[rows].max(axis=0) - part[rows].min(axis=0)
-        wide = int(np.argmax(spread))
+        wide = int(np.argmax(spread[:4])) if spread[:4].any() else int(np.argmax(spread))
         if len(rows) <= leaf or spread[wide] == 0:
             blocks += [rows[at : at + 4 * leaf] for at in range(0, len(rows), 4 * leaf)]
             continue
@@ -160,7 +167,7 @@ def linked(a: np.ndarray, size_a: np.ndarray, at_a: np.ndarray, b: np.ndarray, s
     fp = a if same else np.concatenate((a, b))
     base = 0 if same else len(a)
     (low_a, high_a), (low_b, high_b) = boxes(parts(a), at_a), boxes(parts(b), at_b)
-    near = apart(low_a, high_a, low_b, high_b) <= radius
+    near = np.logical_and.reduce([apart(low_a[:, g], high_a[:, g], low_b[:, g], high_b[:, g]) <= radius for g in groups(a.shape[1])])
     (least_a, most_a), (least_b, most_b) = boxes(size_a, at_a), boxes(size_b, at_b)
     near &= (most_a[:, None] >= least_ratio * least_b[None, :]) & (most_b[None, :] >= least_ratio * least_a[:, None])
     if same:
@@ -223,7 +230,8 @@ def links(nodes: DataFrame, count: int, words: int, radius: int, least_ratio: fl
             values = np.frombuffer(fp, dtype=">u8").astype(np.uint64).reshape(-1, words)
             part = parts(values)
             sizes, bands, ids = (rows[c].to_numpy() for c in ("size", "band", "node"))
-            lows, highs = part.min(axis=0).tolist(), part.max(axis=0).tolist()
+            coarse = part[:, groups(words)[0]]
+            lows, highs = coarse.min(axis=0).tolist(), coarse.max(axis=0).tolist()
             order, begins = (np.arange(len(ids)), np.arange(0, len(ids), BLOCK)) if least_ratio else leaves(part, LEAF)
             blobs = [values[order], sizes[order].astype(np.int32), ids[order].astype(np.int64), begins.astype(np.int32)]
             row = [int(ids[0]), int(bands.min()), int(bands.max()), int(sizes.min()), int(sizes.max()), lows, highs, *(x.tobytes() for x in blobs)]
