@@ -313,6 +313,13 @@ def zip_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
 
 
+@query()
+def zip_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``zip_groups`` of the whole table; that one holds the first events only, as its SQL does."""
+    made = collections_ext.zip_groups(views.table(spark, sf_dir, "events"), "event_type", "event_id", "event_id", 5)
+    return made.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
+
+
 @query("SELECT value > 50 AS side, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE value IS NOT NULL GROUP BY value > 50")
 def split_denull(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = collections_ext.without_nulls(views.table(spark, sf_dir, "events"), "value")

@@ -1,0 +1,22 @@
+"""Queries that do the whole job of one whose SQL covers a part, by brute force on the test tables."""
+
+import os
+from collections import defaultdict
+
+import pytest
+
+from strandloom.plans import registry
+from strandloom.sources import views
+
+DATA = "/root/testdata/sf0.01"
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+
+
+def test_zip_groups_all_reads_every_event(spark):
+    flows = defaultdict(list)
+    for r in sorted(views.table(spark, DATA, "events").select("event_id", "event_type").collect()):
+        flows[r.event_type].append(str(r.event_id))
+    assert sum(map(len, flows.values())) > 2000
+    want = {p: ",".join(flows[t][p] for t in sorted(flows) if p < len(flows[t])) for p in range(max(map(len, flows.values())))}
+    got = registry.QUERIES["zip_groups_all"](spark, DATA).collect()
+    assert len(got) == len(want) and {r.place: r["items"] for r in got} == want
