@@ -153,17 +153,45 @@ def boxes(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def close(left: np.ndarray, right: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of words that differ in ``radius`` bits at most. For small radii the halves are compared first."""
-    if radius > 8:
-        return np.nonzero(np.bitwise_count(left[:, None] ^ right[None, :]) <= radius)
+    """Pairs of rows (a word or more) that differ in ``radius`` bits at most. For small radii the halves of the one word are compared first."""
+    if left.shape[1] > 1 or radius > 8:
+        return np.nonzero(sum(np.bitwise_count(left[:, None, k] ^ right[None, :, k]) for k in range(left.shape[1])) <= radius)
+    left, right = left[:, 0], right[:, 0]
     half = np.bitwise_count(left.astype(np.uint32)[:, None] ^ right.astype(np.uint32)[None, :]) <= radius
     u, v = np.divmod(np.flatnonzero(half), len(right))
     keep = np.bitwise_count(left[u] ^ right[v]) <= radius
     return u[keep], v[keep]
 
 
-def linked(a: np.ndarray, size_a: np.ndarray, at_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, radius: int, least_ratio: float, first_radius: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between rows of a and of b: (node, root) over a's rows, then b's. Blocks begin at ``at_a``, ``at_b``."""
+def distances(fp: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """In how many bits rows u and v differ."""
+    at = range(0, len(u), HELD_LINKS)
+    return np.concatenate([np.bitwise_count(fp[u[k : k + HELD_LINKS]] ^ fp[v[k : k + HELD_LINKS]]).sum(axis=1, dtype=np.int64) for k in at])
+
+
+def spanning(u: np.ndarray, v: np.ndarray, far: np.ndarray) -> np.ndarray:
+    """Places of links that make up a spanning forest, of the least distances."""
+    ids, number = np.unique(np.concatenate((u, v)), return_inverse=True)
+    x, y = number[: len(u)], number[len(u) :]
+    rank = np.empty(len(u), dtype=np.int64)
+    order = np.argsort(far, kind="stable")
+    rank[order] = np.arange(len(u))
+    label, live, chosen = np.arange(len(ids)), np.arange(len(u)), np.empty(0, dtype=np.int64)
+    while True:
+        live = live[label[x[live]] != label[y[live]]]
+        if not len(live):
+            return chosen
+        least = np.full(len(ids), len(u), dtype=np.int64)
+        for end in (x, y):
+            np.minimum.at(least, label[end[live]], rank[live])
+        chosen = np.concatenate((chosen, order[np.unique(least[least < len(u)])]))
+        label = contracted(len(ids), x[chosen], y[chosen])
+
+
+def linked(a: np.ndarray, size_a: np.ndarray, at_a: np.ndarray, b: np.ndarray, size_b: np.ndarray, at_b: np.ndarray, radius: int, least_ratio: float, first_radius: int, same: bool, first_words: int = 1, whole: bool = False, group_a: np.ndarray | None = None, group_b: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between rows of a and of b: (node, root) over a's rows, then b's. Blocks begin at ``at_a``, ``at_b``.
+
+    With ``whole``, links themselves: all between rows of different groups, or without groups a spanning forest."""
     fp = a if same else np.concatenate((a, b))
     base = 0 if same else len(a)
     (low_a, high_a), (low_b, high_b) = boxes(parts(a), at_a), boxes(parts(b), at_b)
@@ -175,37 +203,51 @@ def linked(a: np.ndarray, size_a: np.ndarray, at_a: np.ndarray, b: np.ndarray, s
     end_a, end_b = np.append(at_a[1:], len(a)), np.append(at_b[1:], len(b))
     held_u, held_v, held = [], [], 0
     for i, j in np.argwhere(near).tolist():
-        u, v = close(a[at_a[i] : end_a[i], 0], b[at_b[j] : end_b[j], 0], first_radius)
+        u, v = close(a[at_a[i] : end_a[i], :first_words], b[at_b[j] : end_b[j], :first_words], first_radius)
         u, v = u + at_a[i], v + at_b[j]
         if same:
             keep = u < v
             u, v = u[keep], v[keep]
-        if a.shape[1] > 1 and len(u):
+        if a.shape[1] > first_words and len(u):
             keep = np.bitwise_count(a[u] ^ b[v]).sum(axis=1, dtype=np.int64) <= radius
             u, v = u[keep], v[keep]
         if least_ratio and len(u):
             x, y = size_a[u], size_b[v]
             keep = np.minimum(x, y) >= least_ratio * np.maximum(x, y)
             u, v = u[keep], v[keep]
+        if group_a is not None and len(u):
+            keep = group_a[u] != group_b[v]
+            u, v = u[keep], v[keep]
         if len(u):
             held_u.append(u)
             held_v.append(v + base)
             held += len(u)
-            if held >= HELD_LINKS:
+            if whole and group_a is None and held >= HELD_LINKS:
+                u, v = np.concatenate(held_u), np.concatenate(held_v)
+                at = spanning(u, v, distances(fp, u, v))
+                held_u, held_v, held = [u[at]], [v[at]], 0
+            if held >= HELD_LINKS and not whole:
                 label = contracted(len(fp), np.concatenate(held_u), np.concatenate(held_v))
                 moved = np.flatnonzero(label != np.arange(len(fp)))
                 held_u, held_v, held = [moved], [label[moved]], 0
     if not held_u:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+    if whole:
+        u, v = np.concatenate(held_u), np.concatenate(held_v)
+        at = slice(None) if group_a is not None else spanning(u, v, distances(fp, u, v))
+        return u[at], v[at]
     label = contracted(len(fp), np.concatenate(held_u), np.concatenate(held_v))
     moved = np.flatnonzero(label != np.arange(len(fp)))
     return moved, label[moved]
 
 
-def links(nodes: DataFrame, count: int, words: int, radius: int, least_ratio: float = 0.0, first_radius: int | None = None, tile_rows: int | None = None) -> DataFrame:
+def links(nodes: DataFrame, count: int, words: int, radius: int, least_ratio: float = 0.0, first_radius: int | None = None, tile_rows: int | None = None, first_words: int = 1, whole: bool = False) -> DataFrame:
     """(u, v): a spanning forest of the links among the ``count`` rows of ``nodes`` (node, fp, size), whose fingerprints are distinct.
 
-    Two fingerprints are linked if they differ in ``radius`` bits at most, their first words in ``first_radius`` at most, and
+    With ``whole``, (u, v, far): links themselves with their distances. If the nodes have a ``group``, all links between groups; else a
+    spanning forest of each pair of tiles.
+
+    Two fingerprints are linked if they differ in ``radius`` bits at most, their first ``first_words`` words in ``first_radius`` at most, and
     the smaller size is at least ``least_ratio`` of the larger.
     """
     spark = nodes.sparkSession
@@ -229,11 +271,11 @@ def links(nodes: DataFrame, count: int, words: int, radius: int, least_ratio: fl
             fp = b"".join(rows["fp"].to_pylist())
             values = np.frombuffer(fp, dtype=">u8").astype(np.uint64).reshape(-1, words)
             part = parts(values)
-            sizes, bands, ids = (rows[c].to_numpy() for c in ("size", "band", "node"))
+            sizes, bands, ids, kin = (rows[c].to_numpy() for c in ("size", "band", "node", "group"))
             coarse = part[:, groups(words)[0]]
             lows, highs = coarse.min(axis=0).tolist(), coarse.max(axis=0).tolist()
             order, begins = (np.arange(len(ids)), np.arange(0, len(ids), BLOCK)) if least_ratio else leaves(part, LEAF)
-            blobs = [values[order], sizes[order].astype(np.int32), ids[order].astype(np.int64), begins.astype(np.int32)]
+            blobs = [values[order], sizes[order].astype(np.int32), ids[order].astype(np.int64), begins.astype(np.int32), kin[order].astype(np.int64)]
             row = [int(ids[0]), int(bands.min()), int(bands.max()), int(sizes.min()), int(sizes.max()), lows, highs, *(x.tobytes() for x in blobs)]
             return pa.RecordBatch.from_arrays([pa.array([x], type=t) for x, t in zip(row, kinds, strict=True)], names=names)
 
@@ -251,10 +293,11 @@ def links(nodes: DataFrame, count: int, words: int, radius: int, least_ratio: fl
             yield from ready(False)
         yield from ready(True)
 
-    names = ["tile", "band_low", "band_high", "size_low", "size_high", "lows", "highs", "fps", "sizes", "ids", "begins"]
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 4]
-    tiles = cut(spread.select("node", "fp", "size", "band").mapInArrow(cut_tiles, "tile long, band_low int, band_high int, size_low int, size_high int, lows array<int>, highs array<int>, fps binary, sizes binary, ids binary, begins binary"))
-    about = tiles.drop("fps", "sizes", "ids", "begins")
+    grouped = "group" in nodes.columns
+    names = ["tile", "band_low", "band_high", "size_low", "size_high", "lows", "highs", "fps", "sizes", "ids", "begins", "groups"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 5]
+    tiles = cut(spread.select("node", "fp", "size", "band", "group" if grouped else F.col("node").alias("group")).mapInArrow(cut_tiles, "tile long, band_low int, band_high int, size_low int, size_high int, lows array<int>, highs array<int>, fps binary, sizes binary, ids binary, begins binary, groups binary"))
+    about = tiles.drop("fps", "sizes", "ids", "begins", "groups")
     at = lambda low, high: F.explode(F.sequence(low, high))
     one = about.select(*[F.col(c).alias(f"a_{c}") for c in about.columns], at(F.col("band_low") - reach, F.col("band_high") + reach).alias("band"))
     two = about.select(*[F.col(c).alias(f"b_{c}") for c in about.columns], at(F.col("band_low"), F.col("band_high")).alias("band"))
@@ -263,7 +306,7 @@ def links(nodes: DataFrame, count: int, words: int, radius: int, least_ratio: fl
     )
     sizes = (F.col("a_size_high") >= least_ratio * F.col("b_size_low")) & (F.col("b_size_high") >= least_ratio * F.col("a_size_low"))
     pairs = one.join(two, "band").where((F.col("a_tile") <= F.col("b_tile")) & sizes & (gap <= radius)).select("a_tile", "b_tile").distinct()
-    side = lambda s: tiles.select(*[F.col(c).alias(f"{s}_{c}") for c in ("tile", "fps", "sizes", "ids", "begins")])
+    side = lambda s: tiles.select(*[F.col(c).alias(f"{s}_{c}") for c in ("tile", "fps", "sizes", "ids", "begins", *(["groups"] if grouped else []))])
     work = pairs.join(side("a"), "a_tile").join(side("b"), "b_tile").repartition(max(tasks(spark), 1))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,12 +318,16 @@ def links(nodes: DataFrame, count: int, words: int, radius: int, least_ratio: fl
                 ids_a, ids_b = (np.frombuffer(row[f"{s}_ids"], dtype=np.int64) for s in "ab")
                 at_a, at_b = (np.frombuffer(row[f"{s}_begins"], dtype=np.int32) for s in "ab")
                 same = row["a_tile"] == row["b_tile"]
-                u, v = linked(a, size_a, at_a, b, size_b, at_b, radius, least_ratio, first_radius, same)
+                kin = (np.frombuffer(row[f"{s}_groups"], dtype=np.int64) for s in "ab") if grouped else (None, None)
+                u, v = linked(a, size_a, at_a, b, size_b, at_b, radius, least_ratio, first_radius, same, first_words, whole, *kin)
                 ids = ids_a if same else np.concatenate((ids_a, ids_b))
-                if len(u):
+                if whole and len(u):
+                    far = distances(a if same else np.concatenate((a, b)), u, v)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v]), pa.array(far)], names=["u", "v", "far"])
+                elif len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(ids[u]), pa.array(ids[v])], names=["u", "v"])
 
-    return work.mapInArrow(compare, "u long, v long")
+    return work.mapInArrow(compare, "u long, v long, far long" if whole else "u long, v long")
 
 
 def near_duplicates(
@@ -307,15 +354,93 @@ def near_duplicates(
     return every.join(placed, ["fp", "size"] if least_ratio else ["fp"], "left").select("doc_id", "fp", "size", "component_id")
 
 
-#: For similarity 0.8 or more of sets of five-word shingles. Two sets of similarity s differ in about
-#: acos(2s / (1 + s)) / pi of the bits: 77 of 512 at 0.8, with a deviation of 8, and 98 at 0.7.
-SIMILAR = {"shingle": 5, "words": 8, "radius": 94, "first_radius": 22, "least_ratio": 0.8, "distinct": True}
+#: Similarity 0.8 or more, as a fraction, of sets of five-word shingles.
+SHINGLE, SIMILAR, SIMILAR_OF = 5, 4, 5
+#: Candidates for that. Sets of similarity 0.8 differ in 15 % of the bits, and in 19 % at worst (4 shingles against the same and one more). Of those
+#: worst pairs 3 in a billion differ in over 150 of 512 bits and 2 in a hundred million in over 50 of the first 128, of larger ones fewer.
+#: Sets of fewer than 4 shingles are similar only if they are equal.
+CANDIDATES = {"words": 8, "radius": 150, "first_words": 2, "first_radius": 50, "least_ratio": SIMILAR / SIMILAR_OF - 1e-9, "whole": True}
+
+
+def shingle_set(text: str) -> np.ndarray:
+    """The distinct hashes of a text's shingles, in order."""
+    return np.unique(shingle_hashes(words_of(text), SHINGLE))
+
+
+def similar(a: bytes, b: bytes) -> bool:
+    """Whether two sets of distinct hashes have a similarity (Jaccard) of 0.8 or more."""
+    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return SIMILAR_OF * both >= SIMILAR * (len(x) + len(y) - both)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (u, v) of ids whose texts (doc_id, text) have similar shingle sets. Only texts in a pair are hashed again."""
+
+    def hashed(_, cols):
+        return {"node": cols["doc_id"], "hashes": pa.array([shingle_set(t).astype("<u8").tobytes() for t in cols["text"]], pa.binary())}
+
+    wanted = pairs.select(F.col("u").alias("doc_id")).union(pairs.select(F.col("v").alias("doc_id"))).distinct()
+    sets = cut(map_slices(texts.join(wanted, "doc_id", "left_semi"), hashed, "node bigint, hashes binary").distinct())
+    side = lambda name, at: sets.select(F.col("node").alias(at), F.col("hashes").alias(name))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["u", "v"]).filter(pa.array([similar(a.as_buffer(), b.as_buffer()) for a, b in zip(batch["a"], batch["b"], strict=True)], pa.bool_()))
+
+    return pairs.join(side("a", "u"), "u").join(side("b", "v"), "v").select("u", "v", "a", "b").mapInArrow(check, "u long, v long")
+
+
+def least_forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a partition's links (u, v, far), a spanning forest of the least distances."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= HELD_LINKS:
+            whole = pa.Table.from_batches(held)
+            held = whole.take(spanning(*(c.to_numpy() for c in whole.columns))).to_batches()
+            rows = 0
+    if held:
+        whole = pa.Table.from_batches(held)
+        yield from whole.take(spanning(*(c.to_numpy() for c in whole.columns))).to_batches()
+
+
+def similar_documents(df: DataFrame, tile_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id): component_id is the smallest doc_id that links reach, the own included. Two texts are
+    linked if their shingle sets have a similarity of 0.8 or more: fingerprints give candidates, the sets decide.
+
+    First a spanning forest of the candidates is verified, the closest ones, so that a large group costs rows in proportion to its
+    size; then every candidate between two groups that came of it. A candidate within a group would join nothing."""
+
+    def work(_, cols):
+        sets = [shingle_set(t) for t in cols["text"]]
+        fps = [majority(mixed(h, CANDIDATES["words"])).astype(">u8").tobytes() for h in sets]
+        same = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+        return {"doc_id": cols["doc_id"], "same": pa.array(same, pa.binary()), "fp": pa.array(fps, pa.binary()), "size": [len(h) for h in sets]}
+
+    texts = id_and_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
+    every = cut(map_slices(texts, work, "doc_id bigint, same binary, fp binary, size int"))
+    nodes = every.groupBy("same").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("size").alias("size")).where("node IS NOT NULL")
+    nodes = cut(nodes.coalesce(max(1, -(-every.count() // NODES))))
+    compared = nodes.where(F.col("size") >= SIMILAR).select("node", "fp", "size")
+    count = compared.count()
+    near = cut(links(compared, count, tile_rows=tile_rows, **CANDIDATES))
+    first = cut(near.coalesce(max(1, -(-near.count() // NODES))).mapInArrow(least_forest, "u long, v long, far long"))
+    first = cut(verified(first, texts))
+    group = components(first, first.count())
+    joined = cut(compared.join(group, "node", "left").select("node", "fp", "size", F.coalesce("root", "node").alias("group")))
+    other = cut(links(joined, count, tile_rows=tile_rows, **CANDIDATES))
+    every_link = cut(first.union(verified(other, texts)))
+    root = components(every_link, every_link.count())
+    placed = nodes.join(root, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
+    return every.join(placed, "same", "left").select("doc_id", "component_id")
 
 
 def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates (similarity 0.8 or more of five-word
-    shingles, as 512-bit fingerprints tell it), with all its columns; copies of a row count once, rows without an id stay."""
-    found = near_duplicates(df, **SIMILAR, id_col=id_col, text_col=text_col)
+    shingles), with all its columns; copies of a row count once, rows without an id stay."""
+    found = similar_documents(df, id_col=id_col, text_col=text_col)
     name = "_".join(["gone", *df.columns])  # clashes with no column
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias(name)).distinct()
     return df.join(gone, F.col(id_col) == F.col(name), "left_anti").distinct()
