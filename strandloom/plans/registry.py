@@ -197,6 +197,12 @@ def element_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.element_groups(views.pos_seqs(spark, sf_dir), 10, 12)
 
 
+@query()
+def element_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``element_groups`` of 10 to 100 symbols; that one holds 10 to 12, as its SQL does."""
+    return W.element_groups(views.pos_seqs(spark, sf_dir))
+
+
 @query(with_views(f"SELECT k.word, frag_id, CAST(pos AS BIGINT) AS pos FROM ({kmers('neg_seqs', K, 'frag_id, ')}) k JOIN words USING (word)", "neg_seqs", "words"))
 def substring_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big(W.cites(views.neg_seqs(spark, sf_dir), views.words(spark, sf_dir), K), "pos")

@@ -20,3 +20,16 @@ def test_zip_groups_all_reads_every_event(spark):
     want = {p: ",".join(flows[t][p] for t in sorted(flows) if p < len(flows[t])) for p in range(max(map(len, flows.values())))}
     got = registry.QUERIES["zip_groups_all"](spark, DATA).collect()
     assert len(got) == len(want) and {r.place: r["items"] for r in got} == want
+
+
+def test_element_groups_all_holds_every_length(spark, monkeypatch):
+    from tests.test_goldens import dna, plain_groups
+    import random
+
+    rnd = random.Random(8)
+    copy = dna(rnd, 115)
+    fragments = [dna(rnd, 40) + copy[k : k + n] + dna(rnd, 20) for k, n in ((0, 115), (3, 30), (0, 90), (10, 104), (5, 100), (20, 60))]
+    monkeypatch.setattr(views, "pos_seqs", lambda session, _: session.createDataFrame(list(enumerate(fragments)), "frag_id long, seq string"))
+    want = plain_groups(fragments, 10, 100)
+    assert max(map(len, want)) > 12
+    assert {r.word: r.cnt for r in registry.QUERIES["element_groups_all"](spark, DATA).collect()} == want
