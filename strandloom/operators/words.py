@@ -75,7 +75,7 @@ def partial_cites(seqs: DataFrame, patterns: DataFrame, least: int) -> DataFrame
     return joined.select("pattern", "frag_id", F.col("text_pos").cast("bigint").alias("text_pos"), F.col("pattern_pos").cast("bigint").alias("pattern_pos"), F.array_max(longer).cast("bigint").alias("length"))
 
 
-def drop_cross(groups: DataFrame, others: DataFrame, lengths: range) -> DataFrame:
+def drop_cross(groups: DataFrame, others: DataFrame, lengths: range | list[int]) -> DataFrame:
     """Groups whose word is nowhere in the other fragments; only words of the lengths in question are looked up."""
     present = others.select(F.explode(F.flatten(F.array(*[S.kmers("seq", k) for k in lengths]))).alias("word")).distinct()
     return groups.join(present, "word", "left_anti")

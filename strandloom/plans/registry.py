@@ -225,6 +225,14 @@ def drop_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.drop_cross(W.branching(views.neg_seqs(spark, sf_dir), range(K, K + 1)), views.pos_seqs(spark, sf_dir), range(K, K + 1))
 
 
+@query()
+def drop_cross_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``drop_cross`` of the element groups of 10 to 100 symbols; that one holds right-branching words of 10, as its SQL does."""
+    groups = W.element_groups(views.neg_seqs(spark, sf_dir))
+    lengths = sorted(r.k for r in groups.select(F.length("word").alias("k")).distinct().collect())  # 91 at most
+    return W.drop_cross(groups, views.pos_seqs(spark, sf_dir), lengths) if lengths else groups
+
+
 @query(with_views(f"SELECT w.word, w.cnt, CAST(coalesce(n.cnt, 0) AS BIGINT) AS other_cnt FROM words w LEFT JOIN (SELECT word, count(*) AS cnt FROM ({kmers('neg_seqs', K)}) GROUP BY word) n USING (word)", "neg_seqs", "words"))
 def cross_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.cross_test(views.words(spark, sf_dir), views.neg_seqs(spark, sf_dir), K)

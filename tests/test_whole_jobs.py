@@ -33,3 +33,21 @@ def test_element_groups_all_holds_every_length(spark, monkeypatch):
     want = plain_groups(fragments, 10, 100)
     assert max(map(len, want)) > 12
     assert {r.word: r.cnt for r in registry.QUERIES["element_groups_all"](spark, DATA).collect()} == want
+
+
+def test_drop_cross_all_holds_every_length(spark, monkeypatch):
+    import random
+
+    from tests.test_goldens import dna, plain_groups
+
+    rnd = random.Random(9)
+    copy = dna(rnd, 60)
+    noise = [dna(rnd, 20) + copy[k : k + n] + dna(rnd, 10) for k, n in ((0, 60), (3, 30), (0, 50), (10, 45), (20, 16))]
+    peaks = [dna(rnd, 40) + copy[:40] + dna(rnd, 20), dna(rnd, 50)]
+    table = lambda session, rows: session.createDataFrame(list(enumerate(rows)), "frag_id long, seq string")
+    monkeypatch.setattr(views, "neg_seqs", lambda session, _: table(session, noise))
+    monkeypatch.setattr(views, "pos_seqs", lambda session, _: table(session, peaks))
+    every = plain_groups(noise, 10, 100)
+    want = {w: n for w, n in every.items() if not any(w in p for p in peaks)}
+    assert max(map(len, want)) > 12 and len(want) < len(every)
+    assert {r.word: r.cnt for r in registry.QUERIES["drop_cross_all"](spark, DATA).collect()} == want
