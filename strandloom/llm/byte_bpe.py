@@ -4,11 +4,15 @@ Edge cases: a null text counts as empty (no ids, empty bytes); ties cannot arise
 vocabulary fixes one encoding; repeated rows are each encoded; an empty table gives an
 empty result; other columns are ignored.
 
-A long text is cut before it reaches the library, so that no regular expression or merge
-loop ever works on more than ``CHUNK_CHARS`` plus one unbreakable run. A cut is made only
-between a word character and a space: no match of the pattern holds a space after another
-character, and the pattern looks ahead only past white space, so the pieces' ids, joined,
-are the whole text's ids.
+A long text is cut before it reaches the library, so that no regular expression works on more than
+``CHUNK_CHARS`` plus one run without a safe place. A cut is made only between a word character and a
+space: no match of the pattern holds a space after another character, and the pattern looks ahead only
+past white space, so the pieces' ids, joined, are the whole text's ids.
+
+The pattern's look-ahead past white space backtracks once a character, which the library refuses on runs
+of about a million. Runs of ``LONG_RUN`` characters or more never reach it: of such a run all but the
+last character are one match (all of them at the text's end), which is merged as a whole. So there is no
+limit to a text's length but memory, a few times the text.
 """
 
 from __future__ import annotations
@@ -25,17 +29,21 @@ from pyspark.sql import functions as F
 from strandloom.llm.common import id_and_text, map_slices
 
 CHUNK_CHARS = 16_384
+LONG_RUN = 4096
 _SAFE = re.compile(r"[^\W_](?= )")
+#: Unicode's White_Space, which is what the pattern's \s means (Python's holds four control characters more).
+_WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_EVERYTHING = r"[\s\S]+"
 
 
 @functools.cache
 def encoding(rank_path: str, pattern: str):
-    """The tiktoken encoding of a rank file, without special tokens."""
+    """Two tiktoken encodings of a rank file, without special tokens: one that splits by the pattern, one that takes a text as one match."""
     import tiktoken
 
     with open(rank_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tuple(tiktoken.Encoding("local", pat_str=p, mergeable_ranks=ranks, special_tokens={}) for p in (pattern, _EVERYTHING))
 
 
 def safe_pieces(text: str, chunk_chars: int = CHUNK_CHARS) -> list[str]:
@@ -51,15 +59,37 @@ def safe_pieces(text: str, chunk_chars: int = CHUNK_CHARS) -> list[str]:
     return pieces
 
 
-def encode_text(enc, text: str, chunk_chars: int = CHUNK_CHARS) -> bytes:
-    """The ids of a text as little-endian unsigned 32-bit integers."""
-    parts = (enc.encode_to_numpy(p, disallowed_special=()) for p in safe_pieces(text, chunk_chars) if p)
+@functools.cache
+def long_runs(least: int) -> re.Pattern:
+    return re.compile(f"(?<![{_WHITE}])[{_WHITE}]{{{least},}}")
+
+
+def without_long_runs(text: str, long_run: int = LONG_RUN) -> list[tuple[str, bool]]:
+    """The text in parts (part, whether it is one match of white space): long runs of white space stand alone."""
+    parts, start = [], 0
+    if len(text) >= long_run:
+        for run in long_runs(long_run).finditer(text):
+            stop = run.end() if run.end() == len(text) else run.end() - 1
+            parts += [(text[start : run.start()], False), (text[run.start() : stop], True)]
+            start = stop
+    return [*parts, (text[start:], False)]
+
+
+def encode_text(enc, text: str, chunk_chars: int = CHUNK_CHARS, long_run: int = LONG_RUN) -> bytes:
+    """The ids of a text as little-endian unsigned 32-bit integers. ``enc`` is a pair of encodings (``encoding``)."""
+    by_pattern, whole = enc
+    parts = []
+    for part, one_match in without_long_runs(text, max(2, long_run)):
+        if one_match:
+            parts.append(whole.encode_to_numpy(part, disallowed_special=()))
+        else:
+            parts += [by_pattern.encode_to_numpy(p, disallowed_special=()) for p in safe_pieces(part, chunk_chars) if p]
     return b"".join(np.asarray(ids, dtype="<u4").tobytes() for ids in parts)
 
 
 def decode_ids(enc, packed: bytes) -> bytes:
     """The raw bytes of packed ids; they need not be valid UTF-8."""
-    return enc.decode_bytes(np.frombuffer(packed, dtype="<u4").tolist())
+    return enc[0].decode_bytes(np.frombuffer(packed, dtype="<u4").tolist())
 
 
 def encode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:

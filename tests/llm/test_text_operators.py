@@ -140,9 +140,9 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark):
     path = P.path("byte_bpe_50k.tiktoken")
     enc = byte_bpe.encoding(path, P.PATTERN)
     for text in odd_texts(500):
-        for chunk in (1, 7, 16_384):
-            packed = byte_bpe.encode_text(enc, text, chunk)
-            assert np.frombuffer(packed, "<u4").tolist() == enc.encode_ordinary(text)
+        for chunk, run in ((1, 2), (7, 3), (16_384, 4096)):
+            packed = byte_bpe.encode_text(enc, text, chunk, run)
+            assert np.frombuffer(packed, "<u4").tolist() == enc[0].encode_ordinary(text)
             assert byte_bpe.decode_ids(enc, packed) == text.encode()
     docs = frame(spark, ["some words", None, ""])
     out = {r.doc_id: r for r in byte_bpe.round_trip(docs, path, P.PATTERN).collect()}
@@ -151,9 +151,36 @@ def test_byte_bpe_equals_the_library_and_round_trips(spark):
     assert {r.doc_id: bytes(r.decoded) for r in byte_bpe.decode(ids, path, P.PATTERN).collect()} == {0: b"some words", 1: b"", 2: b""}
 
 
+def test_byte_bpe_of_white_space_is_the_library_s():
+    enc = byte_bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rnd = random.Random(2)
+    white = " \n\t\r\x0b\x0c\x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000"
+    texts = ["".join(rnd.choice([rnd.choice(white) * rnd.randint(1, 9), rnd.choice(["a", "7", ".", "\x1c", "\u200b", "é"])]) for _ in range(rnd.randint(1, 12))) for _ in range(1500)]
+    texts += [a + w * n + b for w in (" ", "\n", " \n", "\t") for n in (4095, 4096, 4097, 9000) for a in ("", "a") for b in ("", "b", "\nb", ".")]
+    for text in texts:
+        for run in (2, 4, 4096):
+            assert np.frombuffer(byte_bpe.encode_text(enc, text, 16, run), "<u4").tolist() == enc[0].encode_ordinary(text), repr(text[:40])
+
+
+def test_byte_bpe_of_very_long_runs_round_trips(spark):
+    """Runs that the library itself refuses: at the start, in the middle, at the end, and all there is."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    texts = [f"{a}{w * 2_000_000}{b}" for w in (" ", "\n") for a, b in (("", ""), ("", "b c"), ("a b", ""), ("a b", "c d"))] + ["x" * 300_000, "word " * 200_000]
+    out = {r.doc_id: r for r in byte_bpe.round_trip(frame(spark, texts), path, P.PATTERN).collect()}
+    assert all(bytes(out[i].decoded) == t.encode() for i, t in enumerate(texts))
+
+
+def test_byte_bpe_of_no_rows_and_repeated_rows(spark):
+    path = P.path("byte_bpe_50k.tiktoken")
+    docs = spark.createDataFrame([(1, "a b", 9, b"x"), (1, "a b", 9, b"x"), (None, "c", 9, b"x"), (1, "c", 9, b"x")], "doc_id long, text string, n_tokens int, ids binary")
+    out = byte_bpe.round_trip(docs, path, P.PATTERN)
+    assert sorted((str(r.doc_id), r.n_tokens, bytes(r.decoded)) for r in out.collect()) == [("1", 1, b"c"), ("1", 2, b"a b"), ("1", 2, b"a b"), ("None", 1, b"c")]
+    assert byte_bpe.round_trip(docs.where("false"), path, P.PATTERN).count() == 0
+
+
 def test_bytes_that_are_no_text_decode():
     enc = byte_bpe.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
-    half = np.array(enc.encode_single_token(b"\xe6"), "<u4").tobytes()
+    half = np.array(enc[0].encode_single_token(b"\xe6"), "<u4").tobytes()
     assert byte_bpe.decode_ids(enc, half) == b"\xe6"
 
 
