@@ -50,6 +50,23 @@ def tasks(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key that holds more than one of this many rows is hot.
+HOT = 1000
+
+
+def attached(rows: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``found``, which has one row a key; rows without a match get nulls.
+
+    ``rows`` is materialised. Keys that hold over a thousandth of its rows, of which there are fewer than a thousand, are broadcast, so that no key's rows
+    are one task's; all others are shuffled. Keys aren't null."""
+    total = rows.count()
+    hot = F.broadcast(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("rows_of_key")).where(F.col("rows_of_key") * HOT > max(total, 100 * HOT)).drop("rows_of_key"))
+    if not hot.head(1):
+        return rows.join(found, key, "left")
+    few = F.broadcast(found.join(hot, key, "left_semi"))  # fewer than HOT rows
+    return rows.join(hot, key, "left_semi").join(few, key, "left").unionByName(rows.join(hot, key, "left_anti").join(found, key, "left"))
+
+
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the id and the text, under names of our own; a null text becomes empty."""
     return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

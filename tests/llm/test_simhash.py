@@ -1,5 +1,6 @@
 """SimHash against brute force: fingerprints bit by bit, components over all pairs."""
 
+import math
 import random
 
 import numpy as np
@@ -73,8 +74,9 @@ def test_dense_group_and_small_blocks(spark, monkeypatch):
     order, at = simhash.leaves(simhash.parts(a), 16)
     assert sorted(order.tolist()) == list(range(len(a))) and len(at) > 20
     a = a[order]
-    size = np.ones(len(a), dtype=np.int32)
-    u, v = simhash.linked(a, size, at, a, size, at, 4, 0.0, 4, True)
+    ones = np.ones(len(a), dtype=np.int32)
+    tile = simhash.Tile(0, (0, 0), (1, 1), ones, ones, a, ones, np.arange(len(a)), at)
+    u, v = simhash.forest(len(a), simhash.near_rows(tile, tile, True, (simhash.Radius(math.inf, 4, 4),), 0.0, 1))
     label = simhash.contracted(len(a), u, v)
     near = np.bitwise_count(a ^ a.T) <= 4
     i, j = np.nonzero(near)
@@ -102,6 +104,47 @@ def test_empty_table_and_null_ids(spark, docs):
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in simhash.near_duplicates(rows).collect()) == [(-1, -1), (-1, 5), (5, 5)]
 
 
+def test_rows_without_an_id_link_like_any_other(spark):
+    """Repeated ids with different texts, and a chain whose middle has no id; small tiles and blocks."""
+    rnd = random.Random(8)
+    rows = [(rnd.choice([None, *range(20)]), " ".join(rnd.choice(["a", "b", "c"]) for _ in range(rnd.randint(0, 9)))) for _ in range(150)]
+    rows += [(None, None), (3, None), (2, "a b c d"), (2, "a b c d")]
+    fp = [plain_fingerprint(t, 4) for _, t in rows]
+    place = plain_components(list(range(len(rows))), lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 20)
+    least = {}
+    for i, c in place.items():
+        if rows[i][0] is not None:
+            least[c] = min(least.get(c, math.inf), rows[i][0])
+    want = sorted((str(rows[i][0]), fp[i], str(least.get(c))) for i, c in place.items())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = simhash.near_duplicates(docs, radius=20, tile_rows=4).collect()
+    assert sorted((str(r.doc_id), int.from_bytes(r.fp, "big"), str(r.component_id)) for r in got) == want
+
+
+def test_blocks_of_tiles_compare_each_pair_once(docs, monkeypatch):
+    monkeypatch.setattr(simhash, "UNITS_A_CORE", 1)
+    seen, plain = [], math.isqrt
+    monkeypatch.setattr(simhash.math, "isqrt", lambda n: seen.append(n) or max(3, plain(n)))
+    fp = {3 * i: plain_fingerprint(t, 4) for i, t in enumerate(corpus())}
+    want = plain_components(sorted(fp), lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 6)
+    got = simhash.near_duplicates(docs, radius=6, tile_rows=4).collect()
+    assert seen and {r.doc_id: r.component_id for r in got} == want
+
+
+def test_hot_fingerprints_are_attached(spark):
+    rows = [(i, "" if i % 3 else f"text {i} of its own kind", 5) for i in range(900)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, n int")).collect()}
+    assert len(got) == 900 and all(got[i] == 1 for i in range(900) if i % 3)
+
+
+def test_very_long_text(spark):
+    words = [f"w{k % 7919}" for k in range(400_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "x" * 3_000_000), (3, " ".join(words[:-1]))], "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert int.from_bytes(got[1].fp, "big") == plain_fingerprint(" ".join(words), 4) and got[3].component_id == 1
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
 @pytest.mark.parametrize("rows", [5, 40, 1000])
 def test_components_of_chains_stars_and_rings(spark, monkeypatch, rows):
     monkeypatch.setattr(components_module, "ROWS", rows)
