@@ -6,6 +6,8 @@ columns (also ones called like an operator's own outputs) never clash.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,14 +30,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder for cut lineage: ``spark.checkpoint.dir``; where that is unset (tests), one of our own."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The shared folder for cut lineage: ``spark.checkpoint.dir``, or the session's checkpoint folder. A local session without either gets
+    one of its own, which goes when Python ends; on a cluster that is an error, as executors wouldn't share it."""
     context = spark.sparkContext._jsc.sc()
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if context.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="strandloom-"))
+        if not shared and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        own = shared or tempfile.mkdtemp(prefix="strandloom-")
+        spark.sparkContext.setCheckpointDir(own)
+        if not shared:
+            atexit.register(shutil.rmtree, own, ignore_errors=True)
     return shared or context.getCheckpointDir().get()
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of ours from the shared one, by Spark's own file systems."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
 

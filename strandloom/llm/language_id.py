@@ -12,7 +12,8 @@ The prototypes are languages x dimensions numbers, whatever the size of the corp
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0; equal cosines go to the
 language that sorts first; repeated rows each count and are each predicted; without any training
-row every text is ``und``; an empty table gives an empty result; other columns are ignored.
+row every text is ``und``; texts may be of any length; an empty table gives an empty result; other columns are ignored.
+In the query, ``held_out`` of a row without an id is null, and such rows don't train.
 """
 
 from __future__ import annotations
@@ -119,7 +120,7 @@ def prototypes(df: DataFrame, dimensions: int = DIMENSIONS, id_col: str = "doc_i
 
 def predict(df: DataFrame, profiles: dict[str, np.ndarray], dimensions: int = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score): score is the cosine with the language's prototype, at least 0."""
-    names = list(profiles)
+    names = sorted(profiles)
     matrix = np.stack([profiles[n] for n in names]) if names else None
 
     def work(_, cols):

@@ -1,16 +1,16 @@
 """Personal data: regular expressions propose spans, validators confirm them, context words adjust the score.
 
-Kinds, in their order: email, ip, card, phone (the base), then iban and local_phone.
+Kinds, in their order: email, ip, card, phone (the base), then iban, local_phone and secret (keys and tokens).
 A proposal that its validator rejects (Luhn for cards, mod 97 for IBANs, parts up to 255 for
 addresses, digit counts) is dropped and not tried again from another place. What is left gets its
 kind's prior score, plus ``CONTEXT_GAIN`` if one of the kind's context words stands within
 ``CONTEXT_CHARS`` before it; it is reported if the score reaches ``THRESHOLD``. The base kinds'
-priors reach it alone; the added kinds are weaker: an IBAN needs its check digits and a local
-phone number a context word.
+priors reach it alone; of the added kinds an IBAN needs its check digits, a local phone number and a
+secret a context word. The scores stand beside the spans in the result, so that a caller may ask for more than ``THRESHOLD``.
 
 Offsets count code points, ends are exclusive. Spans of one kind never overlap; spans of two kinds may.
 
-Edge cases: a null or empty text has no spans; equal starts are ordered by kind; repeated rows are
+Edge cases: a null or empty text has no spans; texts may be of any length; equal starts are ordered by kind; repeated rows are
 each searched; an empty table gives an empty result; other columns are ignored. Every scan is linear
 in the text, also in runs of a hundred thousand digits or letters without a match.
 """
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 
 from strandloom.llm.common import id_and_text, map_slices
 
-KINDS = ("email", "ip", "card", "phone", "iban", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "secret")
 BASE = KINDS[:4]
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.8, "local_phone": 0.3, "secret": 0.3}
 CONTEXT = {
     "email": re.compile(r"mail|contact|write", re.I),
     "ip": re.compile(r"\bip\b|host|server|address", re.I),
@@ -35,6 +35,7 @@ CONTEXT = {
     "phone": re.compile(r"phone|call|tel\b|mobile|telefon|tél", re.I),
     "iban": re.compile(r"iban|account|bank|konto|cuenta|compte", re.I),
     "local_phone": re.compile(r"phone|call|\btel\b|mobile|telefon|tél", re.I),
+    "secret": re.compile(r"token|secret|\bkey|_key|password|passwd|credential|bearer|auth|schlüssel|clave|clé", re.I),
 }
 CONTEXT_CHARS, CONTEXT_GAIN, THRESHOLD = 40, 0.3, 0.5
 
@@ -45,6 +46,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+(.])\(?0[0-9]{2,4}\)?[\x20/-][0-9]{3,4}(?:[\x20-][0-9]{3,4}){1,2}(?![0-9.])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{20,}+")
+#: Different characters that a secret has at least.
+SECRET_CHARS = 8
 
 
 def luhn(digits: str) -> bool:
@@ -113,6 +117,13 @@ def _local_phones(text: str):
             yield m.span()
 
 
+def _secrets(text: str):
+    for m in _SECRET.finditer(text):
+        found = set(m.group())
+        if len(found) >= SECRET_CHARS and any("0" <= c <= "9" for c in found) and any(c.isalpha() for c in found):
+            yield m.span()
+
+
 _HAS_DIGIT = re.compile(r"[0-9]")
 
 
@@ -129,6 +140,7 @@ def spans(text: str) -> list[tuple[int, str, int, float]]:
             found += [("phone", s) for s in _phones(text)]
         found += [("iban", s) for s in _ibans(text)]
         found += [("local_phone", s) for s in _local_phones(text)]
+        found += [("secret", s) for s in _secrets(text)]
     kept = []
     for kind, (start, end) in found:
         near = CONTEXT[kind].search(text, max(0, start - CONTEXT_CHARS), start)
@@ -152,20 +164,17 @@ def masked(text: str, found: list[tuple[int, str, int, float]]) -> str:
     return "".join(parts) + text[done:]
 
 
-def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, spans, masked): spans is an array of (start, end, kind, score); masked is the text without them."""
+def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: bool = True) -> DataFrame:
+    """(doc_id, spans, masked): spans is an array of (start, end, kind, score); masked, left out without ``mask``, is the text without them."""
 
     def work(_, cols):
         every = [spans(t) for t in cols["text"]]
-        return {
-            "doc_id": cols["doc_id"],
-            "spans": [[{"start": s, "end": e, "kind": k, "score": score} for s, k, e, score in f] for f in every],
-            "masked": [masked(t, f) for t, f in zip(cols["text"], every, strict=True)],
-        }
+        made = {"doc_id": cols["doc_id"], "spans": [[{"start": s, "end": e, "kind": k, "score": score} for s, k, e, score in f] for f in every]}
+        return made | ({"masked": [masked(t, f) for t, f in zip(cols["text"], every, strict=True)]} if mask else {})
 
     source = id_and_text(df, id_col, text_col)
     kind = source.schema["doc_id"].dataType.simpleString()
-    return map_slices(source, work, f"doc_id {kind}, spans array<struct<start:int,end:int,kind:string,score:double>>, masked string")
+    return map_slices(source, work, f"doc_id {kind}, spans array<struct<start:int,end:int,kind:string,score:double>>" + ", masked string" * mask)
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -185,7 +194,7 @@ def _is(kind: str):
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """Counts of the base kinds and the spans as text, from ``find``."""
+    """Counts of the base kinds, the spans and, in the same order, their scores as text, from ``find``."""
     line = lambda s: F.concat(s["kind"], F.lit(":"), s["start"], F.lit(":"), s["end"])
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     kinds = F.transform("spans", lambda s: s["kind"])
@@ -195,10 +204,11 @@ def digest(found: DataFrame) -> DataFrame:
         *counts,
         F.sha2(F.array_join(F.transform(base, line), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("spans", line), ",").alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     from strandloom.llm.common import table
 
-    return digest(find(table(spark, sf_dir, "documents")).drop("masked"))
+    return digest(find(table(spark, sf_dir, "documents"), mask=False))

@@ -1,6 +1,7 @@
 """Operators on single texts against plain restatements of their contracts."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -237,6 +238,120 @@ def test_toxicity_learns_and_holds_edge_cases(spark):
     assert all(r.predicted == 1 for r in toxicity.predict(docs, one).collect())
 
 
+def test_toxicity_sample_bounds_rows(spark, monkeypatch):
+    """An id with many rows trains once; the sample's rows are no more than asked for."""
+    docs = spark.createDataFrame([(i % 30, f"row {i} of words {'scum' if i % 30 % 2 else 'fine'}") for i in range(900)], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)] * 3 + [(None, 1)], "doc_id long, toxic int")
+    fitted = []
+    plain = toxicity.regress
+    monkeypatch.setattr(toxicity, "regress", lambda columns, values, marks, scale: fitted.append(marks) or plain(columns, values, marks, scale))
+    toxicity.fit(docs, labels, sample_rows=10)
+    toxicity.fit(docs, labels)
+    assert len(fitted[0]) <= 10 and len(fitted[1]) == 30 and fitted[1].sum() == 15
+
+
+def plain_model(rows):
+    """Log-count ratios and the best buckets by the definition, from (text, label)."""
+    counts, n = np.zeros((2, toxicity.BUCKETS)), np.zeros(2)
+    for text, label in rows:
+        line = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        counts[label, list({gram_bucket(line[i : i + k]) for k in toxicity.ORDERS for i in range(len(line) - k + 1)})] += 1
+        n[label] += 1
+    return counts, n
+
+
+def gram_bucket(gram):
+    """A single n-gram's bucket: a rolling hash of its code points, a gap being 0."""
+    rolling = None
+    for c in gram:
+        code = ((0 if c == " " else ord(c)) + 1) * 0x9E3779B1 % 2**32
+        rolling = code if rolling is None else (rolling * 0x01000193 + code) % 2**32
+    return (((rolling ^ (rolling >> 15)) * 0x85EBCA6B) % 2**32) >> (32 - toxicity.BITS)
+
+
+def test_toxicity_features_and_scores_equal_brute_force(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = "some plain words of any kind über niño scum idiot fools".split()
+    rows = [(i, " ".join(rnd.choice(words[: 8 if i % 3 else 11]) for _ in range(rnd.randint(1, 30))) + rnd.choice(["", " 12 ", "!!"]), int(i % 3 == 0)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    chosen = []
+    plain = toxicity.choose
+    monkeypatch.setattr(toxicity, "choose", lambda counts, n: chosen.append((counts.copy(), n)) or plain(counts, n))
+    model = toxicity.fit(docs, docs)
+    counts, n = plain_model([(t, y) for _, t, y in rows])
+    assert np.array_equal(chosen[0][0], counts) and np.array_equal(chosen[0][1], n)
+    for r in toxicity.predict(docs, model).collect():
+        text = rows[r.doc_id][1]
+        line = " " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " "
+        total = {}
+        for k in toxicity.ORDERS:
+            for i in range(len(line) - k + 1):
+                f = model.feature[gram_bucket(line[i : i + k])]
+                total[f] = total.get(f, 0) + 1
+        margin = model.bias + sum(math.log1p(c * 1000 / (len(text) + toxicity.SHORT)) * model.weight[f] for f, c in total.items() if f)
+        assert abs(r.score - 1 / (1 + math.exp(-margin))) < 1e-9
+
+
+def test_a_score_of_one_half_is_toxic(spark):
+    model = toxicity.Model(np.zeros(toxicity.BUCKETS, dtype=np.uint16), np.zeros(1), 0.0)
+    docs = spark.createDataFrame([(1, "any"), (1, "any"), (None, "x" * 1_000_000)], "doc_id long, text string")
+    assert [(r.score, r.predicted) for r in toxicity.predict(docs, model).collect()] == [(0.5, 1)] * 3
+    assert toxicity.without_toxic(docs, model).count() == 0 and toxicity.predict(docs.where("false"), model).count() == 0
+
+
+def test_secrets_need_context_and_variety():
+    kinds = lambda t: [k for _, k, _, _ in pii.spans(t)]
+    assert kinds('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"') == ["secret"]
+    assert kinds('build 04dbebab91ab85687d33eeaaf9ac699e1188f962') == [] and kinds("token aaaaaaaaaaaaaaaaaaaaaaaaa1") == []
+
+
+def test_pii_scores_stand_beside_the_spans(spark):
+    r = pii.digest(pii.find(frame(spark, ["mail a@b.co, lot 1.2.3.4"]), mask=False)).first()
+    assert (r.spans, r.scores) == ("email:5:11,ip:17:24", "1.0,0.6")
+
+
+def plain_language(text, profiles):
+    """Cosines by the definition: bound, bundled trigram vectors, one at a time."""
+    letters, _ = language_id.vectors(language_id.DIMENSIONS)
+    codes = language_id.trigrams(text)
+    total = sum((np.roll(letters[c >> 12], 2) * np.roll(letters[c >> 6 & 63], 1) * letters[c & 63] for c in codes.tolist()), np.zeros(language_id.DIMENSIONS))
+    return {lang: float(total @ p / (np.linalg.norm(total) * np.linalg.norm(p))) for lang, p in profiles.items()}
+
+
+def test_language_predictions_equal_brute_force_ties_and_repeats(spark):
+    rows = language_rows(60)
+    docs = spark.createDataFrame([*rows, (3, rows[3][1], "en"), (None, rows[4][1], None)], "doc_id long, text string, lang_pred string").withColumnRenamed("lang_pred", "lang")
+    profiles = language_id.prototypes(docs.where("doc_id % 2 = 0"))
+    out = language_id.predict(docs, profiles).collect()
+    assert len(out) == 62 and language_id.predict(docs.where("false"), profiles).count() == 0
+    for r in out:
+        if r.doc_id is not None:
+            cosines = plain_language(rows[r.doc_id][1], profiles)
+            assert cosines[r.lang_pred] >= max(cosines.values()) - 1e-5 and abs(r.score - max(0.0, min(1.0, max(cosines.values())))) < 1e-4
+    twice = {"b": profiles["en"], "a": profiles["en"]}
+    assert {r.lang_pred for r in language_id.predict(docs, twice).collect()} == {"a"}
+
+
+def test_language_of_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "the of and " * 300_000, "en"), (2, "1 " * 500_000, "en")], "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in language_id.predict(docs, language_id.prototypes(docs)).collect()}
+    assert out[1].lang_pred == "en" and out[2].lang_pred == "und"
+
+
+def test_token_counts_of_no_rows_repeats_and_an_own_column(spark):
+    path = P.path("byte_bpe_50k.json")
+    docs = spark.createDataFrame([(1, "a b", 9), (1, "a b", 9), (None, "c", 9)], "doc_id long, text string, n_tokens int")
+    assert sorted((str(r.doc_id), r.n_tokens) for r in token_count.count_tokens(docs, path).collect()) == [("1", 2), ("1", 2), ("None", 1)]
+    assert token_count.count_tokens(docs.where("false"), path).count() == 0
+
+
+def test_repeated_rows_are_each_judged(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.co"), (1, "mail a@b.co"), (None, "a b")], "doc_id long, text string")
+    assert pii.find(docs).count() == quality_rules.judge(docs).count() == 3
+    long = spark.createDataFrame([(1, "word and words " * 100_000)], "doc_id long, text string")
+    assert quality_rules.judge(long).first().n_words == 300_000 and pii.digest(pii.find(long)).first().n_email == 0
+
+
 def test_held_out_remainders_match_zlib(spark):
     from pyspark.sql import functions as F
 
