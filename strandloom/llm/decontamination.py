@@ -2,10 +2,9 @@
 
 1. Document frequencies of all documents' words (lower case; runs of ASCII other than letters and
    digits part words), hashed into ``BINS``, give the idf weights.
-2. A randomised SVD of the TF-IDF matrix of passages gives ``RANK`` latent directions: random vectors are
-   multiplied by the matrix and its transpose in distributed passes, each followed by an
-   orthogonalisation of a BINS x (RANK + extra) block. It is fitted on the passages of at most about
-   ``fit_docs`` documents, chosen by a hash of the id, and of the benchmark.
+2. A randomised SVD of the TF-IDF matrix of all passages, of the documents and of the benchmark, gives ``RANK`` latent
+   directions: random vectors are multiplied by the matrix and its transpose in a distributed pass over every row, and the
+   directions come from that product by the Nystrom formula. (With ``ROUNDS`` above one, passes over an orthogonalised product come before.)
 3. Every document is searched whole. Windows of several lengths, each sliding by half its length,
    are projected as sums of their words' vectors; those whose cosine with a benchmark item of about that
    length reaches ``COSINE`` are candidates.
@@ -15,12 +14,12 @@
    words; in either case two answer words at least (all, of an item with fewer).
 
 Words are compared by 64-bit hashes, computed for many texts at once. The benchmark is the stated query
-set; it is taken in blocks of ``ITEM_BLOCK`` items, each small enough to send to every task, so its size
-has no bound. Nothing else grows with the corpus but the passes.
+set; it is taken in blocks of about ``ITEM_BLOCK`` items and ``BLOCK_CHARS`` characters, one after the other: a block is sent to every
+task, searched for and destroyed before the next one. So its size has no bound but that of one item. Nothing else grows with the corpus but the passes.
 
 Edge cases: null or empty texts and items hold and match nothing; items of equal text each match;
 rows with equal ids are reported once a row, their best window each; ties of windows go to the
-earliest; an empty table, or an empty benchmark, gives an empty result; other columns are ignored.
+earliest; texts may be of any length, ``BLOCK_WORDS`` words are looked at at a time; an empty table, or an empty benchmark, gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,17 +35,21 @@ from strandloom.llm.common import cut, filter_slices, id_and_text, sum_blocks, t
 
 BIN_BITS = 14
 BINS = 1 << BIN_BITS
-RANK, EXTRA, ROUNDS = 48, 12, 3
+#: On check_l, 6,863 of 6,863 (document, item) pairs that a search with ``cosine=-2`` (no candidate left out) finds; 6,861 with 40 + 8 and 0.25.
+RANK, EXTRA, ROUNDS = 64, 16, 1
 SEED = 11
 PASSAGE = 48
-FIT_DOCS, FIT_TASKS = 8000, 12
-ITEM_BLOCK = 20_000
-COSINE = 0.35
+#: Bins whose sums travel together.
+CHUNK = 256
+ITEM_BLOCK, BLOCK_CHARS = 20_000, 32 << 20
+COSINE = 0.3
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER_WORDS, ANSWER_SHARE, LEAST_ANSWER = 0.8, 0.5, 5, 0.8, 2
 #: Window lengths grow by this factor from the least; windows begin and end at multiples of the grain.
 LADDER, LEAST_WINDOW, GRAIN = 1.5, 8, 4
 #: Texts that are hashed at once, words that are projected at once.
 TEXTS, BLOCK_WORDS = 64, 60_000
+#: Cosines that are computed at once.
+COSINES = 1 << 21
 FLAG_BITS = 20
 
 _TABLE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
@@ -108,53 +111,66 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return total[:BINS], int(total[BINS])
 
 
-def passages(ids: np.ndarray) -> np.ndarray:
-    """Where passages of ``PASSAGE`` words begin; a short rest belongs to the last."""
-    return np.arange(0, max(1, len(ids) - PASSAGE // 2), PASSAGE)
+def cells(every: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(passage, bin, term frequency) of texts' words, by passage, then bin. Passages have ``PASSAGE`` words; a short rest belongs to the last."""
+    count = np.maximum(1, -(-(sizes - PASSAGE // 2) // PASSAGE)) * (sizes > 0)
+    first, low = np.cumsum(sizes) - sizes, np.cumsum(count) - count
+    place = np.arange(len(every)) - np.repeat(first, sizes)
+    owner = np.repeat(low, sizes) + np.minimum(place // PASSAGE, np.repeat(count, sizes) - 1)
+    cell, tf = np.unique(owner << BIN_BITS | every, return_counts=True)
+    return cell >> BIN_BITS, (cell & (BINS - 1)).astype(np.uint16), tf.astype(np.float32)
 
 
-def fit(sample: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """The projection (bins x rank) of a bag of words onto the latent directions, each scaled to unit variance."""
+def fit(texts: DataFrame, idf: np.ndarray, rank: int | None = None) -> np.ndarray:
+    """The projection (bins x rank) of a bag of words onto the latent directions of ``texts`` (text), each scaled to unit variance."""
+    rank = rank or RANK
     width = min(rank + EXTRA, BINS)
-    basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((BINS, width)))[0].astype(np.float32)
-    weight = idf.astype(np.float32)[:, None]
+    basis = np.linalg.qr(np.random.default_rng(SEED).standard_normal((BINS, width)))[0]
+    square = (idf**2).astype(np.float32)
 
     def product(block: np.ndarray) -> np.ndarray:
-        """(matrix transposed) (matrix) (block), distributed over the sample's rows."""
-        sent = sample.sparkSession.sparkContext.broadcast(weight * block)  # of a fixed size
+        """(matrix transposed) (matrix) (block), distributed over all rows. A passage has length one, so that long and rare ones weigh the same."""
+        sent = texts.sparkSession.sparkContext.broadcast((idf[:, None] * block).astype(np.float32))  # of a fixed size
 
         def run(batches):
-            total, any_row = np.zeros((BINS, width)), False
+            total, seen = np.zeros((BINS, width)), False
             for part in in_slices(batches):
                 hashes, sizes = hashed(part.column(0).to_pylist())
-                every, at = bin_of(hashes), 0
-                for n in sizes.tolist():
-                    ids = every[at : at + n]
-                    at += n
-                    if not n:
-                        continue
-                    begin = passages(ids)
-                    rows = np.add.reduceat(sent.value[ids], begin, axis=0)
-                    owner = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, n)))
-                    # A passage has length one in TF-IDF space, so that long and rare ones weigh the same.
-                    cell, tf = np.unique(owner.astype(np.int64) * BINS + ids, return_counts=True)
-                    norm = np.bincount(cell // BINS, (tf * idf[cell % BINS]) ** 2, minlength=len(begin))
-                    np.add.at(total, ids, (rows / np.maximum(norm, 1e-9)[:, None])[owner])
-                    any_row = True
-            if any_row:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "block"])
-
-        found = sum_blocks(sample.select("text").mapInArrow(run, "part int, block binary"), "part", "int").collect()
+                if not len(hashes):
+                    continue
+                passage, at, tf = cells(bin_of(hashes), sizes)
+                edge = np.flatnonzero(np.diff(passage, prepend=-1))
+                norm = np.add.reduceat(tf * tf * square[at], edge)
+                rows = np.add.reduceat(sent.value[at] * tf[:, None], edge, axis=0) / np.maximum(norm, 1e-9)[:, None]
+                order = np.argsort(at, kind="stable")
+                bins = at[order]
+                edge = np.flatnonzero(np.diff(bins.astype(np.int32), prepend=-1))
+                total[bins[edge]] += np.add.reduceat(rows[passage[order]] * tf[order][:, None], edge, axis=0)
+                seen = True
+            if seen:
+                for k in range(0, BINS, CHUNK):
+                    block = total[k : k + CHUNK].tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([block], pa.binary())], names=["part", "block"])
+
+        found = sum_blocks(texts.mapInArrow(run, "part int, block binary"), "part", "int").collect()  # BINS / CHUNK rows
         sent.destroy()
-        return (np.frombuffer(found[0].block, dtype="<f8").reshape(BINS, width) if found else np.zeros((BINS, width))) * weight
+        made = np.zeros((BINS, width))
+        for r in found:
+            made[r.part : r.part + CHUNK] = np.frombuffer(r.block, dtype="<f8").reshape(CHUNK, width)
+        return made * idf[:, None]
 
     made = product(basis)
     for _ in range(ROUNDS - 1):
-        basis = np.linalg.qr(made)[0].astype(np.float32)
+        basis = np.linalg.qr(made)[0]
         made = product(basis)
-    values, turn = np.linalg.eigh(basis.T @ made)
-    keep = [k for k in range(width - 1, max(-1, width - 1 - rank), -1) if values[k] > 1e-6 * max(values[-1], 1e-12)]
-    return (weight * (basis @ turn[:, keep]) / np.sqrt(values[keep])).astype(np.float32)
+    # Nystrom: the matrix is about made (basis' made)^-1 made'; a small shift keeps the inverse stable.
+    shift = 1e-6 * max(np.linalg.norm(made), 1e-12)
+    shifted = made + shift * basis
+    root = np.linalg.cholesky((basis.T @ shifted + shifted.T @ basis) / 2)
+    directions, values, _ = np.linalg.svd(np.linalg.solve(root, shifted.T).T, full_matrices=False)
+    values = np.maximum(values**2 - shift, 0)
+    keep = [k for k in range(min(rank, width)) if values[k] > 1e-6 * max(values[0], 1e-12)]
+    return (idf[:, None] * directions[:, keep] / np.sqrt(values[keep])).astype(np.float32)
 
 
 class Item:
@@ -188,7 +204,8 @@ def window_of(n_words: int) -> int:
 
 
 class Searcher:
-    def __init__(self, items: list[tuple[int, str]], projection: np.ndarray, idf: np.ndarray):
+    def __init__(self, items: list[tuple[int, str]], projection: np.ndarray, idf: np.ndarray, cosine: float = COSINE):
+        self.cosine = cosine
         self.projection = np.concatenate([projection, np.zeros((1, projection.shape[1]), dtype=np.float32)])  # the last bin fills up grains
         self.levels: dict[int, tuple[list[Item], np.ndarray]] = {}
         grouped: dict[int, list[Item]] = {}
@@ -256,17 +273,19 @@ class Searcher:
             left = np.maximum((start - low[owner]) * GRAIN - length // 2, 0)
             right = np.minimum((stop - low[owner]) * GRAIN + length // 2, size[owner])
             hits = flags[begin[owner] + right] - flags[begin[owner] + left]
-            least = min(i.least_answer for i in group)
-            for b in range(0, len(start), 8192):
-                window = sums[stop[b : b + 8192]] - sums[start[b : b + 8192]]
+            # A leak has answer words, so windows with too few of all items' answer words around them hold none.
+            some = np.flatnonzero(hits >= min(i.least_answer for i in group))
+            rows = max(1, COSINES // len(group))
+            for b in range(0, len(some), rows):
+                chosen = some[b : b + rows]
+                window = sums[stop[chosen]] - sums[start[chosen]]
                 norm = np.sqrt(np.einsum("ij,ij->i", window, window))
                 cosines = window @ vectors
-                candidate = cosines >= (COSINE * norm)[:, None]
-                candidate &= (hits[b : b + 8192] >= least)[:, None]
-                row, col = np.nonzero(candidate)
+                row, col = np.nonzero(cosines >= (self.cosine * norm)[:, None])
                 for r, c in zip(row.tolist(), col.tolist(), strict=True):
-                    k, a, _ = part[owner[b + r]]
-                    self._check(k, group[c], hashes[first[k] : first[k] + sizes[k]], a + int(left[b + r]), a + int(right[b + r]), float(cosines[r, c] / max(norm[r], 1e-12)), found)
+                    at = chosen[r]
+                    k, a, _ = part[owner[at]]
+                    self._check(k, group[c], hashes[first[k] : first[k] + sizes[k]], a + int(left[at]), a + int(right[at]), float(cosines[r, c] / max(norm[r], 1e-12)), found)
 
     def _check(self, k, item, words, begin, end, cosine, found) -> None:
         region = words[begin:end].tolist()
@@ -284,45 +303,48 @@ class Searcher:
                     found[key] = (cosine, share, answer, begin + at)
 
 
-def index(corpus: DataFrame, items: DataFrame, n_items: int, fit_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """(projection, idf): idf from all documents, the latent directions from a bounded sample."""
-    frequency, n = document_frequencies(corpus)
-    idf = np.log((n + 1) / (frequency + 1)) + 0.1
-    chosen = corpus.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, fit_docs / max(n, 1)) * (1 << 30)))
-    some = items.where(F.pmod(F.xxhash64("item_id"), F.lit(1 << 30)) < int(min(1.0, fit_docs / n_items) * (1 << 30)))
-    sample = cut(chosen.select("text").union(some.select("text")).repartition(FIT_TASKS))
-    return fit(sample, idf), idf
+class Index:
+    """What a search needs, and the benchmark's items in blocks: idf and latent directions of all documents and items."""
 
+    def __init__(self, corpus: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, cosine: float):
+        items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
+        self.spark, self.cosine = corpus.sparkSession, cosine
+        n, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+        self.blocks = max(-(-n // ITEM_BLOCK), -(-chars // BLOCK_CHARS)) if n else 0
+        if self.blocks:
+            frequency, rows = document_frequencies(corpus)
+            self.idf = np.log((rows + 1) / (frequency + 1)) + 0.1
+            self.projection = fit(corpus.select("text").unionAll(items.select("text")), self.idf)
+            self.items = items if self.blocks == 1 else cut(items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(self.blocks))).repartition("block"))
 
-def prepared(docs: DataFrame, benchmark: DataFrame, fit_docs: int, id_col: str, text_col: str, item_col: str, item_text_col: str) -> list:
-    """Broadcast search states, one for each block of items; none if there is no item."""
-    items = benchmark.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
-    n_items = items.count()
-    if not n_items:
-        return []
-    projection, idf = index(id_and_text(docs, id_col, text_col), items, n_items, fit_docs)
-    blocks = -(-n_items // ITEM_BLOCK)
-    parts = [items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) for b in range(blocks)]
-    return [docs.sparkSession.sparkContext.broadcast(([(r.item_id, r.text) for r in part.collect()], projection, idf)) for part in parts]
+    def states(self):
+        """A broadcast search state for each block of items, one at a time; each but the last is destroyed when the next is asked for."""
+        for b in range(self.blocks):
+            part = self.items if self.blocks == 1 else self.items.where(F.col("block") == b)
+            state = self.spark.sparkContext.broadcast(([(r.item_id, r.text) for r in part.collect()], self.projection, self.idf, self.cosine))  # a block of items
+            yield state, b == self.blocks - 1
+            if b < self.blocks - 1:
+                state.destroy()
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, cosine, lcs, answer, first_word): a row for each document and item that it holds."""
     corpus = id_and_text(docs, id_col, text_col)
     kind = corpus.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id long, cosine double, lcs double, answer double, first_word int"
-    made = docs.sparkSession.createDataFrame([], schema)
-    states = prepared(docs, benchmark, fit_docs, id_col, text_col, item_col, item_text_col)
-    for k, state in enumerate(states):
+    made = None
+    for state, last in Index(corpus, benchmark, item_col, item_text_col, cosine).states():
         part = corpus.mapInArrow(_searching(state), schema)
-        made = part if k == 0 else made.union(part)
-    return made
+        part = part if last else cut(part)
+        made = part if made is None else made.unionAll(part)
+    return docs.sparkSession.createDataFrame([], schema) if made is None else made
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, fit_docs: int = FIT_DOCS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows that hold no item, with all their columns."""
-    for state in prepared(docs, benchmark, fit_docs, id_col, text_col, item_col, item_text_col):
+def without_leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows that hold no item, with all their columns. (What is left after each block of items but the last is cut.)"""
+    for state, last in Index(id_and_text(docs, id_col, text_col), benchmark, item_col, item_text_col, cosine).states():
         docs = filter_slices(docs, text_col, _clean, lambda state=state: Searcher(*state.value))
+        docs = docs if last else cut(docs)
     return docs
 
 

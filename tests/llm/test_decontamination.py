@@ -65,8 +65,99 @@ def test_rows_without_leaks_keep_their_columns(spark, case):
 def test_blocks_of_items_change_nothing(spark, case, monkeypatch):
     docs, items = frames(spark, case)
     whole = {(r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()}
+    left = sorted(r.doc_id for r in d.without_leaks(docs, items).collect())
     monkeypatch.setattr(d, "ITEM_BLOCK", 15)
     assert {(r.doc_id, r.item_id) for r in d.leaks(docs, items).collect()} == whole
+    assert sorted(r.doc_id for r in d.without_leaks(docs, items).collect()) == left
+
+
+def plain_leaks(items, docs):
+    """Pairs that the definition makes leaks, by every stretch of words of a quarter more than the item."""
+    split = lambda t: "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()
+    texts = {k: split(t) for k, t in docs}
+    held = {}
+    for words in texts.values():
+        for w in set(words):
+            held[w] = held.get(w, 0) + 1
+    found = set()
+    for item, text in items:
+        own = split(text)
+        hashes = {w: int(d.hashed([w])[0][0]) for w in own}
+        rare = sorted(set(own), key=lambda w: (held.get(w, 0), hashes[w]))[: d.ANSWER_WORDS]
+        n, room, least = len(own), len(own) + len(own) // 4 + 2, min(d.LEAST_ANSWER, len(rare))
+        for k, words in texts.items():
+            if len(set(rare) & set(words)) < least:
+                continue
+            for at in range(max(1, len(words) - room + 1)):
+                near = words[at : at + room]
+                answer = len(set(rare) & set(near))
+                if answer >= least:
+                    row = [0] * (len(near) + 1)
+                    for x in own:
+                        before = 0
+                        for j, y in enumerate(near, 1):
+                            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+                    share = row[-1] / n
+                    if share >= d.LCS_ALONE or share >= d.LCS_WITH_ANSWER and answer >= d.ANSWER_SHARE * len(rare):
+                        found.add((k, item))
+                        break
+    return found
+
+
+def test_search_against_every_stretch_and_every_item(spark):
+    """Copies, and paraphrases with words changed, dropped and added, against a complete search without latent vectors or windows."""
+    rnd = random.Random(21)
+    # A word of its own for each bin, so that document frequencies of bins are those of words.
+    vocab, used = [], set()
+    for w in (a + b for a in VOCAB for b in ("", "ra", "ti", "mo")):
+        b = int(d.bin_of(d.hashed([w])[0])[0])
+        if b not in used:
+            used.add(b)
+            vocab.append(w)
+    draw = lambda n: [vocab[min(int(rnd.expovariate(1 / 150)), len(vocab) - 1)] for _ in range(n)]
+    items = [(i, " ".join(draw(rnd.choice([10, 14, 25, 40, 60])))) for i in range(30)]
+    docs = []
+    for k in range(150):
+        words = draw(rnd.randint(5, 250))
+        if k % 2:
+            part = items[rnd.randrange(30)][1].split()
+            for _ in range(round(len(part) * rnd.choice([0, 0.1, 0.2, 0.3, 0.45]))):
+                at = rnd.randrange(len(part))
+                part[at : at + 1] = rnd.choice([[], draw(1), [part[at], *draw(1)]])
+            at = rnd.randrange(len(words) + 1)
+            words[at:at] = part
+        docs.append((k, " ".join(words)))
+    want = plain_leaks(items, docs)
+    found = {(r.doc_id, r.item_id) for r in d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) > 50 and found <= want and len(found) >= 0.95 * len(want), (len(found), len(want))
+
+
+def test_directions_are_those_of_a_plain_decomposition(spark, case):
+    rnd = random.Random(3)
+    texts = [" ".join(prose(rnd, rnd.randint(1, 200))) for _ in range(60)]
+    idf = np.random.default_rng(1).uniform(0.5, 3, d.BINS)
+    rows = []
+    for text in texts:
+        words = d.bin_of(d.hashed([text])[0])
+        for at in range(0, max(1, len(words) - d.PASSAGE // 2), d.PASSAGE):
+            last = at + d.PASSAGE >= max(1, len(words) - d.PASSAGE // 2)
+            row = np.bincount(words[at:] if last else words[at : at + d.PASSAGE], minlength=d.BINS) * idf
+            rows.append(row / np.linalg.norm(row))
+    matrix = np.array(rows)
+    _, values, turn = np.linalg.svd(matrix, full_matrices=False)
+    got = d.fit(spark.createDataFrame([(t,) for t in [*texts, "", None]], "text string").where("text IS NOT NULL").repartition(3), idf, rank=8)
+    captured = np.linalg.norm(matrix @ np.linalg.qr(got / idf[:, None])[0]) ** 2
+    assert captured >= 0.85 * (values[:8] ** 2).sum()
+    assert abs(np.linalg.norm(matrix @ (got[:, 0] / idf)) - 1) < 0.1  # the first direction has unit variance
+
+
+def test_rows_that_repeat_nulls_and_very_long_texts(spark, case):
+    items = case[0]
+    long = " ".join(prose(random.Random(6), 150_000)) + " " + items[2][1]
+    docs = spark.createDataFrame([(1, items[0][1], 5), (1, items[0][1], 5), (None, items[1][1], 5), (2, long, 5), (3, None, 5)], "doc_id long, text string, item_id int")
+    found = [(r.doc_id, r.item_id) for r in d.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()]
+    assert sorted(found, key=str) == sorted([(1, 0), (1, 0), (None, 1), (2, 2)], key=str)
+    assert d.without_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect() == [(3, None, 5)]
 
 
 def test_empty_tables(spark, case):
