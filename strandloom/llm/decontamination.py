@@ -25,6 +25,7 @@ earliest; texts may be of any length, ``BLOCK_WORDS`` words are looked at at a t
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,8 @@ BINS = 1 << BIN_BITS
 RANK, EXTRA, ROUNDS = 64, 16, 1
 SEED = 11
 PASSAGE = 48
-#: Bins whose sums travel together.
-CHUNK = 256
+#: Bins whose sums travel together; passages that are multiplied at once.
+CHUNK, FEW = 256, 32
 ITEM_BLOCK, BLOCK_CHARS = 20_000, 32 << 20
 COSINE = 0.3
 LCS_ALONE, LCS_WITH_ANSWER, ANSWER_WORDS, ANSWER_SHARE, LEAST_ANSWER = 0.8, 0.5, 5, 0.8, 2
@@ -139,13 +140,15 @@ def fit(texts: DataFrame, idf: np.ndarray, rank: int | None = None) -> np.ndarra
                 if not len(hashes):
                     continue
                 passage, at, tf = cells(bin_of(hashes), sizes)
-                edge = np.flatnonzero(np.diff(passage, prepend=-1))
-                norm = np.add.reduceat(tf * tf * square[at], edge)
-                rows = np.add.reduceat(sent.value[at] * tf[:, None], edge, axis=0) / np.maximum(norm, 1e-9)[:, None]
-                order = np.argsort(at, kind="stable")
-                bins = at[order]
-                edge = np.flatnonzero(np.diff(bins.astype(np.int32), prepend=-1))
-                total[bins[edge]] += np.add.reduceat(rows[passage[order]] * tf[order][:, None], edge, axis=0)
+                n = int(passage[-1]) + 1
+                norm = np.maximum(np.bincount(passage, tf * tf * square[at], minlength=n), 1e-9).astype(np.float32)
+                # Small dense blocks of the matrix: a few passages by the bins that they have.
+                for low, high in itertools.pairwise(range(0, n + FEW, FEW)):
+                    some = slice(*np.searchsorted(passage, (low, high)))
+                    bins, column = np.unique(at[some], return_inverse=True)
+                    matrix = np.zeros((min(high, n) - low, len(bins)), dtype=np.float32)
+                    matrix[passage[some] - low, column] = tf[some]
+                    total[bins] += matrix.T @ (matrix @ sent.value[bins] / norm[low:high, None])
                 seen = True
             if seen:
                 for k in range(0, BINS, CHUNK):
