@@ -53,16 +53,13 @@ def weight_matrix(words: DataFrame) -> DataFrame:
     return both.unionByName(words.select(F.col("id").cast("bigint").alias("i"), F.col("id").cast("bigint").alias("j"), F.lit(0).cast("bigint").alias("weight")))
 
 
-def multiple(words: DataFrame, align_to: str = "first") -> DataFrame:
+def multiple(words: DataFrame, align_to: str = "first", sums: DataFrame | None = None) -> DataFrame:
     """(cluster, id, cnt, direction, shift, row): rows of each cluster shifted against each other, padded on the left with blanks.
 
     ``words`` has (cluster, id, word, cnt). The word of the greatest summed weight (the first of such) is the base: straight, shift
-    0. The others are aligned to the cluster's first word, or with ``align_to='base'`` to the base."""
-    a = words.select("cluster", F.col("id").alias("id1"), F.col("word").alias("a"))
-    b = words.select("cluster", F.col("id").alias("id2"), F.col("word").alias("b"))
-    pairs = aligned(a.join(b, "cluster").where("id1 > id2"), "a", "b").select("cluster", "id1", "id2", "weight")
-    both = pairs.unionByName(pairs.select("cluster", F.col("id2").alias("id1"), F.col("id1").alias("id2"), "weight"))
-    sums = both.groupBy("cluster", F.col("id1").alias("id")).agg(F.sum("weight").alias("total"))
+    0. The others are aligned to the cluster's first word, or with ``align_to='base'`` to the base. ``sums`` (cluster, id, total) are the
+    words' summed weights within their clusters, if they are known."""
+    sums = _sums(words) if sums is None else sums
     totals = words.join(sums, ["cluster", "id"], "left").select("cluster", "id", "word", F.coalesce("total", F.lit(0)).alias("total"))
     heads = totals.groupBy("cluster").agg(F.max_by("id", F.struct("total", -F.col("id"))).alias("base_id"), F.min_by("word", "id").alias("first"), F.max_by("word", F.struct("total", -F.col("id"))).alias("base"))
     joined = words.join(heads.withColumn("parent", F.col(align_to)), "cluster")
@@ -77,6 +74,14 @@ def multiple(words: DataFrame, align_to: str = "first") -> DataFrame:
     return moved.withColumn("shift", shift).select("cluster", "id", "cnt", "direction", "shift", F.concat(F.repeat(F.lit(" "), F.col("shift").cast("int")), turned).alias("row"))
 
 
+def _sums(words: DataFrame) -> DataFrame:
+    a = words.select("cluster", F.col("id").alias("id1"), F.col("word").alias("a"))
+    b = words.select("cluster", F.col("id").alias("id2"), F.col("word").alias("b"))
+    pairs = aligned(a.join(b, "cluster").where("id1 > id2"), "a", "b").select("cluster", "id1", "id2", "weight")
+    both = pairs.unionByName(pairs.select("cluster", F.col("id2").alias("id1"), F.col("id1").alias("id2"), "weight"))
+    return both.groupBy("cluster", F.col("id1").alias("id")).agg(F.sum("weight").alias("total"))
+
+
 def columns(rows: DataFrame, factor: str | None = None) -> DataFrame:
     """(cluster, pos, a, t, g, c, n_rows): counts (or sums of ``factor``) of each base in each column from 0."""
     weight = F.col(factor).cast("bigint") if factor else F.lit(1).cast("bigint")

@@ -1,12 +1,16 @@
 """Peak intervals: merging across cells, quality, gaps, length-matched background regions, classes.
 
-A merged peak has the columns of ``MERGED``. The greedy merge of two flows and the background scan are
-sequential by definition; both run per chromosome on rows streamed in order, holding a row or a queue of lengths.
+A merged peak has the columns of ``MERGED``. The greedy merge of flows is sequential, but rows merge only where they overlap: a row that begins at or
+after the end of all rows before it begins an island, and islands merge independently. Tasks get whole islands, some neighbours at once.
+The background scan is one pass over rows in order that holds a queue of lengths; only rows with a gap or a length for the queue reach it.
 """
 
 from __future__ import annotations
 
+import functools
+from collections import deque
 from collections.abc import Iterator
+from random import Random
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -93,45 +97,61 @@ def _rest(head: tuple | None, flow: Iterator[tuple]) -> Iterator[tuple]:
 
 
 def merge_join(left: DataFrame, right: DataFrame, emulate_tail_dup: bool = False) -> DataFrame:
-    """The greedy one-to-one full outer merge of two flows, each chromosome in order of (start, end)."""
+    """The greedy one-to-one full outer merge of two flows, each chromosome in order of (start, end).
 
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        flows = [iter(sorted(f[COLUMNS].itertuples(index=False, name=None), key=lambda r: (r[1], r[2], list(r[7])))) for f in (a, b)]
-        return pd.DataFrame(list(merge_flows(*flows, emulate_tail_dup)), columns=COLUMNS)
+    ``emulate_tail_dup`` is a matter of a flow's end, so it takes a chromosome as a whole."""
+    return _tournament(_flows([left, right]), 2, emulate_tail_dup)
 
-    return left.groupBy("chrom").cogroup(right.groupBy("chrom")).applyInPandas(run, MERGED)
+
+def _flows(flows: list[DataFrame]) -> DataFrame:
+    rows = [flow.select(*COLUMNS, F.lit(k).alias("flow")) for k, flow in enumerate(flows)]
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
 def merge_all(flows: list[DataFrame]) -> DataFrame:
     """A tournament: the first two flows merge and queue up behind the others until one is left.
 
-    A merged flow keeps the order in which the merge gave its rows, so all rounds of a chromosome are one task's generators."""
+    A merged flow keeps the order in which the merge gave its rows, so all rounds of an island are one task's generators."""
     if not flows:
         raise ValueError("no flows to merge")
-    rows = flows[0].select(*COLUMNS, F.lit(0).alias("flow"))
-    for k, flow in enumerate(flows[1:], 1):
-        rows = rows.unionByName(flow.select(*COLUMNS, F.lit(k).alias("flow")))
-    return _tournament(rows, len(flows))
+    return _tournament(_flows(flows), len(flows))
 
 
-def merged_peaks(peaks: DataFrame, cells: int, chrom: str | None = None) -> DataFrame:
-    """Peaks of the cells 0 to ``cells`` - 1, each cell a flow, merged in the tournament's order."""
+def merged_peaks(peaks: DataFrame, cells: int | None = None, chrom: str | None = None) -> DataFrame:
+    """Peaks of the cells 0 to ``cells`` - 1 (all by default), each cell a flow, merged in the tournament's order."""
+    if cells is None:
+        cells = (peaks.agg(F.max("cell_id").alias("most")).first().most or 0) + 1
     wanted = peaks.where(F.col("cell_id") < cells)
     rows = singletons(wanted if chrom is None else wanted.where(F.col("chrom") == chrom))
     return _tournament(rows.withColumn("flow", F.element_at("cell_ids", 1)), cells)
 
 
-def _tournament(rows: DataFrame, n: int) -> DataFrame:
+#: Islands that begin within this many positions go to one task together.
+NEIGHBOURS = 1 << 20
+
+
+def islands(rows: DataFrame) -> DataFrame:
+    """Adds ``island``: where the row's island begins. A chromosome's rows stream through one running maximum."""
+    order = Window.partitionBy("chrom").orderBy("start_pos", "end_pos")
+    before = F.max("end_pos").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = rows.withColumn("begins", F.when(before.isNull() | (F.col("start_pos") >= before), F.col("start_pos")))
+    return marked.withColumn("island", F.max("begins").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("begins")
+
+
+def _tournament(rows: DataFrame, n: int, emulate_tail_dup: bool = False) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         flows: list[list[tuple]] = [[] for _ in range(n)]
         for *r, flow in part[[*COLUMNS, "flow"]].itertuples(index=False, name=None):
             flows[flow].append(tuple(r))
         queue: list = [iter(sorted(f, key=lambda r: (r[1], r[2], list(r[7]), list(r[8])))) for f in flows]
         while len(queue) > 1:
-            queue.append(merge_flows(queue.pop(0), queue.pop(0)))
+            queue.append(merge_flows(queue.pop(0), queue.pop(0), emulate_tail_dup))
         return pd.DataFrame(list(queue[0]), columns=COLUMNS)
 
-    return rows.groupBy("chrom").applyInPandas(run, MERGED)
+    if emulate_tail_dup:
+        return rows.groupBy("chrom").applyInPandas(run, MERGED)
+    grouped = islands(rows).withColumn("near", F.floor(F.col("island") / NEIGHBOURS))
+    return grouped.groupBy("chrom", "near").applyInPandas(run, MERGED)
 
 
 def mean_value1() -> Column:
@@ -142,12 +162,17 @@ def is_good(min_cells: int = 2, min_value: float = 200.0, min_size: int = 100) -
     return (F.size("cell_ids") >= min_cells) & (mean_value1() >= min_value) & (F.col("end_pos") - F.col("start_pos") >= min_size)
 
 
+def is_strict() -> Column:
+    """Whether all cells of a merged peak begin at one place and end at one."""
+    return (F.col("start_min") == F.col("start_max")) & (F.col("end_min") == F.col("end_max"))
+
+
 def peak_regions(merged: DataFrame, **limits) -> DataFrame:
     return merged.where(is_good(**limits)).select("chrom", F.col("start_min").alias("start"), (F.col("end_max") - F.col("start_min")).alias("size"))
 
 
 def gaps(merged: DataFrame) -> DataFrame:
-    """(chrom, gap_start, gap_end): room before each peak, from the greatest end before it (0 for a chromosome's first)."""
+    """(chrom, gap_start, gap_end): room before each peak, from the end of the one before it in order (0 for a chromosome's first)."""
     order = Window.partitionBy("chrom").orderBy("start_pos", "end_pos")
     before = F.coalesce(F.lag("end_max").over(order), F.lit(0))
     return merged.select("chrom", before.alias("gap_start"), F.col("start_min").alias("gap_end")).where("gap_end > gap_start")
@@ -156,36 +181,40 @@ def gaps(merged: DataFrame) -> DataFrame:
 REGION = "kind string, chrom string, start bigint, size bigint"
 
 
-def regions(merged: DataFrame, min_cells: int = 2, min_value: float = 200.0, min_size: int = 100, seed: int | None = None) -> DataFrame:
+def regions(merged: DataFrame, min_cells: int = 2, min_value: float = 200.0, min_size: int = 100, seed: int | None = None, queue: str = "all") -> DataFrame:
     """Good peaks, and background regions of the same lengths placed in the gaps between all peaks.
 
     Each good peak's length waits in a queue; a gap longer than ``min_size`` takes the queue's head if it is shorter than
-    the room that is left, at the gap's start or (with a seed) at a random place in it, and so on. The queue is one for
-    a chromosome, so that chromosomes are independent tasks. Peaks are scanned in order of (start, end)."""
-    slim = merged.select("chrom", "start_pos", "end_pos", "start_min", "end_max", is_good(min_cells, min_value, min_size).alias("good"))
-
-    def scan(part: pd.DataFrame) -> pd.DataFrame:
-        from collections import deque
-        from random import Random
-
-        part = part.sort_values(["start_pos", "end_pos", "start_min", "end_max"], kind="stable")
-        chrom = part["chrom"].iloc[0]
-        rnd = None if seed is None else Random(f"{seed}:{chrom}")
-        waiting: deque[int] = deque()
-        last, out = 0, []
-        for start, end, good in zip(part["start_min"].tolist(), part["end_max"].tolist(), part["good"].tolist(), strict=True):
-            while waiting and start - last > min_size and waiting[0] < start - last:
-                size = waiting.popleft()
-                at = last if rnd is None else rnd.randrange(last, start - size)
-                out.append(("noise", chrom, at, size))
-                last = at + size
-            last = end
-            if good:
-                out.append(("peak", chrom, start, end - start))
-                waiting.append(end - start)
-        return pd.DataFrame(out, columns=["kind", "chrom", "start", "size"])
-
-    return slim.groupBy("chrom").applyInPandas(scan, REGION)
+    the room that is left, at the gap's start or (with a seed) at a random place in it, and so on. Peaks are scanned in order of (start, end).
+    The queue is one for all chromosomes, taken in their order (chr2 before chr10), and so one task's; ``queue='chromosome'`` has one
+    for each, whose tasks are independent. Either way rows stream through the task, which holds the lengths that wait."""
+    if queue not in ("all", "chromosome"):
+        raise ValueError(f"unknown queue {queue}")
+    place = ["start_pos", "end_pos", "start_min", "end_max"]
+    slim = merged.select("chrom", *place, is_good(min_cells, min_value, min_size).alias("good"))
+    before = F.coalesce(F.lag("end_max").over(Window.partitionBy("chrom").orderBy(*place)), F.lit(0))
+    number = F.coalesce(F.regexp_extract("chrom", r"(\d+)$", 1).try_cast("int"), F.lit(2**31 - 1))
+    rows = slim.withColumns({"last": before, "number": number}).where(F.col("good") | (F.col("start_min") - F.col("last") > min_size))
+    rows = rows.repartition(1) if queue == "all" else rows.repartition("chrom")
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, rnd, waiting = None, Random(f"{seed}"), deque()
+        for batch in batches:
+            out = []
+            for chrom, start, end, last, good in batch[["chrom", "start_min", "end_max", "last", "good"]].itertuples(index=False, name=None):
+                if queue == "chromosome" and chrom != now:
+                    now, rnd, waiting = chrom, Random(f"{seed}:{chrom}"), deque()
+                while waiting and start - last > min_size and waiting[0] < start - last:
+                    size = waiting.popleft()
+                    at = last if seed is None else rnd.randrange(last, start - size)
+                    out.append(("noise", chrom, at, size))
+                    last = at + size
+                if good:
+                    out.append(("peak", chrom, start, end - start))
+                    waiting.append(end - start)
+            yield pd.DataFrame(out, columns=["kind", "chrom", "start", "size"])
+
+    return rows.sortWithinPartitions("number", "chrom", *place).mapInPandas(scan, REGION)
 
 
 def region_summary(found: DataFrame) -> DataFrame:
@@ -211,6 +240,12 @@ def bars(merged: DataFrame, top: int, low: int, high: int) -> DataFrame:
     )
 
 
+def bar_bounds(merged: DataFrame, low: int, high: int) -> DataFrame:
+    """(chrom, min_pos, max_pos, max_value) of the peaks that ``bars`` shows: their outermost places, and the greatest value without its fraction."""
+    inside = merged.where((F.col("start_pos") >= low) & (F.col("end_pos") <= high))
+    return inside.groupBy("chrom").agg(F.min("start_min").alias("min_pos"), F.max("end_max").alias("max_pos"), F.max(F.array_max("values1")).cast("bigint").alias("max_value"))
+
+
 def overlapping(left: DataFrame, right: DataFrame, width: int = 4096) -> DataFrame:
     """Pairs of intervals (a_*, b_*) of one chromosome that overlap or touch, by equal bins of ``width``; each pair once."""
     binned = lambda f, p: f.select(*[F.col(c).alias(f"{p}_{c}") for c in f.columns], F.col("chrom").alias("chrom"), F.explode(F.sequence(F.floor(F.col("start_pos") / width), F.floor(F.col("end_pos") / width))).alias("bin"))

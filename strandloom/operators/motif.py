@@ -117,6 +117,20 @@ def max_score_between(seq: str, scorer: Scorer, start: int, end: int) -> float:
     return float(made.max()) if len(made) else 0.0
 
 
+def scores_between(seqs: DataFrame, motifs: DataFrame, mode: str = "degree") -> DataFrame:
+    """(frag_id, motif_id, score): ``max_score_between`` of rows (frag_id, seq, start, end) and every motif."""
+    known = scorers(motifs, mode)
+    kind = seqs.schema["frag_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for motif_id, s in known.items():
+                every = zip(batch["seq"], batch["start"], batch["end"], strict=True)
+                yield pd.DataFrame({"frag_id": batch["frag_id"], "motif_id": motif_id, "score": [max_score_between(x or "", s, a, b) for x, a, b in every]})
+
+    return seqs.select("frag_id", "seq", "start", "end").mapInPandas(run, f"frag_id {kind}, motif_id {motifs.schema['motif_id'].dataType.simpleString()}, score double")
+
+
 def scorers(motifs: DataFrame, mode: str = "degree") -> dict:
     """Scorers by motif id; motifs are few, one a cluster of words."""
     return {r.motif_id: Scorer(r.freq, r.norm, r.cnt, mode) for r in packed(motifs).collect()}

@@ -1,13 +1,16 @@
 """Genetic search for words that cover positive fragments rather than negative ones.
 
-The population is small; the fragments are not. Words of the search's length are counted once for each side;
-each generation's candidates meet those counts in one join.
+The population is small; the fragments are not. Words of the search's length are counted once for each side. There are 4 to the length of
+them at most: up to ``LOOKUP`` their scores are found in one job and looked up from then on; for longer words each generation's candidates
+meet the counts in a join.
 """
 
 from __future__ import annotations
 
+import math
 import random
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,9 @@ from strandloom.functions import sequence as S
 from strandloom.operators.words import counted
 
 
+_CODES = str.maketrans(S.SYMBOLS, "0123")
+
+
 def degenerate(word: Column) -> Column:
     """Over two thirds of one base, or only of G and C, or only of A and T."""
     return (S.most_of_a_base(word) > F.floor(2 * F.length(word) / 3)) | (F.length(F.translate(word, "GC", "")) == 0) | (F.length(F.translate(word, "AT", "")) == 0)
@@ -72,14 +78,24 @@ def crossed(a: str, b: str, rnd: random.Random) -> str:
     return "".join(x if rnd.random() < 0.5 else y for x, y in zip(a, b, strict=True))
 
 
+#: Words of a length whose scores the driver may hold: 4 to the power of 10.
+LOOKUP = 1 << 20
+
+
 class Search:
     """The loop: grow candidates from the population, score them in one job, keep the best."""
 
     def __init__(self, pos: DataFrame, neg: DataFrame, pop_size: int = 25, length: int = 10, seed: int = 1):
         self.spark: SparkSession = pos.sparkSession
         self.pop_size, self.length, self.rnd = pop_size, length, random.Random(seed)
-        self.pos_counts, self.neg_counts = counted(pos, length).cache(), counted(neg, length).cache()
         self.total_p, self.total_n = totals(pos), totals(neg)
+        self.pos_counts, self.neg_counts = counted(pos, length), counted(neg, length)
+        self.known: dict[str, tuple] | None = None
+        if 4**length <= LOOKUP:
+            met = self.pos_counts.select("word").union(self.neg_counts.select("word")).select(F.explode(S.orientations("word")).alias("word"))
+            self.known = {r.word: tuple(r)[1:] for r in fitness(met, self.pos_counts, self.neg_counts, self.total_p, self.total_n).collect()}  # 4**length rows at most
+        else:
+            self.pos_counts, self.neg_counts = self.pos_counts.persist(StorageLevel.DISK_ONLY), self.neg_counts.persist(StorageLevel.DISK_ONLY)
         self.seen: set[str] = set()
         self.scores: dict[str, tuple] = {}
         self.population: list[str] = []
@@ -92,7 +108,7 @@ class Search:
         return known or is_degenerate(word)
 
     def _random(self) -> str:
-        return "".join(self.rnd.choice(S.SYMBOLS) for _ in range(self.length))
+        return "".join(self.rnd.choices(S.SYMBOLS, k=self.length))
 
     def _grown(self) -> list[str]:
         if not self.population:
@@ -119,12 +135,16 @@ class Search:
         return new
 
     def _order(self, word: str) -> tuple:
-        return self.scores[word][-1], [S.SYMBOLS.index(c) for c in word]
+        info = self.scores[word][-1]
+        return -math.inf if info is None else info, word.translate(_CODES)
 
     def iterate(self) -> bool:
         """One generation; whether the best word improved."""
         fresh = sorted(set(self._grown()))
-        if fresh:
+        if self.known is not None:
+            none = (0, 0, self.total_p, self.total_n, -1.0)  # a word that is nowhere
+            self.scores |= {w: self.known.get(w, none) for w in fresh}
+        elif fresh:
             words = self.spark.createDataFrame([(w,) for w in fresh], "word string")
             for r in fitness(words, self.pos_counts, self.neg_counts, self.total_p, self.total_n).collect():  # a population
                 self.scores[r.word] = (r.p, r.n, r.total_p, r.total_n, r.inf)
@@ -139,10 +159,16 @@ class Search:
         return self.spark.createDataFrame([(w, *self.scores[w]) for w in self.population], "word string, p long, n long, total_p long, total_n long, inf double")
 
 
-def search(pos: DataFrame, neg: DataFrame, generations: int = 20, **parameters) -> DataFrame:
+    def close(self) -> None:
+        self.pos_counts.unpersist()
+        self.neg_counts.unpersist()
+
+
+def search(pos: DataFrame, neg: DataFrame, generations: int | None = None, **parameters) -> DataFrame:
+    """The last population of a search that runs until it is finished: until new words get so rare that 500 tries find fewer than one. ``generations`` ends it before."""
     run = Search(pos, neg, **parameters)
-    for _ in range(generations):
+    while not run.finished and generations != 0:
         run.iterate()
-        if run.finished:
-            break
+        generations = None if generations is None else generations - 1
+    run.close()
     return run.result()

@@ -19,18 +19,22 @@ def range_slice(chunks: DataFrame, wanted: DataFrame, size: int = 64, keys: tupl
 
 
 def whole(chunks: DataFrame) -> DataFrame:
-    """(chrom, seq) put together again."""
+    """(chrom, seq) put together again: a whole chromosome in one row, which its 2 GB bound; ``range_slice`` reads parts of any."""
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_no", "seq"))), lambda x: x["seq"]), "")
     return chunks.groupBy("chrom").agg(joined.alias("seq"))
 
 
 def append(chunks: DataFrame, more: DataFrame, size: int = 64) -> DataFrame:
-    """Chunks of each chromosome with ``more`` (chrom, seq) after them."""
-    from strandloom.sources.views import chunked
-
-    both = whole(chunks).withColumn("part", F.lit(0)).unionByName(more.select("chrom", "seq").withColumn("part", F.lit(1)))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "seq"))), lambda x: x["seq"]), "")
-    return chunked(both.groupBy("chrom").agg(joined.alias("seq")), size)
+    """Chunks of each chromosome with ``more`` (chrom, seq) after them. Only a chromosome's last chunk and what is new are put together;
+    all other chunks stay as they are."""
+    from strandloom.sources.views import rechunked
+
+    end = chunks.groupBy("chrom").agg(F.max("chunk_no").alias("chunk_no")).join(chunks, ["chrom", "chunk_no"])
+    after = more.select("chrom", F.col("seq").alias("new")).join(end.select("chrom", (F.col("start_pos") + F.length("seq")).alias("at")), "chrom", "left")
+    new = after.select("chrom", F.coalesce("at", F.lit(0)).alias("start_pos"), F.col("new").alias("seq"))
+    last = end.join(after.where("new <> ''").select("chrom"), "chrom", "left_semi").select("chrom", "start_pos", "seq")
+    whole = chunks.join(last.select("chrom", "start_pos"), ["chrom", "start_pos"], "left_anti")
+    return whole.unionByName(rechunked(last.unionByName(new), size).select(*whole.columns))
 
 
 def runs(seqs: DataFrame, symbols: str, id_col: str = "frag_id", seq_col: str = "seq") -> DataFrame:

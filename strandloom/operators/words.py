@@ -5,13 +5,14 @@ No suffix index is built: words are tables of k-mers, counted with map-side comb
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
+from strandloom.sources.files import workspace
 
 MAX_LENGTH = 100
-#: Lengths that are counted in one pass over the fragments.
+#: Lengths that are counted in the first pass over the fragments; each further pass counts twice as many.
 LENGTHS_A_PASS = 8
 
 
@@ -28,13 +29,21 @@ def branching(seqs: DataFrame, lengths: range) -> DataFrame:
     """(word, cnt): words of these lengths that occur twice or more and are followed by two different things or more.
 
     A fragment's end follows its last word; the end of the fragment with the greatest id differs from all other ends."""
+    return _branching(_ended(seqs).select(F.explode(F.flatten(F.array(*[S.kmers("seq", k + 1) for k in lengths]))).alias("w")))
+
+
+def _ended(seqs: DataFrame) -> DataFrame:
+    """(frag_id, seq) with a symbol for the fragment's end."""
     last = seqs.agg(F.max("frag_id").alias("last_id"))  # one row
-    ended = seqs.crossJoin(F.broadcast(last)).select(F.concat("seq", F.when(F.col("frag_id") == F.col("last_id"), "Z").otherwise("E")).alias("seq"))
-    words = F.flatten(F.array(*[S.kmers("seq", k + 1) for k in lengths]))
-    rows = ended.select(F.explode(words).alias("w")).select(F.expr("substr(w, 1, length(w) - 1)").alias("word"), F.right("w", F.lit(1)).alias("after"))
+    return seqs.crossJoin(F.broadcast(last)).select("frag_id", F.concat("seq", F.when(F.col("frag_id") == F.col("last_id"), "Z").otherwise("E")).alias("seq"))
+
+
+def _branching(found: DataFrame) -> DataFrame:
+    """(word, cnt) of words ``w`` that have what follows them as their last symbol."""
+    rows = found.select(F.expr("substr(w, 1, length(w) - 1)").alias("word"), F.right("w", F.lit(1)).alias("after"))
     bits = F.expr("case after when 'A' then 1 when 'T' then 2 when 'G' then 4 when 'C' then 8 when 'E' then 16 else 32 end")
-    found = rows.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), F.bit_or(bits).alias("after"))
-    return found.where((F.col("cnt") >= 2) & (F.bit_count("after") >= 2)).select("word", "cnt")
+    counts = rows.groupBy("word").agg(F.count(F.lit(1)).alias("cnt"), F.bit_or(bits).alias("after"))
+    return counts.where((F.col("cnt") >= 2) & (F.bit_count("after") >= 2)).select("word", "cnt")
 
 
 def superseded(groups: DataFrame, least: int) -> DataFrame:
@@ -49,22 +58,66 @@ def superseded(groups: DataFrame, least: int) -> DataFrame:
 def element_groups(seqs: DataFrame, least: int = 10, most: int = MAX_LENGTH) -> DataFrame:
     """(word, cnt): right-branching repeated words of ``least`` to ``most`` symbols that are not of low complexity.
 
-    Lengths are counted a few at a time, until no word of a length repeats (then no longer one does)."""
-    made = None
-    for low in range(least, most + 1, LENGTHS_A_PASS):
-        lengths = range(low, min(low + LENGTHS_A_PASS, most + 1))
-        found = branching(seqs, lengths)
+    Lengths are counted a few at a time, ever more as fewer places are left. Only places whose shorter word repeats can begin a longer one that does, so each pass leaves
+    the others out; what is left is settled, and passes end when no place is. The text is read by the first pass only."""
+    made = tails = None
+    left, low, many = True, least, LENGTHS_A_PASS
+    while left and low <= most:
+        lengths = range(low, min(low + many, most + 1))
+        if tails is None:
+            found = branching(seqs, lengths)
+        else:
+            words = F.filter(F.array(*[F.when(F.length("tail") > k, F.substring("tail", 1, k + 1)) for k in lengths]), lambda w: w.isNotNull())
+            found = _branching(tails.select(F.explode(words).alias("w")))
         made = found if made is None else made.unionByName(found)
-        if lengths[-1] < most and not counted(seqs, lengths[-1] + 1).where("cnt > 1").head(1):
-            break
+        if lengths[-1] < most:
+            tails = _settled(_repeating(_ended(seqs) if tails is None else None, tails, lengths[-1] + 1, most + 1))
+            left = tails.head(1)
+        low, many = lengths[-1] + 1, 2 * many
     return superseded(made.where(S.is_complex("word")), least)
 
 
+def _repeating(seqs: DataFrame | None, tails: DataFrame | None, k: int, most: int) -> DataFrame:
+    """(frag_id, pos, tail): places whose word of length k (without an end in it) occurs twice or more, with the ``most`` symbols from there."""
+    if tails is None:
+        places = seqs.select("frag_id", F.posexplode(S.kmers("seq", k)).alias("pos", "word"))
+    else:
+        places = tails.where(F.length("tail") >= k).select("frag_id", "pos", F.substring("tail", 1, k).alias("word"))
+    places = places.where(~F.right("word", F.lit(1)).isin("E", "Z"))
+    again = places.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word")
+    kept = places.join(again, "word", "left_semi").select("frag_id", "pos")
+    if tails is not None:
+        return tails.join(kept, ["frag_id", "pos"], "left_semi")
+    return seqs.join(kept, "frag_id").select("frag_id", "pos", F.substr(F.col("seq"), F.col("pos") + 1, F.lit(most)).alias("tail"))
+
+
+def _settled(rows: DataFrame) -> DataFrame:
+    """Rows computed once, through the checkpoint folder."""
+    context = rows.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(workspace(rows.sparkSession))
+    return rows.checkpoint()
+
+
+def group_places(seqs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(word, cnt, frag_id, pos): every place of the words of ``groups`` (word, cnt), which may be of several lengths."""
+    lengths = sorted(r.k for r in groups.select(F.length("word").alias("k")).distinct().collect())  # as many as there are lengths
+    if not lengths:
+        return groups.join(seqs.select("frag_id", F.lit(0).alias("pos")).where("false"), F.lit(True))
+    words = F.flatten(F.array(*[F.transform(S.kmers("seq", k), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))) for k in lengths]))
+    return seqs.select("frag_id", F.inline(words)).join(groups, "word").select("word", "cnt", "frag_id", "pos")
+
+
 def cites(seqs: DataFrame, words: DataFrame, length: int) -> DataFrame:
     """(word, frag_id, pos): every place of the words, all of one length."""
     return occurrences(seqs, length).join(words.select("word").distinct(), "word")
 
 
+def in_match_order(found: DataFrame) -> DataFrame:
+    """Matches (frag_id, text_pos, pattern_pos, length) by place, the longer first, then by the place in the pattern."""
+    return found.orderBy("frag_id", "text_pos", F.col("length").desc(), "pattern_pos")
+
+
 def partial_cites(seqs: DataFrame, patterns: DataFrame, least: int) -> DataFrame:
     """(pattern, frag_id, text_pos, pattern_pos, length): the longest match from each pair of places, if ``least`` or longer."""
     seeds = patterns.select(F.col("word").alias("pattern"), F.posexplode(S.kmers("word", least)).alias("pattern_pos", "seed"))
@@ -75,9 +128,14 @@ def partial_cites(seqs: DataFrame, patterns: DataFrame, least: int) -> DataFrame
     return joined.select("pattern", "frag_id", F.col("text_pos").cast("bigint").alias("text_pos"), F.col("pattern_pos").cast("bigint").alias("pattern_pos"), F.array_max(longer).cast("bigint").alias("length"))
 
 
-def drop_cross(groups: DataFrame, others: DataFrame, lengths: range | list[int]) -> DataFrame:
-    """Groups whose word is nowhere in the other fragments; only words of the lengths in question are looked up."""
-    present = others.select(F.explode(F.flatten(F.array(*[S.kmers("seq", k) for k in lengths]))).alias("word")).distinct()
+def drop_cross(groups: DataFrame, others: DataFrame, least: int = 10) -> DataFrame:
+    """Groups (word, cnt; words of ``least`` symbols or more) whose word is nowhere in the other fragments.
+
+    Only places that begin as some group does, by ``least`` symbols, are looked at in full, at the lengths of the groups that begin so."""
+    begins = groups.groupBy(F.substring("word", 1, least).alias("word")).agg(F.collect_set(F.length("word")).alias("lengths"))  # lengths: a hundred at most
+    places = occurrences(others, least).join(begins, "word").select("frag_id", "pos", "lengths")
+    found = others.join(places, "frag_id").select("seq", "pos", F.explode("lengths").alias("k")).where(F.col("pos") + F.col("k") <= F.length("seq"))
+    present = found.select(F.substr(F.col("seq"), F.col("pos") + 1, F.col("k")).alias("word"))
     return groups.join(present, "word", "left_anti")
 
 
@@ -87,6 +145,12 @@ def cross_test(groups: DataFrame, others: DataFrame, length: int) -> DataFrame:
     return groups.join(found, "word", "left").select("word", "cnt", F.coalesce("other_cnt", F.lit(0)).cast("bigint").alias("other_cnt"))
 
 
+def trans_factor(tested: DataFrame, own_size: int, other_size: int) -> DataFrame:
+    """(own, factor) of a cross test (word, cnt, other_cnt): all own occurrences, and the other ones if that text were as long as the own, with three digits."""
+    own, other = F.coalesce(F.sum("cnt"), F.lit(0)).cast("bigint"), F.coalesce(F.sum("other_cnt"), F.lit(0))
+    return tested.agg(own.alias("own"), F.bround(F.lit(float(own_size)) * other / F.lit(float(other_size)), 3).alias("factor"))
+
+
 def text_size(seqs: DataFrame) -> DataFrame:
     """(fragments, text_size, inner_ends): fragments, symbols with one end each, and ends but the last."""
     return seqs.agg(F.count(F.lit(1)).alias("fragments"), (F.sum(F.length("seq")) + F.count(F.lit(1))).alias("text_size"), (F.count(F.lit(1)) - 1).alias("inner_ends"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from strandloom.sources import files, views
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-TOP, K, PARTIAL, ROC_GRID, SMALL_K, POPULATION = 20, 10, 8, 200, 6, 25
+TOP, K, PARTIAL, ROC_GRID, SPICE, POPULATION = 20, 10, 8, 200, 9, 25
 
 
 def query(sql: str | None = None):
@@ -83,10 +85,13 @@ def manifest_filter_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.matching_files(parsed, {"type": "ECONOMY", "brand": "Brand#2"}, 5).select("line_no", "file_name")
 
 
-@query(with_views("SELECT event_id, chrom, CAST(cell_id AS BIGINT) AS cell_id, start_pos, end_pos, round(value1, 6) AS value1, value2 FROM peaks WHERE chrom = 'chr1'", "peaks"))
+@query(with_views("SELECT chrom, start_pos, end_pos, round(CAST(CAST(value1 AS FLOAT) AS DOUBLE), 2) AS value1, round(CAST(CAST(value2 AS FLOAT) AS DOUBLE), 3) AS value2 FROM peaks WHERE chrom = 'chr1'", "peaks"))
 def peak_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = big(views.peaks(spark, sf_dir).where("chrom = 'chr1'"), "cell_id")
-    return found.select("event_id", "chrom", "cell_id", "start_pos", "end_pos", F.round("value1", 6).alias("value1"), "value2")
+    """All peaks written as a peak file, and one chromosome read back from it."""
+    path = f"{files.workspace(spark)}/peaks-{uuid.uuid4().hex}"
+    files.write_peaks(views.peaks(spark, sf_dir), path)
+    found = big(files.read_peaks(spark, path, "chr1"), "start_pos", "end_pos")
+    return found.withColumns({"value1": F.round(F.col("value1").cast("double"), 2), "value2": F.round(F.col("value2").cast("double"), 3)})
 
 
 @query("SELECT event_id, CASE WHEN value > 0.9 * most THEN 'Present' WHEN value < 0.1 * most THEN 'NotPresent' ELSE 'Unknown' END AS status FROM events, (SELECT max(value) AS most FROM events)")
@@ -140,12 +145,12 @@ def merge_status_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def merge_pair_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mean = lambda a, b: F.rint((F.col(a) + F.col(b)) / 2).cast("bigint")
-    return _pairs(spark, sf_dir).where(_status() == 0).select(
-        F.col("a_event_id").alias("a_event"), F.col("b_event_id").alias("b_event"), mean("a_start_pos", "b_start_pos").alias("start_pos"), mean("a_end_pos", "b_end_pos").alias("end_pos"),
-        F.least("a_start_pos", "b_start_pos").alias("start_min"), F.greatest("a_start_pos", "b_start_pos").alias("start_max"),
-        F.least("a_end_pos", "b_end_pos").alias("end_min"), F.greatest("a_end_pos", "b_end_pos").alias("end_max"),
-    )
+    """What ``merge_flows`` makes of each pair that is to merge: a chromosome of its own for each pair, of one row in either flow."""
+    pairs = _pairs(spark, sf_dir).where(_status() == 0)
+    side = lambda p: intervals.singletons(pairs.select(F.concat_ws(":", "a_event_id", "b_event_id").alias("chrom"), *[F.col(f"{p}_{c}").alias(c) for c in ("start_pos", "end_pos", "cell_id")], F.lit(0.0).alias("value1"), F.lit(0.0).alias("value2")))
+    event = lambda k: F.split_part("chrom", F.lit(":"), F.lit(k)).cast("bigint")
+    merged = intervals.merge_join(side("a"), side("b"))
+    return merged.select(event(1).alias("a_event"), event(2).alias("b_event"), "start_pos", "end_pos", "start_min", "start_max", "end_min", "end_max")
 
 
 def clumps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,39 +175,100 @@ def gap_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return intervals.gaps(clumps(spark, sf_dir))
 
 
-@query()
+_FLOW = (
+    "SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY start_pos, end_pos, value1, value2) AS idx, start_pos AS s, end_pos AS e, start_pos AS s0, start_pos AS s1, end_pos AS e0, end_pos AS e1, "
+    "1 AS n, CAST(cell_id AS VARCHAR) AS cells, value1 AS v1, value2 AS v2 FROM peaks WHERE cell_id = {k}"
+)
+_ROW = ("s", "e", "s0", "s1", "e0", "e1", "n", "cells", "v1", "v2")
+
+
+def _merge_sql(x: str, y: str, z: str) -> str:
+    """CTEs of the greedy merge of flows x and y into z: one recursive step a row of it, for all chromosomes at once."""
+    mean = lambda c: f"CAST(round_even((a.{c} * a.n + b.{c} * b.n) / (a.n + b.n), 0) AS BIGINT)"
+    row = lambda t: ", ".join(f"{t}.{c}" for c in _ROW)
+    merged = f"{mean('s')}, {mean('e')}, least(a.s0, b.s0), greatest(a.s1, b.s1), least(a.e0, b.e0), greatest(a.e1, b.e1), a.n + b.n, a.cells || ',' || b.cells, a.v1 + b.v1, a.v2 + b.v2"
+    at = lambda t, flow, i: f"JOIN {flow} {t} ON {t}.chrom = m.chrom AND {t}.idx = m.{i} - 1"
+    return (
+        f"{z}_steps AS MATERIALIZED (SELECT DISTINCT chrom, 0 AS step, 1 AS i, 1 AS j, 9 AS st FROM {x} UNION ALL SELECT chrom, step + 1, i + (st >= 0)::INT, j + (st <= 0)::INT, st FROM "
+        f"(SELECT chrom, step, i, j, {_STATUS} AS st FROM (SELECT m.chrom, m.step, m.i, m.j, a.s AS a0, a.e AS a1, b.s AS b0, b.e AS b1 FROM {z}_steps m "
+        f"JOIN {x} a ON a.chrom = m.chrom AND a.idx = m.i JOIN {y} b ON b.chrom = m.chrom AND b.idx = m.j))), "
+        f"{z}_left AS MATERIALIZED (SELECT chrom, max(i) AS i, max(j) AS j FROM {z}_steps GROUP BY chrom), "
+        f"{z} AS MATERIALIZED (SELECT chrom, row_number() OVER (PARTITION BY chrom ORDER BY step) AS idx, {', '.join(_ROW)} FROM ("
+        f"SELECT m.chrom, m.step, {merged.replace(', ', ', ')} FROM {z}_steps m {at('a', x, 'i')} {at('b', y, 'j')} WHERE m.st = 0 "
+        f"UNION ALL SELECT m.chrom, m.step, {row('a')} FROM {z}_steps m {at('a', x, 'i')} WHERE m.st = 1 "
+        f"UNION ALL SELECT m.chrom, m.step, {row('b')} FROM {z}_steps m {at('b', y, 'j')} WHERE m.st = -1 "
+        f"UNION ALL SELECT chrom, 1000000000 + a.idx, {row('a')} FROM {x} a LEFT JOIN {z}_left l USING (chrom) WHERE a.idx >= coalesce(l.i, 1) "
+        f"UNION ALL SELECT chrom, 1000000000 + b.idx, {row('b')} FROM {y} b LEFT JOIN {z}_left l USING (chrom) WHERE b.idx >= coalesce(l.j, 1)) t(chrom, step, {', '.join(_ROW)}))"
+    )
+
+
+def _merged_sql(body: str, *more: str) -> str:
+    """A query of ``merged``, the tournament's result for the five cells of the peaks view."""
+    flows = [f"f{k} AS MATERIALIZED ({_FLOW.format(k=k)})" for k in range(5)]
+    rounds = [_merge_sql(*names) for names in (("f0", "f1", "m0"), ("f2", "f3", "m1"), ("f4", "m0", "m2"), ("m1", "m2", "merged"))]
+    whole = with_views("", "peaks").removeprefix("WITH ").rstrip()
+    return f"WITH RECURSIVE {', '.join([whole, *flows, *rounds, *more])} {body}"
+
+
+@query(_merged_sql("SELECT chrom, s AS start_pos, e AS end_pos, s0 AS start_min, s1 AS start_max, e0 AS end_min, e1 AS end_max, cells, round(v1 / n, 6) AS mean1, round(v2 / n, 6) AS mean2 FROM merged"))
 def merged_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.merged_peaks(views.peaks(spark, sf_dir), 5)
+    found = intervals.merged_peaks(views.peaks(spark, sf_dir))
+    mean = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v) / F.size(c), 6)
+    cells = F.array_join(F.transform("cell_ids", lambda x: x.cast("string")), ",")
+    return found.select("chrom", "start_pos", "end_pos", "start_min", "start_max", "end_min", "end_max", cells.alias("cells"), mean("values1").alias("mean1"), mean("values2").alias("mean2"))
 
 
-@query()
+@query(
+    _merged_sql(
+        "SELECT 'peak' AS kind, chrom, s0 AS start, size FROM good UNION ALL SELECT 'noise', chrom, last - size, size FROM scan WHERE placed",
+        "placed_rows AS MATERIALIZED (SELECT row_number() OVER (ORDER BY CAST(substr(chrom, 4) AS INT), s, e, s0, e1) AS r, *, coalesce(lag(e1) OVER (PARTITION BY chrom ORDER BY s, e, s0, e1), 0) AS before, "
+        "n >= 2 AND v1 / n >= 200 AND e - s >= 100 AS good FROM merged)",
+        "good AS MATERIALIZED (SELECT chrom, s0, e1 - s0 AS size, r, row_number() OVER (ORDER BY r) AS q FROM placed_rows WHERE good)",
+        "todo AS MATERIALIZED (SELECT chrom, s0 AS stop, before, row_number() OVER (ORDER BY r) AS k, (SELECT count(*) FROM good g WHERE g.r < p.r) AS waiting FROM placed_rows p WHERE s0 - before > 100)",
+        # One step a placed region, or a gap that takes no more: k is the gap, head the queue's first place, last where the gap's room begins.
+        "scan AS MATERIALIZED (SELECT 1 AS k, 1 AS head, before AS last, chrom, CAST(0 AS BIGINT) AS size, false AS placed FROM todo WHERE k = 1 UNION ALL "
+        "SELECT CASE WHEN fits THEN k ELSE k + 1 END, CASE WHEN fits THEN head + 1 ELSE head END, CASE WHEN fits THEN last + g_size ELSE next_before END, CASE WHEN fits THEN chrom ELSE next_chrom END, CASE WHEN fits THEN g_size ELSE 0 END, fits FROM "
+        "(SELECT c.k, c.head, c.last, c.chrom, g.size AS g_size, n.before AS next_before, n.chrom AS next_chrom, coalesce(c.head <= t.waiting AND t.stop - c.last > 100 AND g.size < t.stop - c.last, false) AS fits "
+        "FROM scan c JOIN todo t ON t.k = c.k LEFT JOIN good g ON g.q = c.head LEFT JOIN todo n ON n.k = c.k + 1) WHERE fits OR next_chrom IS NOT NULL)",
+    )
+)
 def noise_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.regions(intervals.merged_peaks(views.peaks(spark, sf_dir), 5))
+    return intervals.regions(intervals.merged_peaks(views.peaks(spark, sf_dir)))
 
 
 # Words
 
-_GROUPS = " UNION ALL ".join(_BRANCHING.format(k=k, source="pos_seqs") for k in (10, 11, 12))
 
 
-@query(
-    with_views(
-        "SELECT word, cnt FROM (SELECT *, lead(word) OVER w AS nw, lead(cnt) OVER w AS nc FROM "
-        f"(SELECT * FROM ({_GROUPS}) WHERE {is_complex('word')}) WINDOW w AS (PARTITION BY substr(word, 1, 10) ORDER BY translate(word, 'ATGC', '0123') || '~')) "
-        "WHERE NOT coalesce(len(nw) < len(word) AND starts_with(word, nw) AND nc > cnt, false)",
-        "pos_seqs",
+def _groups_sql(source: str, name: str = "groups") -> str:
+    """A CTE of the element groups of 10 to 100 symbols."""
+    every = (
+        f"SELECT word, CAST(count(*) AS BIGINT) AS cnt FROM (SELECT substr(seq, i, k) AS word, CASE WHEN i + k <= len(seq) THEN substr(seq, i + k, 1) WHEN frag_id = (SELECT max(frag_id) FROM {source}) THEN 'Z' ELSE 'E' END AS after "
+        f"FROM (SELECT *, unnest(range(1, len(seq) - k + 2)) AS i FROM {source}, range(10, 101) t(k))) GROUP BY word HAVING count(*) >= 2 AND count(DISTINCT after) >= 2"
+    )
+    return (
+        f"{name} AS MATERIALIZED (SELECT word, cnt FROM (SELECT *, lead(word) OVER w AS nw, lead(cnt) OVER w AS nc FROM (SELECT * FROM ({every}) WHERE {is_complex('word')}) "
+        "WINDOW w AS (PARTITION BY substr(word, 1, 10) ORDER BY translate(word, 'ATGC', '0123') || '~')) WHERE NOT coalesce(len(nw) < len(word) AND starts_with(word, nw) AND nc > cnt, false))"
     )
-)
-def element_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.element_groups(views.pos_seqs(spark, sf_dir), 10, 12)
 
 
-@query()
-def element_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``element_groups`` of 10 to 100 symbols; that one holds 10 to 12, as its SQL does."""
+def _of_groups(source: str, body: str, *more: str) -> str:
+    return with_views("", source, *more).rstrip() + f", {_groups_sql(source)} {body}"
+
+
+@query(_of_groups("pos_seqs", "SELECT * FROM groups"))
+def element_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.element_groups(views.pos_seqs(spark, sf_dir))
 
 
+@query(
+    _of_groups("neg_seqs", "SELECT g.word, g.cnt, frag_id, pos FROM groups g JOIN (SELECT substr(seq, i, k) AS word, frag_id, i - 1 AS pos FROM (SELECT *, unnest(range(1, len(seq) - k + 2)) AS i FROM neg_seqs, range(10, 101) t(k))) USING (word)")
+)
+def element_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seqs = views.neg_seqs(spark, sf_dir)
+    return big(W.group_places(seqs, W.element_groups(seqs)), "pos")
+
+
 @query(with_views(f"SELECT k.word, frag_id, CAST(pos AS BIGINT) AS pos FROM ({kmers('neg_seqs', K, 'frag_id, ')}) k JOIN words USING (word)", "neg_seqs", "words"))
 def substring_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return big(W.cites(views.neg_seqs(spark, sf_dir), views.words(spark, sf_dir), K), "pos")
@@ -220,17 +286,9 @@ def partial_cites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.partial_cites(views.neg_seqs(spark, sf_dir), views.words(spark, sf_dir), PARTIAL)
 
 
-@query(with_views(f"SELECT word, cnt FROM ({_BRANCHING.format(k=K, source='neg_seqs')}) WHERE word NOT IN (SELECT word FROM word_counts)", "neg_seqs", "word_counts"))
+@query(_of_groups("neg_seqs", "SELECT word, cnt FROM groups g ANTI JOIN (SELECT substr(seq, i, k) AS word FROM (SELECT *, unnest(range(1, len(seq) - k + 2)) AS i FROM pos_seqs, (SELECT DISTINCT len(word) AS k FROM groups))) p USING (word)", "pos_seqs"))
 def drop_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.drop_cross(W.branching(views.neg_seqs(spark, sf_dir), range(K, K + 1)), views.pos_seqs(spark, sf_dir), range(K, K + 1))
-
-
-@query()
-def drop_cross_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``drop_cross`` of the element groups of 10 to 100 symbols; that one holds right-branching words of 10, as its SQL does."""
-    groups = W.element_groups(views.neg_seqs(spark, sf_dir))
-    lengths = sorted(r.k for r in groups.select(F.length("word").alias("k")).distinct().collect())  # 91 at most
-    return W.drop_cross(groups, views.pos_seqs(spark, sf_dir), lengths) if lengths else groups
+    return W.drop_cross(W.element_groups(views.neg_seqs(spark, sf_dir)), views.pos_seqs(spark, sf_dir))
 
 
 @query(with_views(f"SELECT w.word, w.cnt, CAST(coalesce(n.cnt, 0) AS BIGINT) AS other_cnt FROM words w LEFT JOIN (SELECT word, count(*) AS cnt FROM ({kmers('neg_seqs', K)}) GROUP BY word) n USING (word)", "neg_seqs", "words"))
@@ -238,6 +296,20 @@ def cross_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.cross_test(views.words(spark, sf_dir), views.neg_seqs(spark, sf_dir), K)
 
 
+_SIZE_OF = "(SELECT sum(len(seq)) + count(*) FROM {s})"
+
+
+@query(
+    with_views(
+        f"SELECT CAST(sum(w.cnt) AS BIGINT) AS own, round_even({_SIZE_OF.format(s='pos_seqs')}::DOUBLE * coalesce(sum(n.cnt), 0) / {_SIZE_OF.format(s='neg_seqs')}::DOUBLE, 3) AS factor FROM words w LEFT JOIN (SELECT word, count(*) AS cnt FROM ({kmers('neg_seqs', K)}) GROUP BY word) n USING (word)",
+        "neg_seqs", "words",
+    )
+)
+def trans_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = [W.text_size(views.labelled_seqs(spark, sf_dir, side)).first().text_size for side in (1, 0)]
+    return W.trans_factor(cross_test(spark, sf_dir), *sizes)
+
+
 @query(with_views("SELECT CAST(count(*) AS BIGINT) AS fragments, CAST(sum(len(seq)) + count(*) AS BIGINT) AS text_size, CAST(count(*) - 1 AS BIGINT) AS inner_ends FROM pos_seqs", "pos_seqs"))
 def fragment_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.text_size(views.pos_seqs(spark, sf_dir))
@@ -319,17 +391,9 @@ def packs_even_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "SELECT CAST(r AS BIGINT) AS place, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_type) AS items FROM "
-    "(SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS r FROM events WHERE event_id < 2000) GROUP BY r"
+    "(SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS r FROM events) GROUP BY r"
 )
 def zip_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.table(spark, sf_dir, "events").where("event_id < 2000")
-    made = collections_ext.zip_groups(rows, "event_type", "event_id", "event_id", 5)
-    return made.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
-
-
-@query()
-def zip_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``zip_groups`` of the whole table; that one holds the first events only, as its SQL does."""
     made = collections_ext.zip_groups(views.table(spark, sf_dir, "events"), "event_type", "event_id", "event_id", 5)
     return made.withColumn("items", F.array_join(F.transform("items", lambda x: x.cast("string")), ","))
 
@@ -640,9 +704,19 @@ def prob_motif_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motif.probability_text(_motifs(spark, sf_dir))
 
 
-@query()
+@query(
+    with_views(
+        "SELECT CAST(motif_id AS BIGINT) AS motif_id, CAST(0 AS BIGINT) AS cluster, round(avg(score), 6) AS avg_score, round(max(score), 6) AS max_score FROM (SELECT r.id, m.motif_id, coalesce(max(score), 0) AS score FROM multi_rows r CROSS JOIN (SELECT DISTINCT motif_id FROM pfm) m "
+        "LEFT JOIN (SELECT motif_id, id, d, s, product(f) AS score FROM (SELECT w.*, p.motif_id, pow(CASE WHEN f <= 0 THEN 0.1 ELSE f END, norm::DOUBLE / cnt::DOUBLE) / pow(top, norm::DOUBLE / cnt::DOUBLE) AS f FROM "
+        f"(SELECT *, unnest(range(0, 10)) AS k FROM (SELECT *, unnest(range(0, len(seq) - 10)) AS s FROM (SELECT id, d, {orient('seq')} AS seq FROM (SELECT id, replace(row, ' ', 'N') AS seq, unnest(range(0, 4)) AS d FROM multi_rows)))) w "
+        "JOIN (SELECT motif_id, pos, base, v::DOUBLE AS f, top, norm, cnt FROM pfm_long UNION ALL SELECT motif_id, pos, 'N', min(v)::DOUBLE, max(top), max(norm), max(cnt) FROM pfm_long GROUP BY motif_id, pos) p ON p.pos = k AND p.base = substr(w.seq, s + k + 1, 1)) "
+        "GROUP BY motif_id, id, d, s) x ON x.id = r.id AND x.motif_id = m.motif_id GROUP BY r.id, m.motif_id) GROUP BY motif_id",
+        "multi_rows", "pfm", "pfm_long",
+    )
+)
 def motif_cross_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return motif.cross_test(_one_cluster(spark, sf_dir), _motifs(spark, sf_dir))
+    found = motif.cross_test(_one_cluster(spark, sf_dir), _motifs(spark, sf_dir))
+    return big(found, "cluster").withColumns({c: F.round(c, 6) for c in ("avg_score", "max_score")})
 
 
 # Evaluation
@@ -712,23 +786,23 @@ def score_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos, neg = views.pos_seqs(spark, sf_dir), views.neg_seqs(spark, sf_dir)
-    counts = W.counted(pos, SMALL_K)
-    return search.fitness(counts.select("word"), counts, W.counted(neg, SMALL_K), search.totals(pos), search.totals(neg))
+    counts = W.counted(pos, SPICE)
+    return search.fitness(counts.select("word"), counts, W.counted(neg, SPICE), search.totals(pos), search.totals(neg))
 
 
-@query(with_views("SELECT word, p, n, CAST(total_p AS BIGINT) AS total_p, CAST(total_n AS BIGINT) AS total_n, round(inf, 5) + 0.0 AS inf FROM fit WHERE p <= total_p AND n <= total_n", "fit"))
+@query(with_views("SELECT word, p, n, CAST(total_p AS BIGINT) AS total_p, CAST(total_n AS BIGINT) AS total_n, round(inf, 5) + 0.0 AS inf FROM fit", "fit"))
 def ga_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fitness(spark, sf_dir).where("p <= total_p AND n <= total_n").withColumn("inf", F.round("inf", 5) + 0.0)
+    return _fitness(spark, sf_dir).withColumn("inf", F.round("inf", 5) + 0.0)
 
 
-@query(with_views(f"SELECT word, ({most_of_a_base('word')} > 2 * len(word) // 3 OR translate(word, 'GC', '') = '' OR translate(word, 'AT', '') = '') AS failed FROM pos_six", "pos_six"))
+@query(with_views(f"SELECT word, ({most_of_a_base('word')} > 2 * len(word) // 3 OR translate(word, 'GC', '') = '' OR translate(word, 'AT', '') = '') AS failed FROM pos_nine", "pos_nine"))
 def ga_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return W.counted(views.pos_seqs(spark, sf_dir), SMALL_K).select("word", search.degenerate(F.col("word")).alias("failed"))
+    return W.counted(views.pos_seqs(spark, sf_dir), SPICE).select("word", search.degenerate(F.col("word")).alias("failed"))
 
 
 @query(
     with_views(
-        f"SELECT word, round(inf, 5) + 0.0 AS inf FROM fit WHERE p <= total_p AND n <= total_n ORDER BY round(inf, 5) DESC, translate(word, 'ATGC', '0123') DESC LIMIT {POPULATION}", "fit"
+        f"SELECT word, round(inf, 5) + 0.0 AS inf FROM fit ORDER BY round(inf, 5) DESC NULLS LAST, translate(word, 'ATGC', '0123') DESC LIMIT {POPULATION}", "fit"
     )
 )
 def ga_select(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -737,7 +811,7 @@ def ga_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def ga_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.search(views.pos_seqs(spark, sf_dir), views.neg_seqs(spark, sf_dir), generations=3, pop_size=POPULATION, length=9)
+    return search.search(views.pos_seqs(spark, sf_dir), views.neg_seqs(spark, sf_dir), pop_size=POPULATION, length=6)
 
 
 @query()
@@ -745,6 +819,11 @@ def main_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.motif_discovery(views.pos_seqs(spark, sf_dir), views.neg_seqs(spark, sf_dir))
 
 
+@query()
+def main_plan_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pipelines.cross_tests(views.pos_seqs(spark, sf_dir), views.neg_seqs(spark, sf_dir))
+
+
 @query()
 def ga_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.word_search(views.pos_seqs(spark, sf_dir), views.neg_seqs(spark, sf_dir))

@@ -26,7 +26,7 @@ def ln_choose(n: str, k: str) -> str:
 
 
 INFORMATION = (
-    "CASE WHEN p + n = 0 THEN -1.0 WHEN n / (p + n) > 0.5 THEN -(n / (p + n)) WHEN p * total_n < total_p * n THEN 0.0 ELSE "
+    "CASE WHEN p + n = 0 THEN -1.0 WHEN n / (p + n) > 0.5 THEN -(n / (p + n)) WHEN p > total_p OR n > total_n THEN NULL WHEN p * total_n < total_p * n THEN 0.0 ELSE "
     + f"{ln_choose('(total_p + total_n)', '(p + n)')} - {ln_choose('total_p', 'p')} - {ln_choose('total_n', 'n')} END"
 )
 
@@ -108,12 +108,12 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         "(SELECT *, coalesce(lag(x) OVER w, 0) AS lx, coalesce(lag(y) OVER w, 0) AS ly FROM curve WINDOW w AS (PARTITION BY motif_id ORDER BY i DESC)) GROUP BY motif_id",
     ),
     "totals": (("pos_seqs", "neg_seqs"), "SELECT (SELECT (count(*) - 1) * 10 FROM pos_seqs) AS total_p, (SELECT (count(*) - 1) * 10 FROM neg_seqs) AS total_n"),
-    "pos_six": (("pos_seqs",), f"SELECT word, count(*) AS cnt FROM ({kmers('pos_seqs', 6)}) GROUP BY word"),
-    "neg_six": (("neg_seqs",), f"SELECT word, count(*) AS cnt FROM ({kmers('neg_seqs', 6)}) GROUP BY word"),
+    "pos_nine": (("pos_seqs",), f"SELECT word, count(*) AS cnt FROM ({kmers('pos_seqs', 9)}) GROUP BY word"),
+    "neg_nine": (("neg_seqs",), f"SELECT word, count(*) AS cnt FROM ({kmers('neg_seqs', 9)}) GROUP BY word"),
     "fit": (
-        ("pos_six", "neg_six", "totals"),
+        ("pos_nine", "neg_nine", "totals"),
         "SELECT word, p, n, total_p, total_n, " + INFORMATION + " AS inf FROM (SELECT q.word, CAST(coalesce(sum(p.cnt), 0) AS BIGINT) AS p, CAST(coalesce(sum(g.cnt), 0) AS BIGINT) AS n "
-        f"FROM (SELECT word, {orient('word')} AS form FROM (SELECT word, unnest(range(0, 4)) AS d FROM pos_six)) q LEFT JOIN pos_six p ON p.word = form LEFT JOIN neg_six g ON g.word = form GROUP BY q.word), totals",
+        f"FROM (SELECT word, {orient('word')} AS form FROM (SELECT word, unnest(range(0, 4)) AS d FROM pos_nine)) q LEFT JOIN pos_nine p ON p.word = form LEFT JOIN neg_nine g ON g.word = form GROUP BY q.word), totals",
     ),
 }
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,24 +29,23 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str, chrom: str | None = None, unknown: str = "A", soft_mask: bool = False) -> DataFrame:
     """(chrom, start_pos, seq), a row for each line.
 
-    ``unknown`` replaces N (``A``, or ``N`` to keep it). ``soft_mask`` keeps lower case, where ``n`` is then an error. With
-    ``chrom`` the file's first line must be ``>`` and that name in lower case; else the name is the first line's text and
-    other lines that begin with ``>`` are passed over. Any symbol but ACGTN raises.
+    ``unknown`` replaces N (``A``, or ``N`` to keep it). ``soft_mask`` keeps lower case, where ``n`` is then an error. A file's first line
+    must begin with ``>``, or with ``chrom`` be ``>`` and that name in lower case; its text is the name of the chromosome.
+    Later lines that begin with ``>`` are passed over. Any symbol but ACGTN raises, and so does a file without its first line.
 
     A line's place is the sum of the lengths before it: within its file block, plus the blocks before. Only the blocks'
     totals meet in one task per file.
     """
     lines = _lines(spark, path)
     header = F.col("line").startswith(">")
-    first = lines.where(header).groupBy("file").agg(F.min_by("line", F.struct("block", "at")).alias("title"))
+    first = lines.groupBy("file").agg(F.min_by("line", F.struct("block", "at")).alias("title"))
     size = F.when(header, 0).otherwise(F.length("line"))
     inner = Window.partitionBy("file", "block").orderBy("at")
     placed = lines.withColumn("before", F.sum(size).over(inner) - size)
     totals = lines.groupBy("file", "block").agg(F.sum(size).alias("total"))
     blocks = totals.select("file", "block", (F.sum("total").over(Window.partitionBy("file").orderBy("block")) - F.col("total")).alias("offset"))
-    name = F.substring("title", 2, 1_000_000)
-    if chrom is not None:
-        name = F.when(F.col("title") == ">" + chrom.lower(), F.lit(chrom)).otherwise(F.raise_error(F.concat(F.lit("unexpected first line: "), F.col("title"))))
+    right = F.col("title").startswith(">") if chrom is None else F.col("title") == ">" + chrom.lower()
+    name = F.when(right, F.substring("title", 2, 1_000_000) if chrom is None else F.lit(chrom)).otherwise(F.raise_error(F.concat(F.lit("unexpected first line: "), F.col("title"))))
     allowed = "ACGTNacgt" if soft_mask else "ACGTNacgtn"
     seq = F.when(F.translate("line", allowed, "") == "", F.col("line")).otherwise(F.raise_error(F.concat(F.lit("unexpected symbol in: "), F.col("line"))))
     seq = seq if soft_mask else F.upper(seq)
@@ -77,6 +80,25 @@ def read_peaks(spark: SparkSession, path: str, chrom: str | None = None) -> Data
     return peaks if chrom is None else peaks.where(F.col("chrom") == chrom)
 
 
+def write_peaks(peaks: DataFrame, path: str) -> None:
+    """Peaks as files of the narrow-peak format; what the table doesn't hold is written as the format's blanks."""
+    blank = {"name": F.lit("."), "score": F.lit(0), "strand": F.lit("."), "q_value": F.lit(-1)}
+    peaks.select(*[blank[c].alias(c) if c in blank else F.col(c) for c in PEAK_COLUMNS], F.lit(-1).alias("summit")).write.csv(path, sep="\t")
+
+
+def workspace(spark: SparkSession) -> str:
+    """A folder for intermediate files: the session's shared checkpoint folder; a local session without one gets a temporary one."""
+    context = spark.sparkContext
+    shared = context.getConf().get("spark.checkpoint.dir", None)
+    if shared or not context._jsc.sc().getCheckpointDir().isEmpty():
+        return shared or context._jsc.sc().getCheckpointDir().get()
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = tempfile.mkdtemp(prefix="strandloom-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
+
+
 def parse_manifest(lines: DataFrame, line_col: str = "line") -> DataFrame:
     """Adds file_name and attrs: the text before the first tab, and the ``key=value`` pieces after it."""
     parts = F.split(line_col, "\t")

@@ -78,6 +78,19 @@ def chunked(whole: DataFrame, size: int = CHUNK) -> DataFrame:
     )
 
 
+def rechunked(pieces: DataFrame, size: int = CHUNK) -> DataFrame:
+    """(chrom, chunk_no, start_pos, seq) in chunks of ``size`` from pieces (chrom, start_pos, seq) of any sizes that cover a chromosome without gaps.
+
+    A piece is cut where chunks begin; only the parts of one chunk ever meet."""
+    first, last = F.floor(F.col("start_pos") / size), F.floor((F.col("start_pos") + F.length("seq") - 1) / size)
+    cut = pieces.where(F.length("seq") > 0).select("chrom", "start_pos", "seq", F.explode(F.sequence(first, last)).alias("chunk_no"))
+    low = F.greatest(F.col("chunk_no") * size, F.col("start_pos"))
+    high = F.least((F.col("chunk_no") + 1) * size, F.col("start_pos") + F.length("seq"))
+    part = F.substr(F.col("seq"), (low - F.col("start_pos") + 1).cast("int"), (high - low).cast("int"))
+    parts = cut.groupBy("chrom", "chunk_no").agg(F.array_sort(F.collect_list(F.struct(low.alias("at"), part.alias("seq")))).alias("p"))
+    return parts.select("chrom", F.col("chunk_no").cast("bigint").alias("chunk_no"), (F.col("chunk_no") * size).cast("bigint").alias("start_pos"), F.array_join(F.transform("p", lambda x: x["seq"]), "").alias("seq"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, word, cnt): the 40 most frequent words of ten symbols of the positive fragments; ties by word."""
     found = pos_seqs(spark, sf_dir).select(F.explode(S.kmers("seq", WORD_LENGTH)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("cnt"))

@@ -79,15 +79,109 @@ def test_merge_of_flows():
     assert [(r[1], r[7]) for r in tail] == [(5, [0, 1]), (10, [1]), (200, [1]), (700, [1])]
 
 
-def test_one_shuffle_merge_equals_the_tournament(spark):
-    rnd = random.Random(4)
-    rows = [(i, f"chr{rnd.randint(1, 2)}", rnd.randrange(4), s, s + rnd.randint(20, 200), rnd.random(), 1.0) for i in range(400) for s in [rnd.randrange(20_000)]]
-    peaks = spark.createDataFrame(rows, "event_id long, chrom string, cell_id int, start_pos long, end_pos long, value1 double, value2 double")
-    key = lambda r: (r.chrom, r.start_pos, r.end_pos, r.cell_ids, r.values1)
+def random_peaks(rnd, n, reach, cells=4):
+    return [(i, f"chr{rnd.choice([1, 2, 10])}", rnd.randrange(cells), s, s + rnd.randint(20, 200), rnd.random() * 400, 1.0) for i in range(n) for s in [rnd.randrange(reach)]]
+
+
+PEAKS = "event_id long, chrom string, cell_id int, start_pos long, end_pos long, value1 double, value2 double"
+
+
+def plain_tournament(rows, n):
+    """The tournament over whole flows in lists, chromosome by chromosome, by the definition of a merge."""
+
+    def status(a, b):
+        if a["s"] >= b["e"]:
+            return -1
+        if b["s"] >= a["e"]:
+            return 1
+        if b["s"] <= a["s"] and a["e"] <= b["e"] or a["s"] <= b["s"] and b["e"] <= a["e"]:
+            return 0
+        if min(abs(a["s"] - b["s"]), abs(a["e"] - b["e"])) < min(a["e"] - a["s"], b["e"] - b["s"]) // 5:
+            return 0
+        return 1 if a["s"] < b["s"] else -1
+
+    def joined(a, b):
+        weigh = lambda k: round((a[k] * len(a["ids"]) + b[k] * len(b["ids"])) / (len(a["ids"]) + len(b["ids"])))
+        return {"s": weigh("s"), "e": weigh("e"), "s0": min(a["s0"], b["s0"]), "e1": max(a["e1"], b["e1"]), "ids": a["ids"] + b["ids"], "v": a["v"] + b["v"]}
+
+    out = []
+    for chrom in sorted({r[1] for r in rows}):
+        flows = [[{"s": r[3], "e": r[4], "s0": r[3], "e1": r[4], "ids": [r[2]], "v": [r[5]]} for r in sorted(rows, key=lambda r: (r[3], r[4], r[5])) if r[1] == chrom and r[2] == k] for k in range(n)]
+        while len(flows) > 1:
+            a, b, made = flows.pop(0), flows.pop(0), []
+            i = j = 0
+            while i < len(a) and j < len(b):
+                s = status(a[i], b[j])
+                made.append(joined(a[i], b[j]) if s == 0 else a[i] if s == 1 else b[j])
+                i, j = i + (s >= 0), j + (s <= 0)
+            flows.append(made + a[i:] + b[j:])
+        out += [(chrom, r["s"], r["e"], r["s0"], r["e1"], r["ids"], r["v"]) for r in flows[0]]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("reach,near", [(3_000, 1 << 20), (60_000, 500), (60_000, 1 << 20)])
+def test_merge_by_islands_equals_the_tournament_over_whole_flows(spark, monkeypatch, reach, near):
+    monkeypatch.setattr(intervals, "NEIGHBOURS", near)
+    rows = random_peaks(random.Random(reach), 400, reach)
+    peaks = spark.createDataFrame(rows, PEAKS)
+    key = lambda r: (r.chrom, r.start_pos, r.end_pos, r.start_min, r.end_max, r.cell_ids, r.values1)
+    want = plain_tournament(rows, 4)
+    assert sorted(map(key, intervals.merged_peaks(peaks).collect())) == want
     flows = [intervals.singletons(peaks.where(F.col("cell_id") == c)) for c in range(4)]
-    assert sorted(map(key, intervals.merge_all(flows).collect())) == sorted(map(key, intervals.merged_peaks(peaks, 4).collect()))
+    assert sorted(map(key, intervals.merge_all(flows).collect())) == want
+    two = plain_tournament([r for r in rows if r[2] < 2], 2)
+    assert sorted(map(key, intervals.merge_join(*flows[:2]).collect())) == two
     with pytest.raises(ValueError):
         intervals.merge_all([])
+    assert intervals.merged_peaks(peaks.where("false")).count() == 0
+
+
+def test_merge_join_may_repeat_the_tail(spark):
+    flows = [intervals.singletons(spark.createDataFrame([(0, "chr1", k, s, e, 1.0, 1.0) for s, e in rows], PEAKS)) for k, rows in enumerate(([(0, 100)], [(10, 90), (200, 300)]))]
+    plain = lambda **o: sorted((r.start_pos, r.end_pos) for r in intervals.merge_join(*flows, **o).collect())
+    assert plain() == [(5, 95), (200, 300)] and plain(emulate_tail_dup=True) == [(5, 95), (10, 90), (200, 300)]
+
+
+@pytest.mark.parametrize("queue", ["all", "chromosome"])
+def test_background_regions_equal_a_plain_scan(spark, queue):
+    rnd = random.Random(12)
+    rows = []
+    for c in ("chr10", "chr2", "chr1", "chrX"):
+        at = 0
+        for _ in range(60):
+            at += rnd.randint(1, 900)
+            n, cells = rnd.randint(60, 400), rnd.randint(1, 3)
+            rows.append((c, at, at + n, at, at, at + n, at + n, list(range(cells)), [rnd.choice([100.0, 500.0])] * cells, [1.0] * cells))
+            at += n
+    want, waiting = [], []
+    for c in ("chr1", "chr2", "chr10", "chrX"):
+        last = 0
+        if queue == "chromosome":
+            waiting = []
+        for r in sorted(r for r in rows if r[0] == c):
+            while r[1] - last > 100 and waiting and waiting[0] < r[1] - last:
+                size = waiting.pop(0)
+                want.append(("noise", c, last, size))
+                last += size
+            last = r[2]
+            if len(r[7]) >= 2 and r[8][0] >= 200 and r[2] - r[1] >= 100:
+                want.append(("peak", c, r[1], r[2] - r[1]))
+                waiting.append(r[2] - r[1])
+    merged = spark.createDataFrame(rows, intervals.MERGED).repartition(4)
+    assert sorted(map(tuple, intervals.regions(merged, queue=queue).collect())) == sorted(want)
+    placed = intervals.regions(merged, queue=queue, seed=5).collect()
+    assert sorted(map(tuple, placed)) == sorted(map(tuple, intervals.regions(merged.repartition(2), queue=queue, seed=5).collect()))
+    with pytest.raises(ValueError):
+        intervals.regions(merged, queue="other")
+
+
+def test_projections_and_bounds_of_merged_peaks(spark):
+    rows = [("chr1", 5, 95, 0, 10, 90, 100, [0, 1], [339.7, 12.0], [1.0, 1.0]), ("chr1", 200, 300, 200, 200, 300, 300, [1], [8.5], [1.0]), ("chr1", 9000, 9900, 9000, 9000, 9900, 9900, [1], [900.5], [1.0])]
+    merged = spark.createDataFrame(rows, intervals.MERGED)
+    assert [r.x for r in merged.orderBy("start_pos").select(intervals.is_strict().alias("x")).collect()] == [False, True, True]
+    assert tuple(intervals.bar_bounds(merged, 0, 400).first()) == ("chr1", 0, 300, 339)
+    status = spark.createDataFrame([(None,), (True,), (False,)], "p boolean").select(intervals.status_of(F.col("p")).alias("x")).collect()
+    assert [r.x for r in status] == ["Unknown", "Present", "NotPresent"]
 
 
 def test_background_regions(spark):
@@ -260,6 +354,154 @@ def test_fasta_files(spark, tmp_path):
         files.read_fasta(spark, str(tmp_path / "bad.fa")).collect()
 
 
+def test_fasta_files_that_are_no_good(spark, tmp_path):
+    for name, text in {"none": "ATGC\nATGC\n", "late": "ATGC\n>chr1\nATGC\n", "blank": "\n>chr1\nATGC\n"}.items():
+        (tmp_path / f"{name}.fa").write_text(text)
+        for chrom in (None, "chr1"):
+            with pytest.raises(Exception, match="unexpected first line"):
+                files.read_fasta(spark, str(tmp_path / f"{name}.fa"), chrom).collect()
+    (tmp_path / "two.fa").write_text(">chr1 notes\nATGC\n>other\nGG\n")
+    assert [(r.chrom, r.start_pos, r.seq) for r in files.read_fasta(spark, str(tmp_path / "two.fa")).orderBy("start_pos").collect()] == [("chr1 notes", 0, "ATGC"), ("chr1 notes", 4, "GG")]
+    (tmp_path / "soft.fa").write_text(">c\nATgcN\n")
+    assert files.read_fasta(spark, str(tmp_path / "soft.fa"), unknown="N", soft_mask=True).first().seq == "ATgcN"
+
+
+def test_pieces_of_any_size_become_chunks(spark):
+    rnd = random.Random(13)
+    text = dna(rnd, 500)
+    cuts = sorted(rnd.sample(range(1, 500), 20))
+    pieces = [("c", a, text[a:b]) for a, b in zip([0, *cuts], [*cuts, 500], strict=True)]
+    chunks = views.rechunked(spark.createDataFrame(pieces, "chrom string, start_pos long, seq string").repartition(3), 64)
+    rows = chunks.orderBy("chunk_no").collect()
+    assert [r.seq for r in rows] == [text[i : i + 64] for i in range(0, 500, 64)] and [r.start_pos for r in rows] == list(range(0, 500, 64))
+    grown = slices.append(chunks, spark.createDataFrame([("c", "GGG" * 50), ("new", "AT"), ("empty", "")], "chrom string, seq string"))
+    assert {r.chrom: r.seq for r in slices.whole(grown).collect()} == {"c": text + "GGG" * 50, "new": "AT"}
+    assert max(r.n for r in grown.select(F.length("seq").alias("n")).collect()) == 64
+    assert {r.chrom: r.seq for r in slices.whole(slices.append(chunks.where("false"), spark.createDataFrame([("c", "ATG")], "chrom string, seq string"))).collect()} == {"c": "ATG"}
+
+
+def plain_weight(a, b):
+    return max(sum(x == y for x, y in zip(a[max(0, len(a) - s - 1) :], t[max(0, s + 1 - len(a)) :], strict=False)) for t in turned(b) for s in range(len(a) + len(b) - 1))
+
+
+def test_weight_table_and_clusters_of_all_words(spark):
+    rnd = random.Random(14)
+    words = [dna(rnd, rnd.randint(4, 13)) for _ in range(40)]
+    table = cluster.weight_table(words)
+    assert all(table[i, j] == (0 if i == j else plain_weight(words[i], words[j])) for i in range(40) for j in range(40))
+    frame = spark.createDataFrame([(i, w, 1 + i % 3) for i, w in enumerate(words)], "id int, word string, cnt long")
+    edges = cluster.graph(frame, align.all_pairs(frame), 5)
+    plain = {r.id: r.cluster for r in cluster.clusters(edges, 7).collect()}
+    whole = {r.id: r for r in cluster.clustered(frame, 5, 7).collect()}
+    assert {i: r.cluster for i, r in whole.items()} == plain
+    assert all(r.total == sum(int(table[i, j]) for j in range(40) if j != i and plain[j] == plain[i]) for i, r in whole.items())
+    inner = cluster.inner_edges(edges, cluster.clusters(edges, 7)).collect()
+    assert len(inner) == sum(plain[i] == plain[j] for i in range(40) for j in range(i + 1)) and all(plain[r.i] == plain[r.j] == r.cluster for r in inner)
+    sums = cluster.clustered(frame, 5, 7).select("cluster", "id", "total")
+    own = frame.join(sums.drop("total"), "id")
+    rows = lambda **o: sorted(map(tuple, align.multiple(own, **o).collect()))
+    assert rows(sums=sums) == rows()
+
+
+def plain_greedy(w, seed):
+    """Greedy merges over dictionaries of sets; the order of a pass is the seed's."""
+    import hashlib
+
+    n = len(w)
+    groups = [[i] for i in range(n)]
+    total = sum(w[i][j] for i in range(n) for j in range(i + 1))
+    while True:
+        alive, merged = dict(enumerate(groups)), False
+        between = lambda a, b: sum(w[i][j] for i in a for j in b)
+        outer = lambda a: sum(w[i][j] for i in a for j in range(n) if j not in a)
+        for src in sorted(alive, key=lambda i: hashlib.md5(f"{seed}:{len(groups)}:{i}".encode()).digest()):
+            if len(alive) == 1:
+                break
+            best = max((d for d in sorted(alive) if d != src), key=lambda d: (between(alive[src], alive[d]) / (2 * total) - 2 * (outer(alive[d]) / (2 * total)) * (outer(alive[src]) / (2 * total)), -d))
+            if between(alive[src], alive[best]) / (2 * total) - 2 * (outer(alive[best]) / (2 * total)) * (outer(alive[src]) / (2 * total)) > 0:
+                alive[best] = alive[best] + alive[src]
+                del alive[src]
+                merged = True
+        groups = [alive[k] for k in sorted(alive)]
+        if not merged or len(groups) == 1:
+            return sorted(map(sorted, groups))
+
+
+def test_greedy_equals_a_plain_restatement_and_keeps_its_invariants():
+    import numpy as np
+
+    rnd = random.Random(15)
+    for seed in range(12):
+        n = rnd.randint(2, 14)
+        w = [[0] * n for _ in range(n)]
+        for i in range(n):
+            for j in range(i + 1):
+                w[i][j] = w[j][i] = rnd.choice([0, 0, 1, 5, 9, -1])
+        if sum(w[i][j] for i in range(n) for j in range(i + 1)) > 0:
+            found = cluster.greedy(w, seed)
+            assert sorted(sorted(i for i in range(n) if found[i] == c) for c in set(found)) == plain_greedy(w, seed)
+    with pytest.raises(AssertionError):
+        cluster.check(np.zeros((2, 2), dtype=int), [[0]], np.zeros(1), np.zeros(1))
+
+
+def test_small_functions(spark, tmp_path):
+    rows = spark.createDataFrame([(0, 0, "ATG "), (0, 1, " TGC")], "cluster long, id long, row string")
+    weights = align.row_weights(rows, spark.createDataFrame([(0, "ATGg")], "cluster long, mask string"))
+    assert {r.id: r.weight for r in weights.collect()} == {0: 3, 1: 2}
+    assert one(spark, evaluate.curve_label(F.lit(8))) == pytest.approx(math.log(8))
+    assert one(spark, S.rendered(F.lit("ANG"))) == "A G" and one(spark, S.soft_mask_folded(F.lit("aNg"))) == "ANG" and one(spark, S.base_at(F.lit("ATG"), F.lit(2))) == "G"
+    assert one(spark, scores.score_text(F.lit(10), F.lit(2), F.lit(100), F.lit(100))) == "Score,pnPN=(10, 2, 100, 100), Inf=4.2666"
+    assert one(spark, scores.fisher_information(F.lit(5), F.lit(0), F.lit(4), F.lit(9))) is None
+    words = spark.createDataFrame([("AT",), ("GC",)], "word string")
+    assert [r.word for r in search.unseen(words, words.where("word = 'AT'")).collect()] == ["GC"]
+    assert search.mutated_by_order("ATGC", 0.5, random.Random(1))[2:] == "GC" and search.mutated_by_order("ATGC", 0.0, random.Random(1))[1:] == "TGC"
+    changed = search.mutated("ATGCATGC", 3, random.Random(2), "any")
+    assert sum(a != b for a, b in zip(changed, "ATGCATGC", strict=True)) == 3
+    files.write_table(words, str(tmp_path / "t"))
+    assert sorted(r.word for r in spark.read.csv(str(tmp_path / "t"), sep="\t", header=True).collect()) == ["AT", "GC"]
+    from strandloom.operators import collections_ext
+
+    order = lambda seed: [r.id for r in collections_ext.shuffled(spark.range(50), "id", seed).collect()]
+    assert order(1) == order(1) != order(2) and sorted(order(2)) == list(range(50))
+    found = spark.createDataFrame([(1, 5, 0, 8), (1, 5, 2, 9), (0, 9, 0, 8), (1, 5, 1, 9)], "frag_id long, text_pos long, pattern_pos long, length long")
+    assert [tuple(r) for r in W.in_match_order(found).collect()] == [(0, 9, 0, 8), (1, 5, 1, 9), (1, 5, 2, 9), (1, 5, 0, 8)]
+    m = motifs_of(spark, ["ATG"], [1])
+    asked = spark.createDataFrame([(1, "CATGC", 0, 5), (2, "CATGC", 2, 5), (3, None, 0, 9)], "frag_id long, seq string, start long, end long")
+    assert {r.frag_id: round(r.score, 6) for r in motif.scores_between(asked, m).collect()} == {1: 1, 2: round(motif.max_score_between("CATGC", motif.Scorer([[1, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0]], [1, 1, 1], 1, "degree"), 2, 5), 6), 3: 0}
+
+
+def test_multiple_alignment_to_the_base(spark):
+    """The base is the word of the greatest summed weight; with ``align_to='base'`` others are shifted against it."""
+    words = spark.createDataFrame([(0, 0, "TTTTTT", 1), (0, 1, "CATGCA", 1), (0, 2, "ATGCAC", 1), (0, 3, "GCATGC", 1)], "cluster long, id long, word string, cnt long")
+    rows = {r.id: r for r in align.multiple(words, "base").collect()}
+    table = cluster.weight_table(["TTTTTT", "CATGCA", "ATGCAC", "GCATGC"]).sum(axis=1)
+    base = int(table.argmax())
+    assert rows[base].direction == 0
+    for i, r in rows.items():
+        word = turned(words.where(F.col("id") == i).first().word)[r.direction]
+        assert r.row == " " * r["shift"] + word
+        if i != base:
+            a = turned(words.where(F.col("id") == base).first().word)[0]
+            offset = r["shift"] - rows[base]["shift"]
+            same = sum(0 <= k + offset < len(a) and a[k + offset] == x for k, x in enumerate(word))
+            assert same == plain_weight(a, words.where(F.col("id") == i).first().word)
+
+
+def test_search_by_joins_equals_search_by_look_up(spark, monkeypatch):
+    rnd = random.Random(16)
+    sides = [spark.createDataFrame([(i, dna(rnd, 60)) for i in range(30)], "frag_id long, seq string") for _ in range(2)]
+    rows = lambda: sorted(map(tuple, search.search(*sides, generations=3, pop_size=15, length=5, seed=4).collect()))
+    by_table = rows()
+    monkeypatch.setattr(search, "LOOKUP", 0)
+    assert [(w, p, n) for w, p, n, *_ in rows()] == [(w, p, n) for w, p, n, *_ in by_table]
+    monkeypatch.undo()
+    run = search.Search(*sides, pop_size=15, length=3)
+    while not run.finished:
+        run.iterate()
+    kept = {"".join(w) for w in __import__("itertools").product("ATGC", repeat=3)}
+    assert {w for w in kept if not search.is_degenerate(w)} <= run.seen
+
+
 def test_chromosome_cache(spark, tmp_path):
     built = []
 

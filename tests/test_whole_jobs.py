@@ -1,4 +1,4 @@
-"""Queries that do the whole job of one whose SQL covers a part, by brute force on the test tables."""
+"""Queries over whole tables, by brute force."""
 
 import os
 from collections import defaultdict
@@ -12,17 +12,17 @@ DATA = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
 
 
-def test_zip_groups_all_reads_every_event(spark):
+def test_zip_groups_reads_every_event(spark):
     flows = defaultdict(list)
     for r in sorted(views.table(spark, DATA, "events").select("event_id", "event_type").collect()):
         flows[r.event_type].append(str(r.event_id))
     assert sum(map(len, flows.values())) > 2000
     want = {p: ",".join(flows[t][p] for t in sorted(flows) if p < len(flows[t])) for p in range(max(map(len, flows.values())))}
-    got = registry.QUERIES["zip_groups_all"](spark, DATA).collect()
+    got = registry.QUERIES["zip_groups"](spark, DATA).collect()
     assert len(got) == len(want) and {r.place: r["items"] for r in got} == want
 
 
-def test_element_groups_all_holds_every_length(spark, monkeypatch):
+def test_element_groups_holds_every_length(spark, monkeypatch):
     from tests.test_goldens import dna, plain_groups
     import random
 
@@ -32,10 +32,10 @@ def test_element_groups_all_holds_every_length(spark, monkeypatch):
     monkeypatch.setattr(views, "pos_seqs", lambda session, _: session.createDataFrame(list(enumerate(fragments)), "frag_id long, seq string"))
     want = plain_groups(fragments, 10, 100)
     assert max(map(len, want)) > 12
-    assert {r.word: r.cnt for r in registry.QUERIES["element_groups_all"](spark, DATA).collect()} == want
+    assert {r.word: r.cnt for r in registry.QUERIES["element_groups"](spark, DATA).collect()} == want
 
 
-def test_drop_cross_all_holds_every_length(spark, monkeypatch):
+def test_drop_cross_holds_every_length(spark, monkeypatch):
     import random
 
     from tests.test_goldens import dna, plain_groups
@@ -50,4 +50,81 @@ def test_drop_cross_all_holds_every_length(spark, monkeypatch):
     every = plain_groups(noise, 10, 100)
     want = {w: n for w, n in every.items() if not any(w in p for p in peaks)}
     assert max(map(len, want)) > 12 and len(want) < len(every)
-    assert {r.word: r.cnt for r in registry.QUERIES["drop_cross_all"](spark, DATA).collect()} == want
+    assert {r.word: r.cnt for r in registry.QUERIES["drop_cross"](spark, DATA).collect()} == want
+
+
+def test_places_of_element_groups(spark):
+    """The golden fragments: each group's word, count and places."""
+    from strandloom.operators import words as W
+
+    fragments = ["ATGCATGAT", "GATGCATTC", "TATGCA"]
+    seqs = spark.createDataFrame(list(enumerate(fragments)), "frag_id long, seq string")
+    got = {}
+    for r in W.group_places(seqs, W.element_groups(seqs, 3)).collect():
+        got.setdefault((r.word, r.cnt), set()).add((r.frag_id, r.pos))
+    want = {w: {(f, i) for f, t in enumerate(fragments) for i in range(len(t)) if t.startswith(w, i)} for w in ("ATG", "TGCA", "GAT", "GCA", "CAT")}
+    assert got == {(w, len(at)): at for w, at in want.items()}
+    assert W.group_places(seqs, W.element_groups(seqs, 9)).count() == 0
+
+
+def write_case(tmp_path, rnd):
+    """A manifest, peak files and FASTA files of two chromosomes with planted words in the peaks."""
+    from tests.test_goldens import dna
+
+    genome = {c: list(dna(rnd, 30_000)) for c in ("chr1", "chr2")}
+    truth, cells = [], [[], [], []]
+    for c in genome:
+        for start in range(1000, 28_000, 900):
+            size = rnd.randrange(200, 300)
+            truth.append((c, start, size))
+            for k in range(3):
+                a, b = start + rnd.randrange(5), start + size - rnd.randrange(5)
+                cells[k].append((c, a, b, 300 + rnd.random()))
+            for at in range(start + 20, start + 180, 40):
+                genome[c][at : at + 12] = "GATTACAGATCA"
+    folder = tmp_path / "peaks"
+    folder.mkdir()
+    lines = []
+    for k, rows in enumerate(cells):
+        (folder / f"cell{k}.narrowPeak").write_text("".join(f"{c}\t{a}\t{b}\t.\t0\t.\t{v:.3f}\t1.5\t-1\t-1\n" for c, a, b, v in rows))
+        lines.append(f"cell{k}.narrowPeak\ttype=narrowPeak; view=Peaks; cell=C{k}")
+    lines.insert(1, "other.broadPeak\ttype=broadPeak; view=Peaks")
+    (tmp_path / "files.txt").write_text("\n".join(lines) + "\n")
+    fasta = tmp_path / "genome"
+    fasta.mkdir()
+    for c, symbols in genome.items():
+        text = "".join(symbols)
+        (fasta / f"{c}.fa").write_text(f">{c}\n" + "\n".join(text[i : i + 61] for i in range(0, len(text), 61)) + "\n")
+    return genome, truth, cells
+
+
+def test_from_files_to_areas(spark, tmp_path):
+    """Manifest, peaks, merge, regions, fragments, element groups, motifs, curves, cross tests and the word search, over files with planted words."""
+    import random
+
+    from strandloom.plans import pipelines
+    from strandloom.operators import intervals
+
+    genome, truth, cells = write_case(tmp_path, random.Random(11))
+    paths = pipelines.cell_files(spark, str(tmp_path / "files.txt"), str(tmp_path / "peaks"))
+    assert [p.rsplit("/", 1)[1] for p in paths] == [f"cell{k}.narrowPeak" for k in range(3)]
+    merged = pipelines.merged_from_files(spark, paths).collect()
+    assert len(merged) == len(truth) and all(sorted(r.cell_ids) == [0, 1, 2] for r in merged)
+    pos, neg = pipelines.sides_from_files(spark, str(tmp_path / "files.txt"), str(tmp_path / "peaks"), str(tmp_path / "genome"), size=512)
+    bounds = sorted((r.chrom, r.start_min, r.end_max - r.start_min) for r in merged)
+    got = {(r.frag_id.chrom, r.frag_id.start, r.frag_id["size"]): r.seq for r in pos.collect()}
+    assert sorted(got) == bounds and all(s == "".join(genome[c][a : a + n]) for (c, a, n), s in got.items())
+    noise = {(r.frag_id.chrom, r.frag_id.start, r.frag_id["size"]): r.seq for r in neg.collect()}
+    assert len(noise) >= 0.9 * len(truth) and all(s == "".join(genome[c][a : a + n]) for (c, a, n), s in noise.items())
+    assert all(a + n <= s or s + m <= a for c, a, n in noise for d, s, m in bounds if c == d)
+    one = [intervals.singletons(spark.createDataFrame([(*r, 1.5, 0) for r in cells[0][:3]], "chrom string, start_pos long, end_pos long, value1 double, value2 double, cell_id int"))]
+    assert intervals.merge_all(one).count() == 3
+    found = pipelines.motif_discovery(pos, neg, grid=500).collect()
+    areas = {r.motif_id: r for r in found}
+    assert {"difference-all", "difference-best"} <= set(areas) and all(0 <= r.auc <= 1 for r in found)
+    best = max((r for r in found if r["mask"]), key=lambda r: r.auc)
+    assert best.auc > 0.9 and best.point_size > 0 and areas["difference-best"].auc > 0.9
+    cross = pipelines.cross_tests(pos, neg).collect()
+    assert {(r.motifs_of, r.rows_of) for r in cross} >= {("peak", "peak")} and all(0 <= r.avg_score <= r.max_score + 1e-9 for r in cross)
+    words = [r.word for r in pipelines.word_search(pos, neg, pop_size=40, length=6).orderBy("inf", ascending=False).collect()]
+    assert words and any(words[0] in form for w in ("GATTACAGATCA",) for form in (w, w[::-1], w.translate(str.maketrans("ATGC", "TACG")), w.translate(str.maketrans("ATGC", "TACG"))[::-1]))
