@@ -84,5 +84,25 @@ def test_stages_one_by_one(spark, tables):
     assert whole == {i: r.n_tokens for i, r in kept["tokens"].items()}
 
 
+def test_edge_cases_pass_all_stages(spark, tmp_path):
+    """Nulls, repeated rows and ids, ties, very long texts, columns named like outputs, and no ``n_chars``."""
+    rnd = random.Random(2)
+    long = prose(rnd, 150_000) + " " * 1_100_000 + "end"
+    one = prose(rnd, 40)
+    rows = [(1, one, "x", 5, {"a": 1}), (1, one, "x", 5, {"a": 1}), (1, prose(rnd, 40), "x", 5, None), (None, prose(rnd, 30), None, None, {}), (None, one, None, None, {}), (2, None, None, None, {}), (3, "", "y", 1, {}), (4, long, "y", 1, {})]
+    path = str(tmp_path)
+    schema = "doc_id long, text string, ids string, n_tokens int, component_id map<string,int>"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, 0), (3, 0), (None, 1)], "doc_id long, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, None), (None, one), (2, "")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    out = sorted((str(r.doc_id), r.decoded_sha256) for r in cp.run(spark, path).collect())
+    digest = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    assert out == sorted([("1", digest(one)), ("1", digest(rows[2][1])), ("None", digest(rows[3][1])), ("2", digest("")), ("4", digest(long))])
+    docs = spark.createDataFrame([], schema)
+    for _, stage in cp.STAGES:
+        docs = stage(spark, docs, path)
+    assert docs.count() == 0
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES) == list(range(1, 11))
