@@ -2,8 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir). All but the last return documents with the columns they came with.
 ``run`` writes each stage's result to the shared scratch folder and reads it back, so that no stage computes
-its predecessors again and a lost executor costs one stage's tasks at most. Edge cases are those of the
-operators: null and empty texts pass every filter (as copies of each other once, but for rows without an id), and have no tokens.
+its predecessors again and a lost executor costs one stage's tasks at most; a stage's table goes when the next one is written.
+
+Edge cases are those of the operators: null and empty texts pass every filter, as copies of each other (one of them stays), and have no tokens;
+rows without an id are compared like all others, and give way to rows with one; of equal rows one stays; an id may come with several texts; further
+columns, whatever their names, are carried along; texts may be of any length; empty tables pass through.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.llm import byte_bpe, decontamination, pii, simhash, toxicity
-from strandloom.llm.common import scratch_path, table
+from strandloom.llm.common import removed, scratch_path, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +35,9 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of personal data are replaced by their kind; ``n_chars`` follows the text."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    """Spans of personal data are replaced by their kind; ``n_chars``, if there is one, follows the text."""
+    masked = pii.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,9 +59,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            removed(spark, before)
+        before = path
     return docs
