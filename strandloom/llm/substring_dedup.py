@@ -9,7 +9,7 @@ for any two positions i and j some d < 7 puts both i + d and j + d on the cover.
 hold, at the same offset, an anchor each whose next ``ANCHOR`` (13 - 7 + 1 = 7) words lie within the
 windows and are equal. Hashing only anchors thus misses no window, at 3/7 of the positions:
 
-1. Documents are dealt into shards by a hash of id and text, so that an id with many texts is no single shard's. Each shard hashes its anchors and sends each distinct hash
+1. Documents are dealt into shards by a hash of id and text, so that neither an id with many texts nor the rows without an id are a single shard's. Each shard hashes its anchors and sends each distinct hash
    once to the hash's bucket.
 2. A bucket tells each shard which of its hashes other shards have.
 3. Each shard extends from the anchors that recur, in it or elsewhere: the windows around them are hashed (128
@@ -24,7 +24,7 @@ made. The texts are shuffled once; the three steps that read them share the exch
 
 Edge cases: a null text has no words; fewer than 13 words are never removed; rows with equal ids (copies of a
 row among them) are not smaller than each other, so both keep what no smaller id has; a row without an id is
-kept whole, makes nothing else go and is in no shard; texts may be of any length, a shard holds its texts; an empty table gives an empty result; other columns are ignored.
+kept whole and makes nothing else go; texts may be of any length, a shard holds its texts; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.common import id_and_text, map_slices, table
+from strandloom.llm.common import id_and_text, table
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
@@ -267,20 +267,13 @@ def shard_result(rows: pa.Table, messages: pa.Table) -> pa.Table:
 def dedup(df: DataFrame, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept holds the words that stay, joined by single spaces."""
     docs = id_and_text(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    ours = docs.where("doc_id IS NOT NULL")
-    total = ours.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    dealt = ours.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")).groupBy("shard")
+    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")).groupBy("shard")
     to_bucket, to_shard = "bucket int, shard int, hashes binary, ids binary", "shard int, kind int, hashes binary"
     shared = dealt.applyInArrow(shard_anchors(shards), to_bucket).groupBy("bucket").applyInArrow(bucket_shares, to_shard)
     least = dealt.cogroup(shared.groupBy("shard")).applyInArrow(shard_windows(shards), to_bucket).groupBy("bucket").applyInArrow(bucket_least, to_shard)
-    result = "doc_id long, n_words long, n_removed long, kept string"
-    return dealt.cogroup(least.groupBy("shard")).applyInArrow(shard_result, result).unionByName(map_slices(docs.where("doc_id IS NULL"), _whole, result))
-
-
-def _whole(_, cols: dict) -> dict:
-    every = [Words(t) for t in cols["text"]]
-    return {"doc_id": cols["doc_id"], "n_words": [w.n for w in every], "n_removed": [0] * len(every), "kept": [w.joined.decode() for w in every]}
+    return dealt.cogroup(least.groupBy("shard")).applyInArrow(shard_result, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:
