@@ -5,15 +5,18 @@ No suffix index is built: words are tables of k-mers, counted with map-side comb
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandloom.functions import sequence as S
-from strandloom.sources.files import workspace
 
 MAX_LENGTH = 100
-#: Lengths that are counted in the first pass over the fragments; each further pass counts twice as many.
-LENGTHS_A_PASS = 8
+#: Lengths whose words are counted; longer ones are found by sorting.
+LENGTHS_COUNTED = 8
 
 
 def occurrences(seqs: DataFrame, k: int) -> DataFrame:
@@ -58,53 +61,85 @@ def superseded(groups: DataFrame, least: int) -> DataFrame:
 def element_groups(seqs: DataFrame, least: int = 10, most: int = MAX_LENGTH) -> DataFrame:
     """(word, cnt): right-branching repeated words of ``least`` to ``most`` symbols that are not of low complexity.
 
-    Lengths are counted a few at a time, ever more as fewer places are left. Only places whose shorter word repeats can begin a longer one that does, so each pass leaves
-    the others out; what is left is settled, and passes end when no place is. The text is read by the first pass only."""
-    made = tails = None
-    left, low, many = True, least, LENGTHS_A_PASS
-    while left and low <= most:
-        lengths = range(low, min(low + many, most + 1))
-        if tails is None:
-            found = branching(seqs, lengths)
-        else:
-            words = F.filter(F.array(*[F.when(F.length("tail") > k, F.substring("tail", 1, k + 1)) for k in lengths]), lambda w: w.isNotNull())
-            found = _branching(tails.select(F.explode(words).alias("w")))
-        made = found if made is None else made.unionByName(found)
-        if lengths[-1] < most:
-            tails = _settled(_repeating(_ended(seqs) if tails is None else None, tails, lengths[-1] + 1, most + 1))
-            left = tails.head(1)
-        low, many = lengths[-1] + 1, 2 * many
-    return superseded(made.where(S.is_complex("word")), least)
-
-
-def _repeating(seqs: DataFrame | None, tails: DataFrame | None, k: int, most: int) -> DataFrame:
-    """(frag_id, pos, tail): places whose word of length k (without an end in it) occurs twice or more, with the ``most`` symbols from there."""
-    if tails is None:
-        places = seqs.select("frag_id", F.posexplode(S.kmers("seq", k)).alias("pos", "word"))
-    else:
-        places = tails.where(F.length("tail") >= k).select("frag_id", "pos", F.substring("tail", 1, k).alias("word"))
-    places = places.where(~F.right("word", F.lit(1)).isin("E", "Z"))
-    again = places.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word")
-    kept = places.join(again, "word", "left_semi").select("frag_id", "pos")
-    if tails is not None:
-        return tails.join(kept, ["frag_id", "pos"], "left_semi")
-    return seqs.join(kept, "frag_id").select("frag_id", "pos", F.substr(F.col("seq"), F.col("pos") + 1, F.lit(most)).alias("tail"))
+    The first lengths are counted. A longer word begins at a place whose next ``LENGTHS_COUNTED`` more symbols repeat; from those places the symbols up to the
+    greatest length are sorted, and the words are where neighbours part (``_parting``)."""
+    lengths = range(least, min(least + LENGTHS_COUNTED, most + 1))
+    found = branching(seqs, lengths)
+    if lengths[-1] < most:
+        low = lengths[-1] + 1
+        found = found.unionByName(_parting(_repeating(_ended(seqs), low, most + 1), low, most))
+    return superseded(found.where(S.is_complex("word")), least)
 
 
-def _settled(rows: DataFrame) -> DataFrame:
-    """Rows computed once, through the checkpoint folder."""
-    context = rows.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(workspace(rows.sparkSession))
-    return rows.checkpoint()
+def _repeating(seqs: DataFrame, k: int, most: int) -> DataFrame:
+    """(tail, n): the ``most`` symbols from each place whose word of length k occurs twice or more, and how often they are there."""
+    places = seqs.select("frag_id", F.posexplode(S.kmers("seq", k)).alias("pos", "word")).where(~F.right("word", F.lit(1)).isin("E", "Z"))
+    again = places.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word")
+    kept = places.join(again, "word", "left_semi").groupBy("frag_id").agg(F.collect_list("pos").alias("places"))  # of one fragment
+    tails = seqs.join(kept, "frag_id").select(F.explode(F.transform("places", lambda at: F.substr(F.col("seq"), at + 1, F.lit(most)))).alias("tail"))
+    return tails.groupBy("tail").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _parting(tails: DataFrame, low: int, most: int) -> DataFrame:
+    """(word, cnt): words of ``low`` to ``most`` symbols after which tails (tail, n; all different) go on in two ways or more.
+
+    Tails that begin alike meet in one task, in order, and stream through it: what it holds is a stack of the words that are still open, each a prefix of the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_words: list[list[int]] = []  # length, count so far
+        last, last_n = "", 0
+
+        def close(length: int, out: list[tuple[str, int]]) -> int:
+            """Closes words longer than this; how often the last of them, or the last tail, occurs."""
+            count = last_n
+            while open_words and open_words[-1][0] > length:
+                size, before = open_words.pop()
+                count += before
+                if low <= size <= most:
+                    out.append((last[:size], count))
+            return count
+
+        for batch in batches:
+            tail, n, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            width = most + 2  # a tail's end differs from any symbol
+            rows = np.frombuffer("".join(t.ljust(width) for t in [last, *tail]).encode(), dtype=np.uint8).reshape(-1, width)
+            common = (rows[1:] != rows[:-1]).argmax(axis=1).tolist()
+            for t, k, length in zip(tail, n, common, strict=True):
+                if last:
+                    count = close(length, out)
+                    if open_words and open_words[-1][0] == length:
+                        open_words[-1][1] += count
+                    else:
+                        open_words.append([length, count])
+                last, last_n = t, k
+            yield _rows(out)
+        out = []
+        close(-1, out)
+        yield _rows(out)
+
+    begins = F.substring("tail", 1, low).alias("begins")
+    dealt = tails.select("tail", "n", begins).repartition("begins").sortWithinPartitions("tail").select("tail", "n")
+    return dealt.mapInArrow(run, "word string, cnt long")
+
+
+def _rows(found: list[tuple[str, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], names=["word", "cnt"])
+
+
+def _found(groups: DataFrame, others: DataFrame, least: int) -> DataFrame:
+    """(word, frag_id, pos): the words of the fragments that might be of ``groups``: of a length of a group that begins with the same ``least`` symbols.
+
+    Only places that begin as some group does are looked at in full; they meet their fragment once."""
+    begins = groups.groupBy(F.substring("word", 1, least).alias("word")).agg(F.collect_set(F.length("word")).alias("lengths"))  # lengths: a hundred at most
+    places = occurrences(others, least).join(begins, "word").groupBy("frag_id").agg(F.collect_list(F.struct("pos", "lengths")).alias("places"))  # of one fragment
+    asked = others.join(places, "frag_id").select("frag_id", "seq", F.explode("places").alias("p")).select("frag_id", "seq", "p.pos", F.explode("p.lengths").alias("k"))
+    return asked.where(F.col("pos") + F.col("k") <= F.length("seq")).select(F.substr(F.col("seq"), F.col("pos") + 1, F.col("k")).alias("word"), "frag_id", "pos")
 
 
 def group_places(seqs: DataFrame, groups: DataFrame) -> DataFrame:
     """(word, cnt, frag_id, pos): every place of the words of ``groups`` (word, cnt), which may be of several lengths."""
     lengths = sorted(r.k for r in groups.select(F.length("word").alias("k")).distinct().collect())  # as many as there are lengths
-    if not lengths:
-        return groups.join(seqs.select("frag_id", F.lit(0).alias("pos")).where("false"), F.lit(True))
-    words = F.flatten(F.array(*[F.transform(S.kmers("seq", k), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))) for k in lengths]))
+    words = F.flatten(F.array(*[F.transform(S.kmers("seq", k), lambda w, i: F.struct(w.alias("word"), i.alias("pos"))) for k in lengths or [1]]))
     return seqs.select("frag_id", F.inline(words)).join(groups, "word").select("word", "cnt", "frag_id", "pos")
 
 
@@ -122,21 +157,15 @@ def partial_cites(seqs: DataFrame, patterns: DataFrame, least: int) -> DataFrame
     """(pattern, frag_id, text_pos, pattern_pos, length): the longest match from each pair of places, if ``least`` or longer."""
     seeds = patterns.select(F.col("word").alias("pattern"), F.posexplode(S.kmers("word", least)).alias("pattern_pos", "seed"))
     places = seqs.select("frag_id", "seq", F.posexplode(S.kmers("seq", least)).alias("text_pos", "seed"))
-    joined = places.join(F.broadcast(seeds), "seed")  # a few patterns
+    joined = places.join(seeds, "seed")
     room = F.least(F.length("pattern") - F.col("pattern_pos"), F.length("seq") - F.col("text_pos"))
     longer = F.filter(F.sequence(F.lit(least), room), lambda n: F.substr(F.col("pattern"), F.col("pattern_pos") + 1, n) == F.substr(F.col("seq"), F.col("text_pos") + 1, n))
     return joined.select("pattern", "frag_id", F.col("text_pos").cast("bigint").alias("text_pos"), F.col("pattern_pos").cast("bigint").alias("pattern_pos"), F.array_max(longer).cast("bigint").alias("length"))
 
 
 def drop_cross(groups: DataFrame, others: DataFrame, least: int = 10) -> DataFrame:
-    """Groups (word, cnt; words of ``least`` symbols or more) whose word is nowhere in the other fragments.
-
-    Only places that begin as some group does, by ``least`` symbols, are looked at in full, at the lengths of the groups that begin so."""
-    begins = groups.groupBy(F.substring("word", 1, least).alias("word")).agg(F.collect_set(F.length("word")).alias("lengths"))  # lengths: a hundred at most
-    places = occurrences(others, least).join(begins, "word").select("frag_id", "pos", "lengths")
-    found = others.join(places, "frag_id").select("seq", "pos", F.explode("lengths").alias("k")).where(F.col("pos") + F.col("k") <= F.length("seq"))
-    present = found.select(F.substr(F.col("seq"), F.col("pos") + 1, F.col("k")).alias("word"))
-    return groups.join(present, "word", "left_anti")
+    """Groups (word, cnt; words of ``least`` symbols or more) whose word is nowhere in the other fragments."""
+    return groups.join(_found(groups, others, least).select("word"), "word", "left_anti")
 
 
 def cross_test(groups: DataFrame, others: DataFrame, length: int) -> DataFrame:
