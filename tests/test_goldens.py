@@ -441,7 +441,9 @@ def test_greedy_equals_a_plain_restatement_and_keeps_its_invariants():
             found = cluster.greedy(w, seed)
             assert sorted(sorted(i for i in range(n) if found[i] == c) for c in set(found)) == plain_greedy(w, seed)
     with pytest.raises(AssertionError):
-        cluster.check(np.zeros((2, 2), dtype=int), [[0]], np.zeros(1), np.zeros(1))
+        cluster.check(np.zeros(2), [[0]], np.zeros(1), np.zeros(1))
+    with pytest.raises(AssertionError):
+        cluster.check(np.array([3, 4]), [[0], [1]], np.array([1, 0]), np.array([2, 5]))
 
 
 def test_small_functions(spark, tmp_path):
