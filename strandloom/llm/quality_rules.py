@@ -9,8 +9,8 @@ Repeated five-word windows are found exactly: the windows' hashes are compared f
 for a text in which two hashes are equal are the windows themselves sorted and compared.
 
 Edge cases: a null or empty text has no words, so it fails the base rule (fewer than ten words)
-and ratios over nothing are 0; a value equal to a bound passes; repeated rows are each judged; an
-empty table gives an empty result; other columns are ignored.
+and ratios over nothing are 0; a value equal to a bound passes; repeated rows are each judged; texts
+may be of any length; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ lowest-ranked pair is merged again and again. Only pair ranks are needed, no ide
 Edge cases: a null text counts as empty (no bytes, no tokens); equal ranks merge from the
 left; repeated rows are each counted; an empty table gives an empty result; other columns
 are ignored. Special strings in a text count as one token each, as the library's default has
-it. A run of any length costs n log n.
+it. Texts may be of any length; a run of any length costs n log n.
 """
 
 from __future__ import annotations
