@@ -53,6 +53,32 @@ def test_drop_cross_holds_every_length(spark, monkeypatch):
     assert {r.word: r.cnt for r in registry.QUERIES["drop_cross"](spark, DATA).collect()} == want
 
 
+def test_drop_cross_sends_a_word_once(spark, monkeypatch):
+    """Few words leave a task, however many places and lengths there are; tight tables, short blocks and odd fragments change no result."""
+    import random
+
+    from strandloom.operators import words as W
+    from tests.test_goldens import dna
+
+    rnd = random.Random(4)
+    base = dna(rnd, 150)
+    texts = [base[:120], "", None, "ACG", base[60:150] + dna(rnd, 300), dna(rnd, 40) + base[100:], *[base[:60]] * 300]
+    cut = lambda t, n: {t[i : i + k] for k in range(10, n) for i in range(0, len(t) - k + 1, 3)}
+    words = sorted(cut(base, 101) | cut(base[50:90] + base[:40], 60) | cut(dna(rnd, 200), 40) | {"ACGTACGTAÅ"})
+    others = spark.createDataFrame([(k, t) for k, t in enumerate([*texts, "TTACGTACGTAÅTT"])], "frag_id long, seq string").repartition(2)
+    groups = spark.createDataFrame([(w, 2) for w in words], "word string, cnt long")
+    want = {w for w in words if not any(w in t for t in {*texts, "TTACGTACGTAÅTT"} if t)}
+    assert 0 < len(want) < len(words)
+    assert {r.word for r in W.drop_cross(groups, others).collect()} == want
+    sent = W._present(groups, others)
+    assert sent.count() <= 2 * len(words) + 20
+    monkeypatch.setattr(W, "MOST_BITS", 8)
+    monkeypatch.setattr(W, "BLOCK", 64)
+    assert {r.word for r in W.drop_cross(groups, others).collect()} == want
+    assert W.drop_cross(groups.where("false"), others).count() == 0
+    assert W.drop_cross(groups, others.where("false")).count() == len(words)
+
+
 def test_places_of_element_groups(spark):
     """The golden fragments: each group's word, count and places."""
     from strandloom.operators import words as W
