@@ -12,7 +12,9 @@ from collections import deque
 from collections.abc import Iterator
 from random import Random
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +64,35 @@ def _mean(x: int, n: int, y: int, m: int) -> int:
     return round((x * n + y * m) / (n + m))
 
 
+def _means(x: np.ndarray, n: np.ndarray, y: np.ndarray, m: np.ndarray) -> np.ndarray:
+    return np.rint((x * n + y * m) / (n + m)).astype(np.int64)
+
+
+def _places(a: tuple, b: tuple, n, m, mean=_mean, low=min, high=max) -> tuple:
+    """start_pos to end_max of two rows (or columns of rows) of n and m cells that merge."""
+    return mean(a[1], n, b[1], m), mean(a[2], n, b[2], m), low(a[3], b[3]), high(a[4], b[4]), low(a[5], b[5]), high(a[6], b[6])
+
+
 def _merged(a: tuple, b: tuple) -> tuple:
-    n, m = len(a[7]), len(b[7])
-    bounds = (min(a[3], b[3]), max(a[4], b[4]), min(a[5], b[5]), max(a[6], b[6]))
-    return (a[0], _mean(a[1], n, b[1], m), _mean(a[2], n, b[2], m), *bounds, *([*a[k], *b[k]] for k in (7, 8, 9)))
+    return (a[0], *_places(a, b, len(a[7]), len(b[7])), *([*a[k], *b[k]] for k in (7, 8, 9)))
+
+
+def merged_pairs(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys`` and start_pos to end_max of what each pair of peaks of single cells (a_start_pos, a_end_pos, b_start_pos, b_end_pos) that merge becomes.
+
+    Pairs don't depend on each other: they stay where they are, and many are merged at once."""
+    made = COLUMNS[1:7]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("a_start_pos", "a_end_pos", "b_start_pos", "b_end_pos")}
+            a, b = ((None, start, end, start, start, end, end) for start, end in ((column[f"{p}_start_pos"], column[f"{p}_end_pos"]) for p in "ab"))
+            found = _places(a, b, 1, 1, _means, np.minimum, np.maximum)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *map(pa.array, found)], names=[*keys, *made])
+
+    places = [F.col(c).cast("bigint").alias(c) for c in ("a_start_pos", "a_end_pos", "b_start_pos", "b_end_pos")]
+    kinds = [f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keys]
+    return pairs.select(*keys, *places).mapInArrow(run, ", ".join([*kinds, *(f"{c} bigint" for c in made)]))
 
 
 def merge_flows(first: Iterator[tuple], second: Iterator[tuple], emulate_tail_dup: bool = False) -> Iterator[tuple]:

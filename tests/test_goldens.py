@@ -136,6 +136,33 @@ def test_merge_by_islands_equals_the_tournament_over_whole_flows(spark, monkeypa
     assert intervals.merged_peaks(peaks.where("false")).count() == 0
 
 
+def test_merged_pairs_are_what_the_flows_make(spark):
+    """Each pair as the merge of two flows of one row; no pair is a group of its own, which takes milliseconds a pair."""
+    import random
+
+    rnd = random.Random(12)
+    pairs = []
+    while len(pairs) < 20_000:
+        start, other = rnd.randrange(10**12), rnd.randrange(40)
+        a, b = (start, start + rnd.randrange(1, 60)), (start + other - 20, start + other - 20 + rnd.randrange(1, 60))
+        if intervals._status((None, *a), (None, *b)) == 0:
+            pairs.append((len(pairs), *a, *b))
+    row = lambda s, e: ("chr1", s, e, s, s, e, e, [0], [0.0], [0.0])
+    want = {}
+    for k, *p in pairs:
+        (merged,) = intervals.merge_flows(iter([row(*p[:2])]), iter([row(*p[2:])]))
+        want[k] = merged[1:7]
+    found = intervals.merged_pairs(spark.createDataFrame(pairs, "k long, a_start_pos long, a_end_pos long, b_start_pos long, b_end_pos long"), ["k"])
+    assert {r.k: tuple(r)[1:] for r in found.collect()} == want
+
+
+def test_merge_pair_projection_makes_no_group_a_pair(spark, tmp_path):
+    from strandloom.plans import registry
+
+    spark.sql("select id event_id, timestamp'2024-01-01 00:01:00' + make_interval(0, 0, 0, 0, 0, 0, cast(id as decimal(18, 6))) ts, 1L user_id, if(id % 2 = 0, 'a', 'b') event_type, 1d value from range(10)").write.parquet(f"{tmp_path}/events.parquet")
+    found = registry.QUERIES["merge_pair_projection"](spark, str(tmp_path))
+    assert found.count() > 0 and "FlatMapGroupsIn" not in found._jdf.queryExecution().toString()
+
 def test_merge_join_may_repeat_the_tail(spark):
     flows = [intervals.singletons(spark.createDataFrame([(0, "chr1", k, s, e, 1.0, 1.0) for s, e in rows], PEAKS)) for k, rows in enumerate(([(0, 100)], [(10, 90), (200, 300)]))]
     plain = lambda **o: sorted((r.start_pos, r.end_pos) for r in intervals.merge_join(*flows, **o).collect())
