@@ -49,12 +49,13 @@ LCS_ALONE, LCS_WITH_ANSWER, ANSWER_WORDS, ANSWER_SHARE, LEAST_ANSWER = 0.8, 0.5,
 LADDER, LEAST_WINDOW, GRAIN = 1.5, 8, 4
 #: Texts that are hashed at once, words that are projected at once.
 TEXTS, BLOCK_WORDS = 64, 60_000
-#: Cosines that are computed at once.
-COSINES = 1 << 21
+#: Cosines and windows that are computed at once.
+COSINES, WINDOWS = 1 << 21, 4096
 FLAG_BITS = 20
 
 _TABLE = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 _LONGEST = 1024  # places of a word's bytes that have a factor of their own
+_SORTED = 24  # bytes of words that are taken a place at a time
 
 
 @functools.cache
@@ -66,20 +67,37 @@ def _factors() -> tuple[np.ndarray, np.ndarray]:
 def hashed(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(64-bit hashes of the texts' words, words of each text)."""
     parts = [t.lower().encode() for t in texts]
-    data = np.frombuffer((b" ".join(parts) + b" ").translate(_TABLE), dtype=np.uint8)
+    data = np.frombuffer(b" ".join([b"", *parts, b""]).translate(_TABLE), dtype=np.uint8)
     inside = data != 32
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     begin, size = edge[::2], edge[1::2] - edge[::2]
     if not len(begin):
         return np.empty(0, dtype=np.uint64), np.zeros(len(texts), dtype=np.int64)
-    first = np.cumsum(size) - size
-    place = np.arange(size.sum()) - np.repeat(first, size)
     by_byte, by_place = _factors()
-    h = np.add.reduceat(by_byte[data[inside]] * by_place[place & (_LONGEST - 1)], first)
+    # The longest words first: those that have a byte at a place are then the first so many.
+    order = np.argsort(np.minimum(size, _SORTED).astype(np.uint8), kind="stable")[::-1]
+    at, left = begin[order], size[order]
+    sums = by_byte[data[at]] * by_place[0]
+    more = np.cumsum(np.bincount(np.minimum(size, _SORTED), minlength=_SORTED + 1)[::-1])[::-1]
+    for k in range(1, _SORTED):
+        n = int(more[k + 1])
+        if not n:
+            break
+        sums[:n] += by_byte[data[at[:n] + k]] * by_place[k]
+    if n := int(more[_SORTED]):
+        # What very long words have from there on.
+        rest = left[:n] - _SORTED
+        some = np.flatnonzero(rest)
+        low = np.cumsum(rest[some]) - rest[some]
+        place = np.arange(rest.sum()) - np.repeat(low, rest[some]) + _SORTED
+        if len(some):
+            sums[some] += np.add.reduceat(by_byte[data[np.repeat(at[some], rest[some]) + place]] * by_place[place & (_LONGEST - 1)], low)
+    h = np.empty_like(sums)
+    h[order] = sums
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
-    starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+    starts = np.cumsum([1, *(len(p) + 1 for p in parts[:-1])])
     return h, np.bincount(np.searchsorted(starts, begin, side="right") - 1, minlength=len(texts))
 
 
@@ -251,16 +269,15 @@ class Searcher:
         words = np.concatenate([hashes[first[k] + a : first[k] + b] for k, a, b in part])
         size = np.array([b - a for _, a, b in part])
         begin = np.cumsum(size) - size
-        # Sums of the vectors of GRAIN words each, none across two texts, then running sums of those.
+        # Sums of the vectors of GRAIN words each, none across two texts; the last one is of none.
         grains = -(-size // GRAIN)
         low = np.cumsum(grains) - grains
         bins = np.full(GRAIN * int(grains.sum()), BINS, dtype=np.int32)
         bins[np.repeat(GRAIN * low - begin, size) + np.arange(len(words))] = bin_of(words)
-        sums = np.zeros((int(grains.sum()) + 1, self.projection.shape[1]), dtype=np.float32)
-        grain = self.projection[bins[::GRAIN]]
-        for k in range(1, GRAIN):
-            grain += self.projection[bins[k::GRAIN]]
-        np.cumsum(grain, axis=0, out=sums[1:])
+        none = int(grains.sum())
+        grain = np.zeros((none + 1, self.projection.shape[1]), dtype=np.float32)
+        for k in range(GRAIN):
+            grain[:-1] += self.projection[bins[k::GRAIN]]
         flags = np.zeros(len(words) + 1, dtype=np.int32)
         np.cumsum(self.flag[(words & np.uint64((1 << FLAG_BITS) - 1)).astype(np.int32)], out=flags[1:])
         for length, (group, vectors) in self.levels.items():
@@ -278,10 +295,13 @@ class Searcher:
             hits = flags[begin[owner] + right] - flags[begin[owner] + left]
             # A leak has answer words, so windows with too few of all items' answer words around them hold none.
             some = np.flatnonzero(hits >= min(i.least_answer for i in group))
-            rows = max(1, COSINES // len(group))
+            rows = max(1, min(WINDOWS, COSINES // len(group)))
             for b in range(0, len(some), rows):
                 chosen = some[b : b + rows]
-                window = sums[stop[chosen]] - sums[start[chosen]]
+                at, end = start[chosen], stop[chosen]
+                window = grain[at]
+                for k in range(1, long):
+                    window += grain[np.where(at + k < end, at + k, none)]
                 norm = np.sqrt(np.einsum("ij,ij->i", window, window))
                 cosines = window @ vectors
                 row, col = np.nonzero(cosines >= (self.cosine * norm)[:, None])

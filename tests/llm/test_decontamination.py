@@ -198,3 +198,28 @@ def test_long_texts_are_searched_in_blocks(case, monkeypatch):
         words[400 * k + 300 : 400 * k + 300] = items[k][1].split()
     found = d.Searcher(items, projection, np.ones(d.BINS)).search(["few words", " ".join(words)])
     assert {(k, i) for k, i, *_ in found} >= {(1, i) for i in range(10)}
+
+
+def test_hashes_and_cosines_of_long_texts():
+    """Hashes by a plain restatement; a window's vector is the sum of its own words', not a difference of sums that grow with the text."""
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choices("abcé0", k=n))
+    texts = ["", *[" ".join(word(rnd.choice((1, 2, 5, 23, 24, 25, 40, 1100))) for _ in range(12)) for _ in range(5)], "!", "A-b"]
+    by_byte, by_place = (list(map(int, f)) for f in d._factors())
+
+    def plain(w: str) -> int:
+        h = sum(by_byte[b] * by_place[k % 1024] for k, b in enumerate(w.encode())) % 2**64
+        h = (h ^ h >> 29) * 0xBF58476D1CE4E5B9 % 2**64
+        return h ^ h >> 32
+
+    found, sizes = d.hashed(texts)
+    words = [t.lower().replace("!", " ").replace("-", " ").split() for t in texts]
+    assert sizes.tolist() == list(map(len, words)) and found.tolist() == [plain(w) for ws in words for w in ws]
+
+    # The other words' vectors are long in one direction.
+    item = " ".join(word(6) for _ in range(d.LEAST_WINDOW))
+    projection = np.random.default_rng(1).standard_normal((d.BINS, 16)).astype(np.float32)
+    projection[np.setdiff1d(np.arange(d.BINS), d.bin_of(d.hashed([item])[0])), 0] += 1000
+    text = " ".join([*(word(7) for _ in range(d.BLOCK_WORDS - d.LEAST_WINDOW)), item])
+    ((_, _, cosine, share, answer, _),) = d.Searcher([(1, item)], projection, np.ones(d.BINS)).search([text])
+    assert share == answer == 1 and abs(cosine - 1) < 1e-5
