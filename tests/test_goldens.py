@@ -430,6 +430,39 @@ def test_weight_table_and_clusters_of_all_words(spark):
     assert rows(sums=sums) == rows()
 
 
+def test_clustering_holds_a_byte_a_pair_and_deals_the_weights(spark, monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+
+    rnd = random.Random(21)
+    base = [dna(rnd, 11) for _ in range(40)]
+    words = sorted({w[:k] + rnd.choice("ACGT") + w[k + 1 :] for w in base for k in range(11) for _ in range(4)})
+    table = cluster.weight_table(words)
+    wide = table.astype(np.int64) - 6
+    np.fill_diagonal(wide, 3)
+    want = cluster.greedy(wide, 2)
+    assert 5 < len(set(want)) < len(words) / 4, len(set(want))
+    tracemalloc.start()
+    try:
+        assert cluster.greedy(table, 2, cut=6, own=np.full(len(words), 3)) == want
+        assert tracemalloc.get_traced_memory()[1] < 3 * len(words) ** 2
+    finally:
+        tracemalloc.stop()
+    monkeypatch.setattr(cluster, "BLOCK", 100)
+    frame = spark.createDataFrame([(2 * i, w, 3) for i, w in enumerate(words)], "id int, word string, cnt long")
+    found = {r.id: r.cluster for r in cluster.clustered(frame, 6, 2, core_weights=True).collect()}
+    assert found == {2 * i: c for i, c in enumerate(want)}
+    blocks = cluster.weight_blocks(frame.selectExpr("cast(id / 2 as long) id", "word"))
+    assert blocks.rdd.getNumPartitions() > 1
+    for r in blocks.collect():
+        rows = slice(100 * r.i, 100 * r.i + 100), slice(100 * r.j, 100 * r.j + 100)
+        made = np.frombuffer(r.weights, dtype=np.uint8).reshape(table[rows].shape).copy()
+        if r.i == r.j:
+            np.fill_diagonal(made, 0)
+        assert np.array_equal(made, table[rows])
+    assert cluster.clustered(frame.where("false")).count() == 0
+
 def plain_greedy(w, seed):
     """Greedy merges over dictionaries of sets; the order of a pass is the seed's."""
     import hashlib
