@@ -463,6 +463,24 @@ def test_clustering_holds_a_byte_a_pair_and_deals_the_weights(spark, monkeypatch
         assert np.array_equal(made, table[rows])
     assert cluster.clustered(frame.where("false")).count() == 0
 
+def test_many_short_rows_are_scored_together():
+    """Equal to one at a time, bit by bit; what a cross test calls takes one pass a motif and length, not one a row."""
+    import numpy as np
+
+    from strandloom.operators import motif
+
+    rnd = random.Random(31)
+    seqs = ["", "A", *["".join(rnd.choices("ATGCN", k=rnd.choice((5, 9, 12)))) for _ in range(300)], dna(rnd, 400)]
+    groups = list(motif.by_length(seqs))
+    assert len(groups) == 6
+    for mode in motif.MODES:
+        scorer = motif.Scorer([[rnd.randrange(5) for _ in range(3)] + [1] for _ in range(6)], [9] * 6, 10, mode)
+        for inclusive in (False, True):
+            got = np.full(len(seqs), -1.0)
+            for at, oriented in groups:
+                got[at] = motif.max_of_each(oriented, scorer, inclusive)
+            assert got.tolist() == [motif.max_score(x, [scorer], None, inclusive) for x in seqs]
+
 def plain_greedy(w, seed):
     """Greedy merges over dictionaries of sets; the order of a pass is the seed's."""
     import hashlib
