@@ -54,10 +54,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage through the shared checkpoint folder, so that a lost executor costs no recomputation."""
+def cut(df: DataFrame, files: int | None = None) -> DataFrame:
+    """Cuts lineage through the shared checkpoint folder, so that a lost executor costs no recomputation.
+
+    A checkpoint has a file a partition. For each, Hadoop's local file system starts two processes (chmod), and what sums up the memory of a process tree
+    may meet one before it is replaced, as a second executor of the same size. ``files`` deals the rows to so many partitions first; the work that makes them stays as it is dealt."""
     scratch(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return (df.repartition(files) if files else df).checkpoint(eager=True)
 
 
 def tasks(spark: SparkSession) -> int:

@@ -52,6 +52,8 @@ HELD_LINKS = 1 << 20
 NODES = 100_000
 #: Tiles that a block of them holds at most; units of work that a core gets on the average; shingles in the texts of a tile.
 MOST_BLOCK, UNITS_A_CORE, TILE_SHINGLES = 32, 4, 1 << 21
+#: Rows that a file of a cut holds at least, as long as there is one a core.
+FILE_ROWS = 10_000
 #: Tiles that a partition may hold.
 TILE_BITS = 20
 _LANES = np.uint64(0x0101010101010101)
@@ -100,6 +102,16 @@ def majority(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * counts > n, axis=2, bitorder="little").reshape(words, 8).copy().view(np.uint64).reshape(words)
 
 
+def files_of(df: DataFrame, rows: int) -> int:
+    """Files of a cut with something for each of ``rows`` rows: one a core at most, or one for ``NODES`` rows."""
+    return max(1, min(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)), -(-rows // NODES))
+
+
+def cut_texts(df: DataFrame) -> DataFrame:
+    """A cut with a row for each text, before it is known how many there are."""
+    return cut(df, UNITS_A_CORE * max(1, df.sparkSession.sparkContext.defaultParallelism))
+
+
 def fingerprint(text: str, shingle: int, words: int = 1, distinct: bool = False) -> tuple[np.ndarray, int]:
     """(words of the fingerprint, number of shingles); ``distinct`` counts equal shingles once."""
     hashes = shingle_hashes(words_of(text), shingle)
@@ -288,7 +300,7 @@ def tiled(nodes: DataFrame, count: int, words: int, least_ratio: float, tile_row
                 yield made(number, held.slice(0, stop).combine_chunks())
                 held, number = held.slice(stop), number + 1
 
-    return cut(spread.select("node", "fp", "size", "band").mapInArrow(run, _TILE))
+    return cut(spread.select("node", "fp", "size", "band").mapInArrow(run, _TILE), files_of(nodes, count))
 
 
 def _meet(a: Tile, b: Tile, radius: int, least_ratio: float, reach: int) -> bool:
@@ -312,7 +324,7 @@ def compared(
         F.arrays_zip("a_lows", "a_highs", "b_lows", "b_highs"), F.lit(0), lambda s, x: s + F.greatest(x["a_lows"] - x["b_highs"], x["b_lows"] - x["a_highs"], F.lit(0))
     )
     sizes = (F.col("a_size_high") >= least_ratio * F.col("b_size_low")) & (F.col("b_size_high") >= least_ratio * F.col("a_size_low"))
-    pairs = cut(one.join(two, "band").where((F.col("a_tile") <= F.col("b_tile")) & sizes & (gap <= radius)).select("a_tile", "b_tile").distinct())
+    pairs = cut(one.join(two, "band").where((F.col("a_tile") <= F.col("b_tile")) & sizes & (gap <= radius)).select("a_tile", "b_tile").distinct(), files_of(nodes, count))
     cores = max(1, nodes.sparkSession.sparkContext.defaultParallelism)
     n_pairs = pairs.count()
     block = max(1, min(MOST_BLOCK, math.isqrt(n_pairs // (UNITS_A_CORE * cores))))
@@ -368,7 +380,8 @@ def links(nodes: DataFrame, count: int, words: int, radius: int, least_ratio: fl
 
 def numbered(rows: DataFrame, count: int, *order) -> DataFrame:
     """The rows with a column ``node``, which ascends in this order; cut, so that the numbers stay."""
-    return cut(rows.repartitionByRange(max(1, -(-count // NODES)), *order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()))
+    dealt = rows.repartitionByRange(max(1, -(-count // NODES)), *order).sortWithinPartitions(*order)
+    return cut(dealt.withColumn("node", F.monotonically_increasing_id()), files_of(rows, count))
 
 
 def near_duplicates(
@@ -384,7 +397,7 @@ def near_duplicates(
     text_col: str = "text",
 ) -> DataFrame:
     """(doc_id, fp, size, component_id): component_id is the smallest doc_id that links reach, the own included."""
-    every = cut(fingerprints(df, shingle, words, distinct, id_col, text_col))
+    every = cut_texts(fingerprints(df, shingle, words, distinct, id_col, text_col))
     key = ["fp", "size"] if least_ratio else ["fp"]  # without a ratio the size plays no part
     nodes = every.groupBy(*key).agg(F.min("doc_id").alias("least"), *([] if least_ratio else [F.min("size").alias("size")]))
     # The numbers ascend with the least ids, so that a component's least node has its least id.
@@ -518,20 +531,22 @@ def _similar(df: DataFrame, tile_rows: int | None, id_col: str, text_col: str) -
         return {"doc_id": cols["doc_id"], "key": pa.array(cols["key"], pa.binary()), "same": pa.array(same, pa.binary()), "fp": pa.array(fps, pa.binary()), "size": [len(h) for h in sets]}
 
     texts = id_and_text(df, id_col, text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", _key("text").alias("key"))
-    every = cut(map_slices(texts, work, "doc_id bigint, key binary, same binary, fp binary, size int"))
+    every = cut_texts(map_slices(texts, work, "doc_id bigint, key binary, same binary, fp binary, size int"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("first")
     nodes = every.groupBy("same").agg(first, F.min("fp").alias("fp"), F.min("size").alias("size"))
-    nodes = numbered(nodes, every.count(), "first", "same")
+    total = every.count()
+    nodes = numbered(nodes, total, "first", "same")
     compared_nodes = nodes.where(F.col("size") >= SIMILAR).select("node", "fp", "size")
-    found = cut(candidates(compared_nodes, compared_nodes.count(), tile_rows))
+    files = files_of(df, total)
+    found = cut(candidates(compared_nodes, compared_nodes.count(), tile_rows), files)
     wanted = found.select(F.explode(F.array("a_ids", "b_ids")).alias("ids")).mapInArrow(_ids, "node long").distinct()
     asked = nodes.join(wanted, "node").select("node", F.col("first.doc_id").alias("w_id"), F.col("first.key").alias("w_key"))
     chosen = texts.join(asked, F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("key") == F.col("w_key"))).groupBy("node").agg(F.first("text").alias("text"))
     sets = map_slices(chosen, lambda _, cols: {"node": cols["node"], "hashes": pa.array([shingle_set(t).astype("<u8").tobytes() for t in cols["text"]], pa.binary())}, "node bigint, hashes binary")
-    linked_nodes = cut(verified(found, sets))
+    linked_nodes = cut(verified(found, sets), files)
     root = components(linked_nodes, linked_nodes.count())
     placed = nodes.join(root, "node", "left").select("same", "node", F.coalesce("root", "node").alias("root"), F.col("first.doc_id").alias("doc_id"), F.col("first.key").alias("key"))
-    return every.select("doc_id", "key", "same"), cut(placed)
+    return every.select("doc_id", "key", "same"), cut(placed, files)
 
 
 def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,10 +570,11 @@ def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     It is the row of the smallest id, rows without an id coming last; of texts of one id that with the least digest. Of equal ids and texts one row
     stays, the least by its columns as text. Rows are told apart by id and text, so an id may come with several unrelated texts, all of which stay."""
     rows, nodes = _similar(df, tile_rows, id_col, text_col)
-    counted = cut(rows.groupBy("doc_id", "key", "same").agg(F.count(F.lit(1)).alias("n")))
+    files = files_of(df, rows.count())
+    counted = cut(rows.groupBy("doc_id", "key", "same").agg(F.count(F.lit(1)).alias("n")), files)
     stays = nodes.select("same", F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), (F.col("node") == F.col("root")).alias("least"))
     found = attached(counted, stays, ["same"])
-    verdicts = cut(found.select("doc_id", "key", "n", (F.col("least") & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key"))).alias("stays")))
+    verdicts = cut(found.select("doc_id", "key", "n", (F.col("least") & F.col("doc_id").eqNullSafe(F.col("f_id")) & (F.col("key") == F.col("f_key"))).alias("stays")), files)
     stem = "_".join(["own", *df.columns])  # clashes with no column
     own_id, own_key = f"{stem}_id", f"{stem}_key"
     as_own = lambda found: found.select(F.col("doc_id").alias(own_id), F.col("key").alias(own_key))

@@ -97,3 +97,29 @@ def test_sets_of_a_tile_are_bounded(spark, monkeypatch):
     want = plain_components(list(range(len(texts))), lambda i, j: near(texts[i], texts[j]))
     got = simhash.similar_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_cuts_have_few_files_however_the_work_is_dealt(spark, monkeypatch):
+    """On a local disk each file of a checkpoint starts two processes; with hundreds of tasks a cut they came by the thousand."""
+    texts, written = corpus(), []
+    plain = simhash.cut
+
+    def listed(df, *files):
+        made = plain(df, *files)
+        written.append(made.rdd.getNumPartitions())
+        return made
+
+    monkeypatch.setattr(simhash, "cut", listed)
+    held = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
+        kept = {r.doc_id for r in simhash.one_of_each_group(docs, tile_rows=8).collect()}
+        simhash.near_duplicates(docs, tile_rows=8).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert kept == set(plain_components(list(range(len(texts))), lambda i, j: near(texts[i], texts[j])).values())
+    assert len(written) >= 12 and max(written) <= 4 * spark.sparkContext.defaultParallelism and sum(written) <= 5 * len(written), written
