@@ -570,7 +570,10 @@ def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     It is the row of the smallest id, rows without an id coming last; of texts of one id that with the least digest. Of equal ids and texts one row
     stays, the least by its columns as text. Rows are told apart by id and text, so an id may come with several unrelated texts, all of which stay."""
     rows, nodes = _similar(df, tile_rows, id_col, text_col)
-    files = files_of(df, rows.count())
+    total = rows.count()
+    files = files_of(df, total)
+    # The texts, too, are left in few partitions: some a core, or one for FILE_ROWS rows.
+    held = max(UNITS_A_CORE * max(1, df.sparkSession.sparkContext.defaultParallelism), -(-total // FILE_ROWS))
     counted = cut(rows.groupBy("doc_id", "key", "same").agg(F.count(F.lit(1)).alias("n")), files)
     stays = nodes.select("same", F.col("doc_id").alias("f_id"), F.col("key").alias("f_key"), (F.col("node") == F.col("root")).alias("least"))
     found = attached(counted, stays, ["same"])
@@ -581,11 +584,11 @@ def one_of_each_group(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     matches = lambda: F.col(f"`{id_col}`").cast("bigint").eqNullSafe(F.col(own_id)) & (_key(f"`{text_col}`") == F.col(own_key))
     repeated = verdicts.where("stays AND n > 1")
     if not repeated.head(1):
-        return df.join(as_own(verdicts.where("NOT stays")), matches(), "left_anti")
+        return df.join(as_own(verdicts.where("NOT stays")), matches(), "left_anti").coalesce(held)
     single = df.join(as_own(verdicts.where("NOT stays OR n > 1")), matches(), "left_anti")
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     again = df.join(as_own(repeated), matches()).groupBy(own_id, own_key).agg(F.min_by(whole, F.to_json(whole)).alias(stem))
-    return single.unionAll(again.select(*[F.col(stem).getField(c).alias(c) for c in df.columns]))
+    return single.unionAll(again.select(*[F.col(stem).getField(c).alias(c) for c in df.columns])).coalesce(held)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

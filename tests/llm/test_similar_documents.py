@@ -116,10 +116,12 @@ def test_cuts_have_few_files_however_the_work_is_dealt(spark, monkeypatch):
         for k, v in held.items():
             spark.conf.set(k, v)
         docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(40)
-        kept = {r.doc_id for r in simhash.one_of_each_group(docs, tile_rows=8).collect()}
+        found = simhash.one_of_each_group(docs, tile_rows=8)
+        kept, parts = {r.doc_id for r in found.collect()}, found.rdd.getNumPartitions()
         simhash.near_duplicates(docs, tile_rows=8).count()
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
     assert kept == set(plain_components(list(range(len(texts))), lambda i, j: near(texts[i], texts[j])).values())
+    assert parts <= 4 * spark.sparkContext.defaultParallelism
     assert len(written) >= 12 and max(written) <= 4 * spark.sparkContext.defaultParallelism and sum(written) <= 5 * len(written), written
